@@ -1,0 +1,6 @@
+"""Every registered query and its oracle."""
+
+from . import beta, cleaning, composition, diversity  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -25,7 +25,7 @@ def pivot_mean(
 
     A missing value makes its mean missing; an absent cell is missing.
     """
-    cell = F.when(F.count(value) == F.count("*"), F.avg(value))
+    cell = F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
     return df.groupBy(*ids).pivot(name, list(names)).agg(cell)
 
 
