@@ -1,6 +1,6 @@
 """Every registered query and its oracle."""
 
-from . import beta, cleaning, composition, diversity, models, spatial  # noqa: F401
+from . import beta, cleaning, composition, diversity, models, products, spatial  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

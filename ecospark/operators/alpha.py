@@ -78,7 +78,14 @@ def alpha_diversity(
         cells = rows.groupBy(*[F.col(b) for b in by], key).agg(*aliased)
         site = cells.groupBy(*by).agg(F.count("*").alias("richness"), *again)
 
-    t = F.col("_t") if total else F.col("_n")
+    return _metrics(site, by, total is not None, trait is not None, group is not None, suffix, firsts)
+
+
+def _metrics(
+    site: DataFrame, by: list[str], recorded: bool, trait: bool, group: bool, suffix: str, firsts: Sequence[str]
+) -> DataFrame:
+    """Diversity from the per-site sums ``_n``, ``_a``, ``_q`` and, if recorded, ``_t``."""
+    t = F.col("_t") if recorded else F.col("_n")
     shannon = ratio(F.col("_n") * F.ln(F.when(t > 0, t)) - F.col("_a"), t)
     # One taxon holding the whole total has no diversity; clear the rounding noise.
     noise = F.abs(shannon) < 1e-12
@@ -89,10 +96,10 @@ def alpha_diversity(
         "op_simpson": F.when(F.abs(simpson) < 1e-12, F.lit(0.0)).otherwise(simpson),
     }).withColumn("evenness", ratio(F.col("shannon"), F.ln("richness")))
     names = ["total", *METRICS]
-    if trait is not None:
+    if trait:
         out = out.withColumn("prev", percent(F.col("trait_total"), F.col("total")))
         names = ["total", "trait_total", "trait_rows", *METRICS, "prev"]
-    if group is not None:
+    if group:
         out = out.withColumn("group_prev", percent(F.col("group_total"), F.col("total")))
         names += ["group_total", "group_prev"]
     return out.select(
@@ -101,6 +108,45 @@ def alpha_diversity(
     )
 
 
+def site_cells(
+    df: DataFrame, by: str | Sequence[str], taxon: str, value: str, carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per site and taxon with the sums every diversity variant is made of.
+
+    A report that needs several variants aggregates its table once into cells and derives
+    alpha and beta diversity, full and corrected, from them. ``carry`` are columns constant
+    per cell (a trait) or per site (a recorded total). Cells without a positive value stay,
+    with ``_rows`` 0, because their site counts in beta diversity.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    x = F.when(F.col(value) > 0, F.col(value).cast("double"))
+    return df.groupBy(*by, taxon).agg(
+        F.count(x).alias("_rows"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_n"), F.sum(x * F.ln(x)).alias("_a"),
+        F.sum(x * x).alias("_q"), *[F.max(q(c)).alias(c) for c in carry],
+    )
+
+
+def alpha_from_cells(
+    cells: DataFrame, by: str | Sequence[str], total: str | None = None, trait: Column | None = None,
+    group: Column | None = None, where: Column | None = None, suffix: str = "", firsts: Sequence[str] = (),
+) -> DataFrame:
+    """``alpha_diversity`` of a table already aggregated by ``site_cells``."""
+    by = [by] if isinstance(by, str) else list(by)
+    rows = cells.where(F.col("_rows") > 0)
+    if where is not None:
+        rows = rows.where(where)
+    zero = F.lit(0)
+    site = rows.groupBy(*by).agg(
+        F.count("*").alias("richness"), *[F.sum(c).alias(c) for c in ("_n", "_a", "_q")],
+        *([F.max(q(total)).alias("_t")] if total else []),
+        *([F.coalesce(F.sum(F.when(trait, F.col("_n"))), F.lit(0.0)).alias("trait_total"),
+           F.coalesce(F.sum(F.when(trait, F.col("_rows"))), zero).alias("trait_rows")] if trait is not None else []),
+        *([F.coalesce(F.sum(F.when(group, F.col("_n"))), F.lit(0.0)).alias("group_total")] if group is not None else []),
+        *[F.min(q(c)).alias(c) for c in firsts],
+    )
+    return _metrics(site, by, total is not None, trait is not None, group is not None, suffix, firsts)
+
+
 def alpha_diversity_wide(df: DataFrame, site: str, taxa: Sequence[str] | None = None) -> DataFrame:
     """Metrics of the rows of an abundance matrix; every site is reported.
 

@@ -18,14 +18,17 @@ from .joins import attach, join_nullsafe, single_row
 from .order import dense_index
 
 
-def hellinger(df: DataFrame, site: str, taxon: str, value: str) -> DataFrame:
+def hellinger(df: DataFrame, site: str, taxon: str, value: str, unique_cells: bool = False) -> DataFrame:
     """Square root of the share of each taxon in its site: ``site, taxon, h``.
 
-    Duplicate rows of a cell are summed. A site without any positive value stays, as one
+    Duplicate rows of a cell are summed, unless cells are known to be unique. A site without any positive value stays, as one
     or more cells of value 0, because it counts among the sites.
     """
-    y = F.coalesce(F.sum(F.when(F.col(value) > 0, F.col(value).cast("double"))), F.lit(0.0))
-    cells = df.groupBy(site, taxon).agg(y.alias("_y"))
+    x = F.when(F.col(value) > 0, F.col(value).cast("double"))
+    if unique_cells:
+        cells = df.select(site, taxon, F.coalesce(x, F.lit(0.0)).alias("_y"))
+    else:
+        cells = df.groupBy(site, taxon).agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("_y"))
     totals = cells.groupBy(site).agg(F.sum("_y").alias("_total"))
     h = F.coalesce(F.sqrt(ratio(F.col("_y"), F.col("_total"))), F.lit(0.0))
     return cells.join(totals, site).select(site, taxon, h.alias("h"))
@@ -78,14 +81,15 @@ def _site_share(part: Column) -> Column:
 
 
 def lcbd(
-    df: DataFrame, site: str, taxon: str, value: str, where: Column | None = None, suffix: str = ""
+    df: DataFrame, site: str, taxon: str, value: str, where: Column | None = None, suffix: str = "",
+    unique_cells: bool = False,
 ) -> DataFrame:
     """Share of each site in the total beta diversity and its log: ``site, lcbd, log_lcbd``.
 
     ``where`` restricts the table first (corrected beta diversity).
     """
     rows = df if where is None else df.where(where)
-    cells = _with_means(hellinger(rows, site, taxon, value), site, taxon)
+    cells = _with_means(hellinger(rows, site, taxon, value, unique_cells), site, taxon)
     part = F.sum(F.col("h") * F.col("h") - F.lit(2.0) * F.col("h") * F.col("mean"))
     out = cells.groupBy(site).agg(_site_share(part).alias("_l"))
     return out.select(
