@@ -83,18 +83,19 @@ def lcbd_dated(t):
 NPERM = 19
 
 
-def _half(tag: str, half: str) -> str:
-    return f"('0x' || substr(md5('7:' || perm || ':' || taxon || ':{tag}:' || ({half})), 1, 8))::bigint"
+def _mix(half: str, r: int) -> str:
+    x = f"((({half}) + k{r}) % 2147483647)"
+    return f"({x} * {x} % 2147483647 + {x} * 1103515245 % 2147483647)"
 
 
 def _walk(source: str) -> str:
     """One pass of the keyed bijection over the rows of ``source``."""
     return f"""
     select * exclude (l1, r1, l2, r2), l2 * b + r2 as idx from (
-      select *, (r1 + {_half('r1', 'l2')}) % b as r2 from (
-        select *, (l1 + {_half('l1', 'r1')}) % a as l2 from (
-          select *, (r0 + {_half('r0', 'l1')}) % b as r1 from (
-            select * exclude (l0), (l0 + {_half('l0', 'r0')}) % a as l1 from (
+      select *, (r1 + {_mix('l2', 3)}) % b as r2 from (
+        select *, (l1 + {_mix('r1', 2)}) % a as l2 from (
+          select * exclude (r0), (r0 + {_mix('l1', 1)}) % b as r1 from (
+            select * exclude (l0), (l0 + {_mix('r0', 0)}) % a as l1 from (
               select * exclude (idx), cast(floor(idx / b) as bigint) as l0, idx % b as r0 from {source})))))"""
 
 
@@ -103,11 +104,12 @@ PERMUTED = dense(SUPPLIER, "p_type") + f""",
     obs as (select site, round(sum(s) / (select ss from total), 12) as lcbd from sq group by 1),
     num as (select site, row_number() over (order by md5(cast(site as varchar)), site) - 1 as idx from s),
     size as (select count(*) as n, cast(ceil(sqrt(count(*))) as bigint) as a, cast(ceil(count(*) / ceil(sqrt(count(*)))) as bigint) as b from s),
-    start as (select perm, taxon, h, idx, n, a, b from m join num using (site), size, range(1, {NPERM + 1}) p(perm)),
+    start as (select perm, taxon, h, idx, n, a, b, {', '.join(f"('0x' || substr(md5('7:' || perm || ':' || taxon), {1 + 8 * r}, 8))::bigint as k{r}" for r in range(4))}
+        from m join num using (site), size, range(1, {NPERM + 1}) p(perm)),
     w1 as ({_walk('start')}),
     w2 as (select perm, taxon, h, idx, n from w1 where idx < n union all
-           select perm, taxon, h, idx, n from ({_walk('(select * exclude (r0) from w1 where idx >= n)')}) where idx < n union all
-           select perm, taxon, h, idx, n from ({_walk('(select * exclude (r0) from (' + _walk('(select * exclude (r0) from w1 where idx >= n)') + ') where idx >= n)')})),
+           select perm, taxon, h, idx, n from ({_walk('(select * from w1 where idx >= n)')}) where idx < n union all
+           select perm, taxon, h, idx, n from ({_walk('(select * from (' + _walk('(select * from w1 where idx >= n)') + ') where idx >= n)')})),
     shuffled as (select perm, idx, sum((h - mu) ^ 2) / (select ss from total) as l
                  from w2 join (select taxon, avg(h) as mu from m group by 1) using (taxon) group by all)
     select site as l_suppkey, round(any_value(lcbd), 8) as lcbd, round((count(*) filter (round(l, 12) >= lcbd) + 1) / {NPERM + 1}.0::double, 6) as pval

@@ -343,3 +343,12 @@ def promote_header(t):
     )
     banner.unionByName(body).repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.text(path)
     return io.promote_header(t.spark, path, "lake_id")
+
+
+@query("merge_synonym_columns", """
+    with y as (select l_orderkey, regexp_replace(p_type, '^(LARGE|MEDIUM)$', 'LARGE') as g, sum(l_quantity) as v from lineitem join part on l_partkey = p_partkey group by all)
+    select l_orderkey, """ + ", ".join(f"coalesce(sum(v) filter (g = '{g}'), 0) as \"{g}\"" for g in ("ECONOMY", "LARGE", "PROMO", "SMALL", "STANDARD")) + """
+    from y group by 1""")
+def merge_synonym_columns(t):
+    wide = reshape.to_wide(t.lines, "l_orderkey", "p_type", "l_quantity", ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
+    return clean.merge_synonym_columns(wide.withColumnRenamed("MEDIUM", "LARGE.1"), "l_orderkey")

@@ -171,3 +171,12 @@ def trait_summary(t):
 def rank_diversity(t):
     df = alpha.rank_diversity(t.lines, "l_suppkey", ["p_brand", "p_type"], "l_quantity")
     return out(df, ["l_suppkey", "rank", "richness"], METRICS)
+
+
+@query("trait_summary_wide", """
+    with c as (select l_orderkey, p_type, sum(l_quantity) as v from lineitem join part on l_partkey = p_partkey where p_type in ('PROMO','SMALL') group by all)
+    select l_orderkey, count(v) as trait_richness, coalesce(sum(v), 0) as trait_total
+    from (select distinct l_orderkey from lineitem) left join c using (l_orderkey) group by 1""")
+def trait_summary_wide(t):
+    wide = reshape.to_wide(t.lines, "l_orderkey", "p_type", "l_quantity", TYPES)
+    return alpha.trait_summary_wide(wide, t.part.where(mixo()).select("p_type"), "l_orderkey")

@@ -14,11 +14,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import percent, ratio
+from ..functions.columns import percent, ratio, row_count_positive, row_sum
 from ..vocabulary import MIXOTROPH
 from .clean import q
-from .joins import attach, keep_sites
-from .reshape import to_long
+from .joins import attach
 
 METRICS = ["richness", "shannon", "op_simpson", "evenness"]
 _NO_TAXON = "<NA>"
@@ -147,12 +146,58 @@ def alpha_from_cells(
     return _metrics(site, by, total is not None, trait is not None, group is not None, suffix, firsts)
 
 
-def alpha_diversity_wide(df: DataFrame, site: str, taxa: Sequence[str] | None = None) -> DataFrame:
-    """Metrics of the rows of an abundance matrix; every site is reported.
+def alpha_diversity_wide(
+    df: DataFrame, site: str, taxa: Sequence[str] | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Metrics of the rows of an abundance matrix; every row is reported, without a shuffle.
 
     A row of zeros has richness 0, Shannon 0 and Simpson complement 1.
     """
-    return alpha_diversity_all_sites(to_long(df, [site], "taxon", "value", taxa), site, "taxon", "value", True)
+    taxa = list(taxa or [c for c in df.columns if c != site])
+    values = F.filter(F.array(*[q(c).cast("double") for c in taxa]), lambda v: v > 0)
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("n", "a", "q")])
+    sums = F.aggregate(values, zero, lambda s, v: F.struct(
+        (s["n"] + v).alias("n"), (s["a"] + v * F.ln(v)).alias("a"), (s["q"] + v * v).alias("q")
+    ))
+    row = df.select(q(site), *[q(c) for c in carry], F.size(values).cast("long").alias("richness"), sums.alias("_s"))
+    n = F.col("_s.n")
+    shannon = F.ln(F.when(n > 0, n)) - ratio(F.col("_s.a"), n)
+    return row.select(
+        q(site), *[q(c) for c in carry], n.alias("total"), "richness",
+        F.when((n == 0) | (F.abs(shannon) < 1e-12), F.lit(0.0)).otherwise(shannon).alias("shannon"),
+        F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) - ratio(F.col("_s.q"), n * n)).alias("op_simpson"),
+    ).withColumn("evenness", F.when(F.col("richness") > 0, ratio(F.col("shannon"), F.ln("richness"))))
+
+
+def common_taxa(df: DataFrame, members: DataFrame) -> list[str]:
+    """Columns of an abundance matrix that are member taxa: at most the columns reach the driver."""
+    name = members.columns[0]
+    found = members.where(F.col(name).isin(df.columns)).select(name).distinct().collect()
+    present = {r[0] for r in found}
+    return [c for c in df.columns if c in present]
+
+
+def trait_summary_wide(df: DataFrame, members: DataFrame, site: str) -> DataFrame:
+    """``trait_summary`` of the rows of an abundance matrix, without a shuffle."""
+    taxa = [c for c in common_taxa(df, members) if c != site]
+    none = F.lit(0)
+    return df.select(
+        q(site),
+        (row_count_positive(taxa) if taxa else none.cast("long")).alias("trait_richness"),
+        (row_sum(taxa) if taxa else none.cast("double")).alias("trait_total"),
+    )
+
+
+def group_totals_wide(df: DataFrame, groups: Mapping[str, Sequence[str]], site: str) -> DataFrame:
+    """``group_totals`` of the rows of an abundance matrix, without a shuffle."""
+    taxa = [c for c in df.columns if c != site]
+
+    def total(cols: Sequence[str]) -> Column:
+        return row_sum(cols) if cols else F.lit(0.0)
+
+    return df.select(
+        q(site), *[total([c for c in taxa if c in set(names)]).alias(g) for g, names in groups.items()], total(taxa).alias("total")
+    )
 
 
 def alpha_diversity_all_sites(
@@ -192,15 +237,11 @@ def richness(df: DataFrame, by: str | Sequence[str], taxon: str) -> DataFrame:
 
 def trait_summary(df: DataFrame, members: DataFrame, site: str, taxon: str, value: str) -> DataFrame:
     """Positive taxa and summed value of the member taxa, 0 for sites without any."""
-    sites = df.select(site).distinct()
-    cells = (
-        keep_sites(df, members.select(F.col(members.columns[0]).alias(taxon)), taxon)
-        .groupBy(site, taxon).agg(F.sum(value).alias(value))
-    )
-    found = cells.groupBy(site).agg(
-        F.count_if(F.col(value) > 0).alias("trait_richness"), F.sum(value).alias("trait_total")
+    flagged = attach(df, members.select(F.col(members.columns[0]).alias(taxon), F.lit(True).alias("_in")), taxon)
+    cells = flagged.groupBy(site, taxon).agg(F.sum(F.when(F.col("_in"), F.col(value))).alias("_v"))
+    return cells.groupBy(site).agg(
+        F.count_if(F.col("_v") > 0).alias("trait_richness"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("trait_total")
     )
-    return attach(sites, found, site).fillna(0, ["trait_richness"]).fillna(0.0, ["trait_total"])
 
 
 def group_totals(

@@ -8,13 +8,16 @@ SS_j = sum h^2 - (sum h)^2 / n per taxon and SS_i = sum(h^2 - 2 h m_j) + sum m_j
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, safe_ln
-from .joins import attach, join_nullsafe, single_row
+from ..sources.tables import checkpointed
+from .joins import attach, broadcast_if_small, join_nullsafe
 from .order import dense_index
 
 
@@ -34,50 +37,56 @@ def hellinger(df: DataFrame, site: str, taxon: str, value: str, unique_cells: bo
     return cells.join(totals, site).select(site, taxon, h.alias("h"))
 
 
-def _taxa(h: DataFrame, site: str, taxon: str) -> DataFrame:
-    """Per taxon: mean over all sites and sum of squared deviations."""
-    n = h.agg(F.count_distinct(site)).scalar()
-    return (
-        h.groupBy(taxon).agg(F.sum("h").alias("_s"), F.sum(F.col("h") * F.col("h")).alias("_s2"))
-        .withColumn("_n", n)
-        .select(taxon, (F.col("_s") / F.col("_n")).alias("mean"),
-                (F.col("_s2") - F.col("_s") * F.col("_s") / F.col("_n")).alias("ss"), "_n")
-    )
+@dataclass(frozen=True)
+class BetaTable:
+    """A Hellinger table read several times: its cells and taxa are materialised once.
 
+    ``cells`` holds ``site, taxon, h`` and ``taxa`` the mean of each taxon over all sites
+    and its sum of squares; the three numbers are the number of sites, the total sum of
+    squares and the sum of the squared means.
+    """
 
-def _summary(taxa: DataFrame) -> DataFrame:
-    return taxa.agg(
-        F.max("_n").alias("n_sites"), F.sum("ss").alias("ss_total"),
-        F.sum(F.col("mean") * F.col("mean")).alias("mean_ss"),
-    )
+    site: str
+    taxon: str
+    cells: DataFrame
+    taxa: DataFrame
+    n_sites: int
+    ss_total: float
+    mean_ss: float
+
+    @classmethod
+    def build(cls, df: DataFrame, site: str, taxon: str, value: str, unique_cells: bool = False) -> BetaTable:
+        cells = checkpointed(hellinger(df, site, taxon, value, unique_cells))
+        n = cells.select(site).distinct().count()
+        s, s2 = F.sum("h"), F.sum(F.col("h") * F.col("h"))
+        taxa = checkpointed(cells.groupBy(taxon).agg((s / F.lit(float(n))).alias("mean"), (s2 - s * s / F.lit(float(n))).alias("ss")))
+        row = taxa.agg(F.sum("ss"), F.sum(F.col("mean") * F.col("mean"))).head()
+        return cls(site, taxon, cells, taxa, n, row[0] or 0.0, row[1] or 0.0)
+
+    def with_means(self) -> DataFrame:
+        """Cells with ``part``, what each adds to the sum of squares of its site."""
+        means = broadcast_if_small(self.taxa.select(self.taxon, "mean"))
+        part = F.col("h") * (F.col("h") - F.lit(2.0) * F.coalesce("mean", F.lit(0.0)))
+        return join_nullsafe(self.cells, means, [self.taxon]).select(self.site, self.taxon, "h", part.alias("part"))
+
+    def share(self, part: Column) -> Column:
+        """Share of a site in the total from its summed parts."""
+        return ratio(part + F.lit(self.mean_ss), F.lit(self.ss_total))
 
 
 def beta_total(df: DataFrame, site: str, taxon: str, value: str) -> DataFrame:
     """Total sum of squares and total beta diversity: one row."""
-    totals = _summary(_taxa(hellinger(df, site, taxon, value), site, taxon))
-    return totals.select(
-        "n_sites", "ss_total", ratio(F.col("ss_total"), F.col("n_sites") - 1).alias("bd_total")
+    t = BetaTable.build(df, site, taxon, value)
+    bd = t.ss_total / (t.n_sites - 1) if t.n_sites > 1 else None
+    return df.sparkSession.createDataFrame(
+        [(t.n_sites, float(t.ss_total), bd)], "n_sites bigint, ss_total double, bd_total double"
     )
 
 
 def scbd(df: DataFrame, site: str, taxon: str, value: str) -> DataFrame:
     """Share of each taxon in the total beta diversity: ``taxon, scbd``."""
-    taxa = _taxa(hellinger(df, site, taxon, value), site, taxon)
-    return (
-        taxa.withColumn("_t", single_row(_summary(taxa)))
-        .select(taxon, ratio(F.col("ss"), F.col("_t.ss_total")).alias("scbd"))
-    )
-
-
-def _with_means(h: DataFrame, site: str, taxon: str) -> DataFrame:
-    """Cells with the taxon mean and the one-row summary attached."""
-    taxa = _taxa(h, site, taxon)
-    cells = join_nullsafe(h, taxa.select(taxon, "mean"), [taxon])
-    return cells.withColumn("_t", single_row(_summary(taxa)))
-
-
-def _site_share(part: Column) -> Column:
-    return ratio(part + F.max("_t.mean_ss"), F.max("_t.ss_total"))
+    t = BetaTable.build(df, site, taxon, value)
+    return t.taxa.select(taxon, ratio(F.col("ss"), F.lit(t.ss_total)).alias("scbd"))
 
 
 def lcbd(
@@ -88,10 +97,8 @@ def lcbd(
 
     ``where`` restricts the table first (corrected beta diversity).
     """
-    rows = df if where is None else df.where(where)
-    cells = _with_means(hellinger(rows, site, taxon, value, unique_cells), site, taxon)
-    part = F.sum(F.col("h") * F.col("h") - F.lit(2.0) * F.col("h") * F.col("mean"))
-    out = cells.groupBy(site).agg(_site_share(part).alias("_l"))
+    t = BetaTable.build(df if where is None else df.where(where), site, taxon, value, unique_cells)
+    out = t.with_means().groupBy(site).agg(t.share(F.sum("part")).alias("_l"))
     return out.select(
         site, F.col("_l").alias(f"lcbd{suffix}"), safe_ln(F.col("_l")).alias(f"log_lcbd{suffix}")
     )
@@ -102,31 +109,47 @@ def sample_sums(df: DataFrame, sample: Column, taxon: str, value: str) -> DataFr
     return df.groupBy(sample.alias("sample"), taxon).agg(F.sum(value).alias(value))
 
 
-def _feistel(index: Column, salt: Column, n: Column) -> Column:
-    """Keyed bijection of 0..n-1.
+# Fixed value: the modulus of the mixing function, the largest prime below 2**31.
+_PRIME = (1 << 31) - 1
+
 
-    Four rounds on a grid of a * b >= n cells, each adding a hash of one half to the other;
-    a result outside the range is mapped again until it is inside. The grid has at most
-    about sqrt(n) spare cells, which bounds the number of repeats.
+def shuffle_keys(*parts: Column) -> list[Column]:
+    """Four round keys from the md5 of the parts of a name."""
+    digest = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("NA")) for p in parts]))
+    return [F.conv(F.substring(digest, 1 + 8 * r, 8), 16, 10).cast("long") for r in range(4)]
+
+
+def shuffled_index(index: Column, keys: Sequence[Column], n: Column) -> Column:
+    """Where a keyed bijection of 0..n-1 sends an index.
+
+    Four rounds on a grid of a * b >= n cells, each adding a keyed mix of one half to the
+    other. A result outside the range is mapped again until it is inside, which a bijection
+    always reaches; the grid has at most about sqrt(n) spare cells, so repeats are few.
     """
-    a = F.ceil(F.sqrt(n)).cast("long")
-    b = F.ceil(n / a).cast("long")
-
-    def once(i: Column) -> Column:
-        left, right = F.floor(i / b).cast("long"), F.pmod(i, b)
-        for r in range(2):
-            left = F.pmod(left + _hash(salt, f"l{r}", right), a)
-            right = F.pmod(right + _hash(salt, f"r{r}", left), b)
-        return left * b + right
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(32)), once(index), lambda i, _: F.when(i < n, i).otherwise(once(i))
-    )
 
+    @F.pandas_udf("long")
+    def send(i: pd.Series, k0: pd.Series, k1: pd.Series, k2: pd.Series, k3: pd.Series, size: pd.Series) -> pd.Series:
+        count = size.to_numpy(np.int64)
+        a = np.ceil(np.sqrt(count)).astype(np.int64)
+        b = -(-count // a)
+        key = [k.to_numpy(np.int64) for k in (k0, k1, k2, k3)]
+        out = i.to_numpy(np.int64).copy()
+
+        def mix(half, r, at):
+            x = (half + key[r][at]) % _PRIME
+            return x * x % _PRIME + x * 1103515245 % _PRIME
 
-def _hash(salt: Column, tag: str, half: Column) -> Column:
-    digest = F.md5(F.concat(salt, F.lit(f":{tag}:"), half.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+        todo = np.arange(len(out))
+        while len(todo):
+            left, right = out[todo] // b[todo], out[todo] % b[todo]
+            for r in (0, 2):
+                left = (left + mix(right, r, todo)) % a[todo]
+                right = (right + mix(left, r + 1, todo)) % b[todo]
+            out[todo] = left * b[todo] + right
+            todo = todo[out[todo] >= count[todo]]
+        return pd.Series(out)
+
+    return send(index, *keys, n)
 
 
 def lcbd_permutation(
@@ -139,29 +162,21 @@ def lcbd_permutation(
     the site a keyed bijection assigns to it, and absent cells are never listed. The result
     depends on the seed and the keys, not on the partitioning.
     """
-    cells = _with_means(hellinger(df, site, taxon, value), site, taxon)
-    sites = dense_index(df, site)
-    observed = cells.groupBy(site).agg(
-        F.sum(F.col("h") * (F.col("h") - F.lit(2.0) * F.col("mean"))).alias("_part"),
-        F.max("_t.mean_ss").alias("_m"), F.max("_t.ss_total").alias("_ss"),
-    )
-    observed = observed.join(sites, site).select(
-        site, "idx", "_m", "_ss", F.round(ratio(F.col("_part") + F.col("_m"), F.col("_ss")), 12).alias("lcbd")
-    )
-    positive = cells.where(F.col("h") > 0).join(sites, site)
-    moved = positive.select(
+    t = BetaTable.build(df, site, taxon, value)
+    n, sites = t.n_sites, dense_index(t.cells, site)
+    cells = t.with_means().join(sites, site)
+    observed = cells.groupBy(site, "idx").agg(F.round(t.share(F.sum("part")), 12).alias("lcbd"))
+    moved = cells.where(F.col("h") > 0).select(
         F.explode(F.sequence(F.lit(1), F.lit(nperm))).alias("perm"), F.col(taxon).alias("_taxon"), "idx",
-        (F.col("h") * (F.col("h") - F.lit(2.0) * F.col("mean"))).alias("_d"), F.col("_t.n_sites").alias("_n"),
-    )
-    salt = F.concat_ws(":", F.lit(str(seed)), F.col("perm"), F.coalesce(F.col("_taxon").cast("string"), F.lit("NA")))
-    target = moved.select("perm", _feistel(F.col("idx"), salt, F.col("_n")).alias("idx"), "_d")
-    shuffled = target.groupBy("idx", "perm").agg(F.sum("_d").alias("_d"))
-    compared = shuffled.join(observed, "idx").select(
-        "idx", (F.round(ratio(F.col("_d") + F.col("_m"), F.col("_ss")), 12) >= F.col("lcbd")).alias("_ge")
+        F.col("part").alias("_d"),
     )
+    keys = shuffle_keys(F.lit(seed), F.col("perm"), F.col("_taxon"))
+    target = moved.select("perm", shuffled_index(F.col("idx"), keys, F.lit(n)).alias("idx"), "_d")
+    shuffled = target.groupBy("idx", "perm").agg(F.round(t.share(F.sum("_d")), 12).alias("_l"))
+    compared = shuffled.join(observed, "idx").select("idx", (F.col("_l") >= F.col("lcbd")).alias("_ge"))
     counts = compared.groupBy("idx").agg(F.count_if("_ge").alias("_hits"), F.count("*").alias("_seen"))
     # A site that received no positive cell in a shuffle has the share of an empty site.
-    empty = (F.round(ratio(F.col("_m"), F.col("_ss")), 12) >= F.col("lcbd")).cast("int")
+    empty = (F.round(t.share(F.lit(0.0)), 12) >= F.col("lcbd")).cast("int")
     hits = F.coalesce(F.col("_hits"), F.lit(0)) + empty * (F.lit(nperm) - F.coalesce(F.col("_seen"), F.lit(0)))
     one = 1 if plus_one else 0
     return attach(observed, counts, "idx").select(

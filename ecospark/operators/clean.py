@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,6 +91,18 @@ def merge_synonyms(
     return df.groupBy(F.col(site), name.alias(taxon)).agg(total.alias(value))
 
 
+def merge_synonym_columns(
+    df: DataFrame, key: str, pattern: str = r"\.\d+$", synonyms: Mapping[str, str] | None = None
+) -> DataFrame:
+    """``merge_synonyms`` on the columns of an abundance matrix: sums within a row, no shuffle."""
+    groups: dict[str, list[str]] = {}
+    for c in df.columns:
+        if c != key:
+            groups.setdefault((synonyms or {}).get(c, re.sub(pattern, "", c)), []).append(c)
+    sums = [reduce(add, [q(c) for c in parts]).alias(name) for name, parts in groups.items()]
+    return df.select(q(key), *sums)
+
+
 def trait_set(traits: DataFrame, taxon: str = "Genus", label: str = MIXOTROPH) -> DataFrame:
     """Distinct taxa that carry a trait; a missing taxon is never a member."""
     return traits.where((F.col("strat") == label) & F.col(taxon).isNotNull()).select(taxon).distinct()

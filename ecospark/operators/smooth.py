@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spline import Basis, Fit, penalised_fit
-from .beta import _feistel
+from .beta import shuffle_keys, shuffled_index
 from .clean import q
 from .order import dense_index
 
@@ -182,8 +182,8 @@ def smooth_permutation(
 
     numbered = rows.join(dense_index(rows, key), key)
     moved = numbered.select("x", F.explode(F.sequence(F.lit(1), F.lit(nperm))).alias("perm"), "idx")
-    salt = F.concat_ws(":", F.lit(str(seed)), F.col("perm"))
-    paired = moved.select("perm", "x", _feistel(F.col("idx"), salt, F.lit(n)).alias("idx")).join(
+    keys = shuffle_keys(F.lit(seed), F.col("perm"))
+    paired = moved.select("perm", "x", shuffled_index(F.col("idx"), keys, F.lit(n)).alias("idx")).join(
         numbered.select("idx", "y"), "idx"
     ).select("perm", "x", "y")
 

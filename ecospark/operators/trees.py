@@ -138,15 +138,15 @@ def shapley(
     """
     p = len(features)
     pool = background.agg(F.collect_list("z")).scalar()
-    base = rows.select(F.col(key), F.array(*[q(f).cast("double") for f in features]).alias("x")).withColumn("_pool", pool)
+    base = rows.select(F.col(key), F.array(*[q(f).cast("double") for f in features]).alias("x"))
     drawn = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
     draw = F.concat_ws(":", F.lit(str(seed)), F.col("perm"), F.col(key).cast("string"))
-    slot = F.pmod(F.xxhash64(draw), F.size("_pool")).cast("int") + 1
+    slot = F.pmod(F.xxhash64(draw), F.size(pool)).cast("int") + 1
     order = F.array_sort(F.array(*[
         F.struct(F.xxhash64(draw, F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(p)
     ]))
     drawn = drawn.select(
-        key, "x", F.element_at("_pool", slot).alias("z"), F.transform(order, lambda s: s["i"]).alias("order")
+        key, "x", F.element_at(pool, slot).alias("z"), F.transform(order, lambda s: s["i"]).alias("order")
     )
     steps = drawn.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(p))))
     hybrid = [

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import biovolume, floor_bin, safe_ln
+from ..functions.columns import biovolume, floor_bin, percent, row_sum
 from ..operators import alpha, beta, clean, compose, joins, reshape
 from ..operators.clean import q
 from ..sources.tables import checkpointed
@@ -24,9 +24,8 @@ def named(df: DataFrame, suffix: str = "") -> DataFrame:
     return df.withColumnsRenamed({f"{a}{suffix}": f"{b}{suffix}" for a, b in METRIC_NAMES.items()})
 
 
-def zoo_totals(long: DataFrame, groups: Mapping[str, Sequence[str]], taxon: str, value: str) -> DataFrame:
+def zoo_columns(totals: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """Zooplankton biovolume per group and in total, under the survey column names."""
-    totals = alpha.group_totals(long, groups, "lake_id", taxon, value)
     return totals.select(
         "lake_id", F.col("total").alias("biovol_tot_zoo_um3.mL"), *[F.col(g).alias(f"biovol_{g}_um3.mL") for g in groups]
     )
@@ -39,20 +38,19 @@ def wide_survey_table(
     """Site table of a survey stored as abundance matrices.
 
     ``phyto`` and ``zoo`` have one row per ``lake_id`` and one column per taxon, repeats
-    numbered ``.1``, ``.2``. Synonyms are merged on the long form and metrics follow from
-    it; environment sheets are joined in order, and keep sites without plankton.
+    numbered ``.1``, ``.2``. Everything about a site is in its row, so merging synonyms and
+    the metrics need no shuffle; only the joins by site do. Environment sheets are joined
+    in order, and keep sites without plankton.
     """
-    long = clean.merge_synonyms(reshape.to_long(phyto, ["lake_id"]), "lake_id", "taxon", "value")
-    cells = checkpointed(long)
-    metrics = alpha.alpha_diversity_all_sites(cells, "lake_id", "taxon", "value", unique_cells=True)
-    traits = alpha.trait_summary(cells, members, "lake_id", "taxon", "value")
-    phyto_sites = named(joins.attach(metrics, traits, "lake_id").withColumn(
-        "prev", F.lit(100.0) * F.try_divide("trait_total", "total")
-    ))
-    zoo_long = clean.merge_synonyms(reshape.to_long(zoo, ["lake_id"]), "lake_id", "taxon", "value")
+    merged = clean.merge_synonym_columns(phyto, "lake_id")
+    taxa = [c for c in merged.columns if c != "lake_id"]
+    traits = [c for c in alpha.common_taxa(merged, members) if c != "lake_id"]
+    metrics = alpha.alpha_diversity_wide(merged.withColumn("_trait", row_sum(traits) if traits else F.lit(0.0)), "lake_id", taxa, ["_trait"])
+    phyto_sites = named(metrics.withColumn("prev", percent(F.col("_trait"), F.col("total"))))
+    zoo_sites = alpha.group_totals_wide(clean.merge_synonym_columns(zoo, "lake_id"), groups, "lake_id")
     env = joins.attach_all(env_sheets, "lake_id")
     out = joins.attach(env, phyto_sites.select("lake_id", *DIVERSITY, "prev_Mixo"), "lake_id")
-    out = joins.attach(out, zoo_totals(zoo_long, groups, "taxon", "value"), "lake_id")
+    out = joins.attach(out, zoo_columns(zoo_sites, groups), "lake_id")
     return clean.select_cols(out, drop=drop, first=["lake_id"])
 
 
@@ -104,7 +102,7 @@ def long_survey_table(
         "lake_id", F.col("log_lcbd").alias("log_LCBD_corr")
     )
     tables = [
-        env, full.select("lake_id", *DIVERSITY, "prev_Mixo"), corr, zoo_totals(zoo, groups, "taxon", "value"), lcbd, lcbd_corr
+        env, full.select("lake_id", *DIVERSITY, "prev_Mixo"), corr, zoo_columns(alpha.group_totals(zoo, groups, "lake_id", "taxon", "value"), groups), lcbd, lcbd_corr
     ]
     out = clean.select_cols(joins.attach_all(tables, "lake_id"), drop=drop)
     return clean.require(out, ["shannon", "eveness_piel", "shannon_corr", "eveness_piel_corr"])
@@ -195,8 +193,3 @@ def composition_report(
     taxa = compose.richness_bins(rows, bin_col, ranks, value)
     return joins.join_nullsafe(table, taxa, ["rank", "bin"])
 
-
-def lcbd_table(cells: DataFrame, site: str, taxon: str, value: str) -> DataFrame:
-    """LCBD with its log under the survey names."""
-    out = beta.lcbd(cells, site, taxon, value)
-    return out.select(site, F.col("lcbd").alias("LCBD"), safe_ln(F.col("lcbd")).alias("log_LCBD"))

@@ -105,8 +105,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, cutting the lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_path(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+    """Materialise as a table in the shared checkpoint folder, cutting the lineage.
+
+    Read back from files, the table survives lost executors, is pruned by column, and has
+    a size Spark knows when it chooses a join.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
