@@ -207,9 +207,10 @@ def varpart(
     Returns the adjusted fractions ``a, b, c, d``.
     """
     cols = [*first, *second]
+    response = checkpointed(response)
     x = predictors.select(site, *[F.col(c).cast("double").alias(c) for c in cols]).dropna("any")
+    x = checkpointed(x.join(response.select(site), site, "left_semi"))
     h = response.join(x, site)
-    x = x.join(response.select(site).distinct(), site, "left_semi")
     head = x.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols]).head()
     n, means = head["n"], [head[c] for c in cols]
     gram = _gram(x, cols, means)

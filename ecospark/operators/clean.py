@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import numeric_columns, ratio
+from ..sources.tables import checkpointed
 from ..vocabulary import AUTOTROPH, MIXOTROPH
 from .joins import attach, join_nullsafe, single_row
 from .order import exact_quantiles
@@ -252,6 +253,7 @@ def interpolate(
         between = lo["y"] + (hi["y"] - lo["y"]) * step
         return F.when(lo["x"] == hi["x"], lo["y"]).otherwise(between)
 
-    curve = near.select(*by, x, *[lerp(c).alias(c) for c in cols])
+    # Materialised, so that Spark knows its size when it joins it back to the rows.
+    curve = checkpointed(near.select(*by, x, *[lerp(c).alias(c) for c in cols]))
     kept = select_cols(df, drop=cols)
     return join_nullsafe(kept, curve, [*by, x], "left").select(*[q(c) for c in df.columns])

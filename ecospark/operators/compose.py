@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import percent
+from ..sources.tables import checkpointed
 from .joins import attach, join_nullsafe
 
 TOP_TAXA = 15
@@ -59,7 +60,8 @@ def lump_top_n(
 ) -> DataFrame:
     """Replace every level outside the most frequent ones by one label; missing stays."""
     counts = df.groupBy(col).agg(F.count("*").alias("_n"))
-    kept = kept_levels(counts, col, "_n", top).withColumn("_kept", F.lit(True))
+    # Materialised, so that Spark knows its size when it joins it to the rows.
+    kept = checkpointed(kept_levels(counts, col, "_n", top)).withColumn("_kept", F.lit(True))
     lumped = F.when(F.col("_kept") | F.col(col).isNull(), F.col(col).cast("string"))
     return attach(df, kept, col).withColumn(name, lumped.otherwise(F.lit(other))).drop("_kept")
 
@@ -84,7 +86,11 @@ def composition_all_ranks(
     ``rank, bin, taxon, freq, abundance, percent_freq, percent_abundance``; rare taxa are
     lumped per rank over all bins. Rows without a bin form a group of 100 percent rows.
     """
-    cells = rank_cells(df, bin_col, ranks, value)
+    return composition_of_cells(checkpointed(rank_cells(df, bin_col, ranks, value)), top)
+
+
+def composition_of_cells(cells: DataFrame, top: int = TOP_TAXA) -> DataFrame:
+    """``composition_all_ranks`` of a table made by ``rank_cells``."""
     levels = cells.groupBy("rank", "taxon").agg(F.sum("freq").alias("_n"))
     kept = kept_levels(levels, "taxon", "_n", top, ["rank"]).withColumn("_kept", F.lit(True))
     name = F.when(F.col("_kept") | F.col("taxon").isNull(), F.col("taxon")).otherwise(F.lit(OTHER))
@@ -114,6 +120,9 @@ def composition(
 
 def richness_bins(df: DataFrame, bin_col: Column, ranks: Sequence[str], value: str) -> DataFrame:
     """Distinct taxa per rank and bin before lumping, a missing taxon counting as one."""
-    return rank_cells(df, bin_col, ranks, value).groupBy("rank", "bin").agg(
-        F.count("*").alias("richness")
-    )
+    return richness_of_cells(rank_cells(df, bin_col, ranks, value))
+
+
+def richness_of_cells(cells: DataFrame) -> DataFrame:
+    """``richness_bins`` of a table made by ``rank_cells``."""
+    return cells.groupBy("rank", "bin").agg(F.count("*").alias("richness"))

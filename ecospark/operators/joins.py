@@ -61,7 +61,8 @@ def single_row(df: DataFrame) -> Column:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint, given only when a count capped just above the limit proves it small."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    """Broadcast hint, given only when a row count proves the table small.
+
+    Meant for materialised tables, where counting reads file footers only.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -104,12 +104,12 @@ def exact_quantiles(
     """Exact interpolated quantiles: ``*by, variable, n, quantiles`` (an array like ``probs``).
 
     The built-in exact percentile keeps all distinct values of a group in one task, so it
-    serves only tables that a capped count shows to be small. Beyond that, one pass counts the buckets; a second keeps only the buckets that hold a wanted rank,
+    serves only tables that a row count shows to be small. Beyond that, one pass counts the buckets; a second keeps only the buckets that hold a wanted rank,
     so the shuffled share is about ``2 * len(probs) / buckets`` of the distinct values.
     """
     by = list(by)
     typed = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    if typed.limit(small_rows + 1).count() <= small_rows:
+    if typed.count() <= small_rows:
         wanted_probs = F.array(*[F.lit(float(p)) for p in probs])
         per_group = typed.groupBy(*by).agg(*[
             F.struct(F.count(c).alias("n"), F.percentile(c, wanted_probs).alias("quantiles")).alias(c)

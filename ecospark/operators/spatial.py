@@ -335,7 +335,7 @@ def _interactions(placed: DataFrame, levels: int, class_of) -> DataFrame:
         ))
         mixed = seen.where(F.col("class") != F.col("_high")).select(*ids, F.col("cx").alias("px"), F.col("cy").alias("py"))
         if level + 1 < levels:
-            frontier = mixed.join(_cells_at(placed, level + 1), ["px", "py"]).drop("px", "py")
+            frontier = mixed.join(checkpointed(_cells_at(placed, level + 1)), ["px", "py"]).drop("px", "py")
         else:
             last = placed.select(
                 F.col(f"cx{level}").alias("px"), F.col(f"cy{level}").alias("py"), F.col("id").alias("other"),

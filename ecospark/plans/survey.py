@@ -183,13 +183,13 @@ def composition_report(
     """Composition and taxon richness per prevalence bin for every rank.
 
     ``prevalence`` holds the key and ``prev_Mixo``; ``saturated=False`` leaves out sites at
-    exactly 100 percent. Both results come from one (rank, bin, taxon) table.
+    exactly 100 percent. Both results come from one (rank, bin, taxon) table, made in one
+    pass over the abundance rows.
     """
     rows = joins.attach(abundance, prevalence, key)
     if not saturated:
         rows = clean.exclude_value(rows, "prev_Mixo", 100.0)
-    bin_col = floor_bin(F.col("prev_Mixo"), 100 // bins)
-    table = compose.composition_all_ranks(rows, bin_col, ranks, value)
-    taxa = compose.richness_bins(rows, bin_col, ranks, value)
-    return joins.join_nullsafe(table, taxa, ["rank", "bin"])
+    cells = checkpointed(compose.rank_cells(rows, floor_bin(F.col("prev_Mixo"), 100 // bins), ranks, value))
+    table = compose.composition_of_cells(cells)
+    return joins.join_nullsafe(table, compose.richness_of_cells(cells), ["rank", "bin"])
 
