@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def q(name: str) -> Column:
+    """Column by its exact name, dots included."""
+    return F.col(f"`{name}`")
+
+
 def rounded(col, digits: int = 6) -> Column:
     """Round and turn -0.0 into 0.0, so that equal results print equally."""
     return F.round(col, digits) + F.lit(0.0)
@@ -60,18 +65,18 @@ def recode(col: Column, mapping: Mapping[str, str]) -> Column:
 
 def row_sum(cols: Sequence[str]) -> Column:
     """Sum across columns, missing cells skipped; 0 when all are missing."""
-    return reduce(add, [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cols])
+    return reduce(add, [F.coalesce(q(c), F.lit(0.0)) for c in cols])
 
 
 def row_mean(cols: Sequence[str]) -> Column:
     """Mean across columns, missing cells skipped; NULL when all are missing."""
-    present = reduce(add, [F.col(f"`{c}`").isNotNull().cast("int") for c in cols])
+    present = reduce(add, [q(c).isNotNull().cast("int") for c in cols])
     return F.try_divide(row_sum(cols), present)
 
 
 def row_count_positive(cols: Sequence[str]) -> Column:
     """Number of columns holding a positive value."""
-    return reduce(add, [F.coalesce((F.col(f"`{c}`") > 0).cast("long"), F.lit(0)) for c in cols])
+    return reduce(add, [F.coalesce((q(c) > 0).cast("long"), F.lit(0)) for c in cols])
 
 
 def floor_bin(col, width: float) -> Column:

@@ -14,9 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import percent, ratio, row_count_positive, row_sum
+from ..functions.columns import percent, q, ratio, row_count_positive, row_sum
 from ..vocabulary import MIXOTROPH
-from .clean import q
 from .joins import attach
 
 METRICS = ["richness", "shannon", "op_simpson", "evenness"]
@@ -46,8 +45,8 @@ def alpha_diversity(
     step is skipped. Duplicate rows of a cell count as separate parts of the total.
     """
     by = [by] if isinstance(by, str) else list(by)
-    x = F.col(value).cast("double")
-    rows = df.where(F.col(value) > 0)
+    x = q(value).cast("double")
+    rows = df.where(q(value) > 0)
     if where is not None:
         rows = rows.where(where)
 
@@ -62,7 +61,7 @@ def alpha_diversity(
         **({"group_total": amount(group)} if group is not None else {}),
     }
     constants = {
-        **({"_t": F.max(F.col(total).cast("double"))} if total else {}),
+        **({"_t": F.max(q(total).cast("double"))} if total else {}),
         **{c: F.min(q(c)) for c in firsts},
     }
     key = F.coalesce(F.col(taxon).cast("string"), F.lit(_NO_TAXON)).alias("_taxon")
@@ -118,7 +117,7 @@ def site_cells(
     with ``_rows`` 0, because their site counts in beta diversity.
     """
     by = [by] if isinstance(by, str) else list(by)
-    x = F.when(F.col(value) > 0, F.col(value).cast("double"))
+    x = F.when(q(value) > 0, q(value).cast("double"))
     return df.groupBy(*by, taxon).agg(
         F.count(x).alias("_rows"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_n"), F.sum(x * F.ln(x)).alias("_a"),
         F.sum(x * x).alias("_q"), *[F.max(q(c)).alias(c) for c in carry],
@@ -204,14 +203,14 @@ def alpha_diversity_all_sites(
     long: DataFrame, site: str, taxon: str, value: str, unique_cells: bool = False
 ) -> DataFrame:
     """Metrics of every site of a long table, sites without a positive value included."""
-    x = F.when(F.col(value) > 0, F.col(value).cast("double"))
+    x = F.when(q(value) > 0, q(value).cast("double"))
     sums = {"_n": F.sum(x), "_a": F.sum(x * F.ln(x)), "_q": F.sum(x * x)}
     cells = long
     if not unique_cells:
         key = F.coalesce(F.col(taxon).cast("string"), F.lit(_NO_TAXON)).alias("_taxon")
-        cells = long.groupBy(F.col(site), key).agg(F.sum(F.col(value).cast("double")).alias(value))
+        cells = long.groupBy(F.col(site), key).agg(F.sum(q(value).cast("double")).alias(value))
     per_site = cells.groupBy(site).agg(
-        F.count_if(F.col(value) > 0).alias("richness"), *[e.alias(n) for n, e in sums.items()]
+        F.count_if(q(value) > 0).alias("richness"), *[e.alias(n) for n, e in sums.items()]
     )
     n = F.col("_n")
     shannon = F.ln(n) - ratio(F.col("_a"), n)
@@ -238,7 +237,7 @@ def richness(df: DataFrame, by: str | Sequence[str], taxon: str) -> DataFrame:
 def trait_summary(df: DataFrame, members: DataFrame, site: str, taxon: str, value: str) -> DataFrame:
     """Positive taxa and summed value of the member taxa, 0 for sites without any."""
     flagged = attach(df, members.select(F.col(members.columns[0]).alias(taxon), F.lit(True).alias("_in")), taxon)
-    cells = flagged.groupBy(site, taxon).agg(F.sum(F.when(F.col("_in"), F.col(value))).alias("_v"))
+    cells = flagged.groupBy(site, taxon).agg(F.sum(F.when(F.col("_in"), q(value))).alias("_v"))
     return cells.groupBy(site).agg(
         F.count_if(F.col("_v") > 0).alias("trait_richness"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("trait_total")
     )
@@ -248,7 +247,7 @@ def group_totals(
     df: DataFrame, groups: Mapping[str, Sequence[str]], site: str, taxon: str, value: str
 ) -> DataFrame:
     """Summed value per functional group and over all taxa; 0 where a group is absent."""
-    x = F.col(value).cast("double")
+    x = q(value).cast("double")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, x)), F.lit(0.0))
     return df.groupBy(site).agg(
         *[total(F.col(taxon).isin(list(taxa))).alias(name) for name, taxa in groups.items()],
@@ -262,11 +261,11 @@ def rank_diversity(df: DataFrame, by: str, ranks: Sequence[str], value: str) ->
     The ranks are unpivoted, so one job serves all of them: ``by, rank, richness, ...``.
     """
     long = (
-        df.where(F.col(value) > 0)
+        df.where(q(value) > 0)
         .select(by, value, F.explode(F.array(*[
             F.struct(F.lit(r).alias("rank"), F.col(r).cast("string").alias("taxon")) for r in ranks
         ])).alias("_c"))
         .select(by, value, "_c.rank", "_c.taxon")
     )
-    cells = long.groupBy(by, "rank", "taxon").agg(F.sum(value).alias(value))
+    cells = long.groupBy(by, "rank", "taxon").agg(F.sum(q(value)).alias(value))
     return alpha_diversity(cells, [by, "rank"], "taxon", value, unique_cells=True)

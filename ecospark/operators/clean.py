@@ -5,24 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import numeric_columns, ratio
+from ..functions.columns import decimal_comma, numeric_columns, q, ratio
 from ..sources.tables import checkpointed
 from ..vocabulary import AUTOTROPH, MIXOTROPH
 from .joins import attach, join_nullsafe, single_row
 from .order import exact_quantiles
 
 
-def q(name: str) -> Column:
-    """Column by its exact name, dots included."""
-    return F.col(f"`{name}`")
-
-
 def select_cols(
     df: DataFrame, keep: Sequence[str] | None = None, drop: Iterable[str] = (), first: Sequence[str] = ()
 ) -> DataFrame:
@@ -64,8 +59,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def to_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    from ..functions.columns import decimal_comma
-
     return df.withColumns({c: decimal_comma(q(c)) for c in cols})
 
 
@@ -86,9 +79,9 @@ def merge_synonyms(
     name = F.regexp_replace(taxon, pattern, "")
     for old, new in (synonyms or {}).items():
         name = F.when(F.col(taxon) == old, F.lit(new)).otherwise(name)
-    total = F.sum(value)
+    total = F.sum(q(value))
     if not skip_null:
-        total = F.when(F.count(value) == F.count("*"), total)
+        total = F.when(F.count(q(value)) == F.count("*"), total)
     return df.groupBy(F.col(site), name.alias(taxon)).agg(total.alias(value))
 
 
@@ -123,8 +116,10 @@ def tag_trait(
 
 
 def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows in which every listed metric is present."""
-    return df.dropna(subset=list(cols))
+    """Rows in which every listed metric is present and not NaN."""
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    present = [q(c).isNotNull() & ~F.isnan(q(c)) if c in floating else q(c).isNotNull() for c in cols]
+    return df.where(reduce(and_, present))
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
@@ -138,12 +133,12 @@ def complete_cases(features: DataFrame, target: DataFrame, key: str) -> DataFram
 
 def exclude_value(df: DataFrame, col: str, value) -> DataFrame:
     """Drop rows equal to a value; missing values stay."""
-    return df.where(~F.col(col).eqNullSafe(F.lit(value)))
+    return df.where(~q(col).eqNullSafe(F.lit(value)))
 
 
 def filter_stratum(df: DataFrame, col: str, stratum: str | None) -> DataFrame:
     """Rows of one stratum, or all rows when none is asked for."""
-    return df if stratum is None else df.where(F.col(col) == stratum)
+    return df if stratum is None else df.where(q(col) == stratum)
 
 
 def drop_by_dataset(df: DataFrame, kind: str, drops: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -157,7 +152,7 @@ def disagreements(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def above(df: DataFrame, col: str, threshold: float) -> DataFrame:
-    return df.where(F.col(col) > threshold)
+    return df.where(q(col) > threshold)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -229,16 +224,17 @@ def interpolate(
     by = list(by)
     axis = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(*[F.avg(q(c)).alias(c) for c in cols])
     axis = axis.withColumn("_b", F.floor(F.col(x) / F.lit(float(bucket))))
-    point = {c: F.when(q(c).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), q(c).alias("y"))) for c in cols}
+    at = {c: i for i, c in enumerate(cols)}
+    point = {c: F.when(q(c).isNotNull(), F.struct(q(x).cast("double").alias("x"), q(c).alias("y"))) for c in cols}
     ends = axis.groupBy(*by, "_b").agg(*[
-        e for c in cols for e in (F.min(point[c]).alias(f"_f_{c}"), F.max(point[c]).alias(f"_l_{c}"))
+        e for c in cols for e in (F.min(point[c]).alias(f"_f{at[c]}"), F.max(point[c]).alias(f"_l{at[c]}"))
     ])
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*by).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
     carried = ends.select(*by, "_b", *[
-        e for c in cols for e in (
-            F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}"),
-            F.first(f"_f_{c}", ignorenulls=True).over(later).alias(f"_n_{c}"),
+        e for i in at.values() for e in (
+            F.last(f"_l{i}", ignorenulls=True).over(earlier).alias(f"_p{i}"),
+            F.first(f"_f{i}", ignorenulls=True).over(later).alias(f"_n{i}"),
         )
     ])
     inside = Window.partitionBy(*by, "_b").orderBy(x)
@@ -247,8 +243,8 @@ def interpolate(
     near = join_nullsafe(axis, carried, [*by, "_b"], "left")
 
     def lerp(c: str) -> Column:
-        lo = F.coalesce(F.last(point[c], ignorenulls=True).over(upto), F.col(f"_p_{c}"))
-        hi = F.coalesce(F.first(point[c], ignorenulls=True).over(onward), F.col(f"_n_{c}"))
+        lo = F.coalesce(F.last(point[c], ignorenulls=True).over(upto), F.col(f"_p{at[c]}"))
+        hi = F.coalesce(F.first(point[c], ignorenulls=True).over(onward), F.col(f"_n{at[c]}"))
         step = ratio(F.col(x) - lo["x"], hi["x"] - lo["x"])
         between = lo["y"] + (hi["y"] - lo["y"]) * step
         return F.when(lo["x"] == hi["x"], lo["y"]).otherwise(between)

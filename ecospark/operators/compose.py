@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import percent
+from ..functions.columns import percent, q
 from ..sources.tables import checkpointed
 from .joins import attach, join_nullsafe
 
@@ -72,7 +72,7 @@ def rank_cells(df: DataFrame, bin_col: Column, ranks: Sequence[str], value: str)
         F.struct(F.lit(r).alias("rank"), F.col(r).cast("string").alias("taxon")) for r in ranks
     ]))
     return (
-        df.select(bin_col.alias("bin"), F.col(value).cast("double").alias("_x"), cells.alias("_c"))
+        df.select(bin_col.alias("bin"), q(value).cast("double").alias("_x"), cells.alias("_c"))
         .groupBy("_c.rank", "bin", "_c.taxon")
         .agg(F.count("*").alias("freq"), F.coalesce(F.sum("_x"), F.lit(0.0)).alias("abundance"))
     )

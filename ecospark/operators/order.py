@@ -14,14 +14,19 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import q
 from ..sources.tables import checkpointed
 from .joins import broadcast_if_small, join_nullsafe
 
-BUCKETS = 256
 SMALL_ROWS = 2_000_000
 
 
-def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) -> list[list[float]]:
+def bucket_number(rows: int) -> int:
+    """Buckets of about a million rows, within what the driver should hold as edges."""
+    return min(max(rows // 1_000_000, 64), 10_000)
+
+
+def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int) -> list[list[float]]:
     """Approximate quantiles of each column as strictly increasing split points."""
     probs = [i / buckets for i in range(1, buckets)]
     found = df.approxQuantile(list(cols), probs, 1.0 / (2 * buckets))
@@ -33,7 +38,7 @@ def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) ->
 
 
 def with_buckets(
-    df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS
+    df: DataFrame, cols: Sequence[str], buckets: int
 ) -> tuple[DataFrame, list[list[float]]]:
     """Add ``_b_<col>``, the number of the value bucket, for each column."""
     edges = bucket_edges(df, cols, buckets)
@@ -50,27 +55,27 @@ def before(order: Sequence[str | Column], by: Sequence[str] = ()) -> Window:
 
 
 def global_rank(
-    df: DataFrame, value: str, key: Column, name: str = "rank", buckets: int = BUCKETS
+    df: DataFrame, value: str, key: Column, name: str = "rank", buckets: int | None = None
 ) -> DataFrame:
     """Number the rows 1..n by value, equal values in the order of the hash of their key."""
-    rows = df.where(F.col(value).isNotNull()).withColumn("_h", F.md5(key.cast("string")))
-    rows, edges = with_buckets(rows, [value], buckets)
+    rows = df.where(q(value).isNotNull()).withColumns({"_h": F.md5(key.cast("string")), "_v": q(value).cast("double")})
+    n = df.count()
+    rows, edges = with_buckets(rows, ["_v"], buckets or bucket_number(n))
     lows = F.array(*[F.lit(e) for e in edges[0]])
-    on_edge = F.col(value) == F.element_at(lows, F.col(f"_b_{value}").cast("int") + 1)
-    rows = rows.withColumn(
-        "_sub", F.when(on_edge, F.substring("_h", 1, 2)).otherwise(F.lit("~"))
-    )
-    bucket = [f"_b_{value}", "_sub"]
+    on_edge = F.col("_v") == F.element_at(lows, F.col("_b__v").cast("int") + 1)
+    digits = 2 if n < 1_000_000_000 else 3
+    rows = rows.withColumn("_sub", F.when(on_edge, F.substring("_h", 1, digits)).otherwise(F.lit("~")))
+    bucket = ["_b__v", "_sub"]
     counts = rows.groupBy(*bucket).agg(F.count("*").alias("_n"))
-    # At most buckets * 257 rows.
+    # A few hundred rows per bucket at most, since only the lowest value of one is cut.
     offsets = counts.select(
         *bucket, F.coalesce(F.sum("_n").over(before(bucket)), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(*bucket).orderBy(value, "_h")
+    inside = Window.partitionBy(*bucket).orderBy("_v", "_h")
     return (
         rows.join(F.broadcast(offsets), bucket)
         .withColumn(name, F.col("_offset") + F.row_number().over(inside))
-        .drop(*bucket, "_offset", "_h")
+        .drop(*bucket, "_offset", "_h", "_v")
     )
 
 
@@ -98,7 +103,7 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Exact interpolated quantiles: ``*by, variable, n, quantiles`` (an array like ``probs``).
@@ -108,19 +113,22 @@ def exact_quantiles(
     so the shuffled share is about ``2 * len(probs) / buckets`` of the distinct values.
     """
     by = list(by)
-    typed = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    if typed.count() <= small_rows:
+    inner = [f"_v{i}" for i in range(len(cols))]
+    typed = df.select(*by, *[q(c).cast("double").alias(v) for c, v in zip(cols, inner)])
+    rows = typed.count()
+    if rows <= small_rows:
         wanted_probs = F.array(*[F.lit(float(p)) for p in probs])
         per_group = typed.groupBy(*by).agg(*[
-            F.struct(F.count(c).alias("n"), F.percentile(c, wanted_probs).alias("quantiles")).alias(c)
-            for c in cols
+            F.struct(F.count(v).alias("n"), F.percentile(v, wanted_probs).alias("quantiles")).alias(c)
+            for c, v in zip(cols, inner)
         ])
-        return per_group.unpivot(by, list(cols), "variable", "_q").select(*by, "variable", "_q.*")
-    binned, _ = with_buckets(typed, cols, buckets)
+        return per_group.unpivot(by, [q(c) for c in cols], "variable", "_q").select(*by, "variable", "_q.*")
+    buckets = buckets or bucket_number(rows)
+    binned, _ = with_buckets(typed, inner, buckets)
     long = (
         binned.select(*by, F.explode(F.array(*[
-            F.struct(F.lit(c).alias("variable"), F.col(c).alias("value"),
-                     F.col(f"_b_{c}").alias("bucket")) for c in cols
+            F.struct(F.lit(c).alias("variable"), F.col(v).alias("value"), F.col(f"_b_{v}").alias("bucket"))
+            for c, v in zip(cols, inner)
         ])).alias("_c"))
         .select(*by, "_c.*")
         .where(F.col("value").isNotNull())

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clean import q
+from ..functions.columns import q
 
 
 def to_wide(
     df: DataFrame, site: str, taxon: str, value: str, taxa: Sequence, fill: float = 0.0
 ) -> DataFrame:
     """One row per site and one column per listed taxon, absent cells filled."""
-    wide = df.groupBy(site).pivot(taxon, list(taxa)).agg(F.sum(value))
+    wide = df.groupBy(site).pivot(taxon, list(taxa)).agg(F.sum(q(value)))
     return wide.fillna(fill, subset=[str(t) for t in taxa])
 
 
@@ -25,7 +25,7 @@ def pivot_mean(
 
     A missing value makes its mean missing; an absent cell is missing.
     """
-    cell = F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
+    cell = F.when(F.count(q(value)) == F.count(F.lit(1)), F.avg(q(value)))
     return df.groupBy(*ids).pivot(name, list(names)).agg(cell)
 
 

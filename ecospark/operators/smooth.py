@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.spline import Basis, Fit, penalised_fit
 from .beta import shuffle_keys, shuffled_index
-from .clean import q
+from ..functions.columns import q
+from .clean import require
 from .order import dense_index
 
 
@@ -85,7 +86,7 @@ class AdditiveModel:
         cls, df: DataFrame, y: str, xs: Sequence[str], k: int = 10, select: bool = True, method: str = "REML"
     ) -> AdditiveModel:
         """Fit on the complete rows; k basis functions per predictor."""
-        ranges, means = _ranges(df.dropna(subset=[*xs, y]), xs, [y])
+        ranges, means = _ranges(require(df, [*xs, y]), xs, [y])
         bases = {x: Basis(*ranges[x], k) for x in xs}
         gram = _grams(df, bases, means)[y]
         result = penalised_fit(gram, [k] * len(xs), [b.penalty() for b in bases.values()], select, method)

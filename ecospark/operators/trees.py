@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -13,10 +12,10 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_fraction
+from ..functions.columns import hash_fraction, q
 from ..sources.tables import save_model, scratch_path
 from ..vocabulary import DIVERSITY, DIVERSITY_CORR
-from .clean import impute_median, q
+from .clean import impute_median
 
 RESPONSE_COLUMNS = [*DIVERSITY, "log_LCBD", *DIVERSITY_CORR, "log_LCBD_corr"]
 PATIENCE = 50
@@ -46,7 +45,10 @@ def fill_features(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, li
 
 
 def with_vector(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=name).transform(df)
+    """Add the feature vector; the assembler needs names without dots."""
+    plain = {f"_f{i}": q(f).cast("double") for i, f in enumerate(features)}
+    assembled = VectorAssembler(inputCols=list(plain), outputCol=name).transform(df.withColumns(plain))
+    return assembled.drop(*plain)
 
 
 def fit_gbt(
@@ -197,14 +199,13 @@ def random_search(
     """Cross-validated R2 of every draw: ``draw, <parameters>, r2, best``."""
     folded = train.withColumn("_fold", F.floor(hash_fraction(key, seed) * folds).cast("int"))
     tree = GBTRegressor(featuresCol="features", labelCol=target, seed=seed)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     maps = [{tree.getParam(k): v for k, v in d.items()} for d in draws]
     cv = CrossValidator(
-        estimator=Pipeline(stages=[assembler, tree]), estimatorParamMaps=maps,
+        estimator=tree, estimatorParamMaps=maps,
         evaluator=RegressionEvaluator(labelCol=target, metricName="r2"),
         numFolds=folds, foldCol="_fold", parallelism=parallelism, collectSubModels=False,
     )
-    scores = cv.fit(folded.select(*features, target, "_fold")).avgMetrics
+    scores = cv.fit(with_vector(folded, features).select("features", q(target), "_fold")).avgMetrics
     best = max(range(len(scores)), key=lambda i: scores[i])
     names = list(draws[0])
     rows = [(i, *[str(d[k]) for k in names], float(s), i == best) for i, (d, s) in enumerate(zip(draws, scores))]

@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import row_mean
-from ..operators.clean import add_literals, q
+from ..functions.columns import q, row_mean
+from ..operators.clean import add_literals
 from ..vocabulary import HARMONISE_MEANS, HARMONISE_RENAMES, HARMONISE_UNITS, HARMONISED, UNMEASURED
 
 

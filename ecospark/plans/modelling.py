@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..functions.columns import q
 from ..operators import clean, smooth, stats, trees
 from ..sources.tables import checkpointed
 from ..vocabulary import INTERPOLATED, SMOOTH_DROPS
@@ -40,7 +41,7 @@ def run_trees(
     """
     target = config.target
     names = list(features or trees.feature_set(table, key, target))
-    rows = clean.require(table.select(key, target, *[clean.q(n) for n in names]), [target])
+    rows = clean.require(table.select(key, target, *[q(n) for n in names]), [target])
     rows = trees.split(rows, F.col(key), config.test_size, config.seed)
     rows, filled = trees.fill_features(rows, names)
     rows = checkpointed(trees.with_vector(rows, filled))
@@ -57,7 +58,7 @@ def run_trees(
         attribution = trees.shapley(model, test, key, filled, sample, nperm, config.seed)
     return ModelRun(
         filled,
-        scored.select(key, "split", target, "prediction", "residual", clean.q(focal)),
+        scored.select(key, "split", target, "prediction", "residual", q(focal)),
         stats.regression_metrics(scored, target, "prediction", len(filled), by="split"),
         trees.staged_rmse(model, {"train": train, "test": test}, target),
         trees.split_counts(table.sparkSession, model, filled),
@@ -79,7 +80,7 @@ def run_smooth(
     if kind == "dated":
         gaps = [c for c in INTERPOLATED if c in names]
         rows = clean.interpolate(rows, "doy", gaps, by=["split"])
-    rows = clean.require(rows, [*[f"`{n}`" for n in names], target])
+    rows = clean.require(rows, [*names, target])
     train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
     model = smooth.AdditiveModel.fit(train, target, names, k)
     return model, smooth.export_fit(model, test, focal)

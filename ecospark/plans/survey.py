@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import biovolume, floor_bin, percent, row_sum
+from ..functions.columns import biovolume, floor_bin, percent, q, row_sum
 from ..operators import alpha, beta, clean, compose, joins, reshape
-from ..operators.clean import q
 from ..sources.tables import checkpointed
 from ..vocabulary import (
     AUTOTROPH, CHEMISTRY_MEANS, COMPOSITION_RANKS, CYANOBACTERIA, DIVERSITY, MIXOTROPH, SODIUM_CODE,

@@ -157,3 +157,29 @@ def test_smooth_run_interpolates_dated_chemistry(spark):
     model, export = modelling.run_smooth(spark.createDataFrame(pdf), "lake_id", "dated", config)
     assert set(model.bases) == {"doy", "pH", "prev_Mixo"}
     assert export.columns == ["prev_Mixo", "fit", "r2_adj"] and export.where("fit is null").count() == 0
+
+
+def test_run_on_harmonised_names(spark):
+    """Harmonised columns carry dots and gaps."""
+    rng = np.random.default_rng(10)
+    n = 300
+    pdf = pd.DataFrame({
+        "lake_id": [f"l{i}" for i in range(n)], "lat": rng.random(n), "DO_mg.L": rng.random(n), "TP_ug.L": rng.random(n) * 30,
+        "prev_Mixo": rng.random(n) * 100, "rich_genus": rng.integers(1, 20, n).astype(float), "shannon_corr": rng.random(n),
+    })
+    pdf["shannon"] = pdf["DO_mg.L"] + pdf["prev_Mixo"] / 100 + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame(pdf).withColumn("TP_ug.L", F.when(F.col("lat") > 0.2, F.col("`TP_ug.L`")))
+    config = RunConfig(kind="long", response="shannon", corrected=False, n_estimators=100, learning_rate=0.1, max_depth=2, gamma=0.0, reg_alpha=0, reg_lambda=0)
+    run = modelling.run_trees(df, "lake_id", config, nperm=1, background=5)
+    assert run.features == ["lat", "DO_mg.L", "TP_ug.L", "prev_Mixo", "TP_ug.L_missing"]
+    metrics = {r.split: r for r in run.metrics.collect()}
+    assert metrics["train"].r2 > 0.5
+    report = modelling.model_report(run)
+    assert {r.section for r in report.select("section").distinct().collect()} == {
+        "metrics", "learning", "importance", "curve", "residuals", "attribution",
+    }
+    assert run.qq.count() == metrics["test"].n
+    model, export = modelling.run_smooth(df, "lake_id", "long", config)
+    assert "DO_mg.L" in model.bases and model.r2_adj > 0.5
+    draws = trees.sample_params({"maxIter": [2], "maxDepth": [2], "stepSize": (0.1, 0.1)}, 1)
+    assert trees.random_search(df, F.col("lake_id"), ["lat", "DO_mg.L"], "shannon", draws, folds=2).count() == 1
