@@ -275,7 +275,7 @@ def taxonomy_conflicts(t):
 def harmonised_union(t):
     nation = F.col("c_nationkey").cast("double")
     wide = t.customer.select(
-        F.col("c_name").alias("lake_id"), F.year(F.current_date()).alias("yr"), F.lit(1).alias("doy"),
+        F.col("c_name").alias("lake_id"), F.lit(2000).alias("yr"), F.lit(1).alias("doy"),
         F.col("c_acctbal").alias("doc.mgl"), nation.alias("tn.mgl"),
     )
     depth = F.col("s_nationkey").cast("double")

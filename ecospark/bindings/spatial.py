@@ -82,7 +82,7 @@ def spatial_weights(t):
 
 MORAN = """
     v as (select i, s0, n, -1.0::double / (n - 1) as e,
-        (n*((n*n - 3*n + 3)*s1 - n*s2 + 3*s0*s0) - kk*((n*n - n)*s1 - 2*n*s2 + 6*s0*s0)) / ((n-1)*(n-2)*(n-3)*s0*s0) - 1.0::double/((n-1)*(n-1)) as var{extra} from st),
+        (n*((n*n - 3*n + 3)*s1 - n*s2 + 3*s0*s0) - kk*((n*n - n)*s1 - 2*n*s2 + 6*s0*s0)) / nullif((n-1)*(n-2)*(n-3)*s0*s0, 0) - 1.0::double/((n-1)*(n-1)) as var{extra} from st),
     zt as (select *, (i - e) / sqrt(var) as z, abs((i - e) / sqrt(var)) as a from v)"""
 
 
