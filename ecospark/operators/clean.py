@@ -103,18 +103,23 @@ def trait_set(traits: DataFrame, taxon: str = "Genus", label: str = MIXOTROPH) -
 
 
 def tag_trait(
-    df: DataFrame, members: DataFrame, taxon: str, unmatched: str | None = AUTOTROPH,
-    label: str = MIXOTROPH, name: str = "strat",
+    df: DataFrame, members: DataFrame, taxon: str, unmatched: str = AUTOTROPH, label: str = MIXOTROPH, name: str = "strat"
 ) -> DataFrame:
-    """Label each row by membership of its taxon; ``unmatched=None`` drops the others."""
-    flagged = attach(df, members.select(F.col(members.columns[0]).alias(taxon), F.lit(True).alias("_in")), taxon)
-    if unmatched is None:
-        return flagged.where(F.col("_in")).withColumn(name, F.lit(label)).drop("_in")
-    return flagged.withColumn(
+    """Label each row by membership of its taxon; every other taxon gets ``unmatched``.
+
+    ``attach_trait`` is for surveys in which a taxon without a recorded trait is left out.
+    """
+    flags = members.select(F.col(members.columns[0]).alias(taxon), F.lit(True).alias("_in"))
+    return attach(df, flags, taxon).withColumn(
         name, F.when(F.col("_in"), F.lit(label)).otherwise(F.lit(unmatched))
     ).drop("_in")
 
 
+def attach_trait(df: DataFrame, traits: DataFrame, taxon: str) -> DataFrame:
+    """Rows whose taxon has a recorded trait, with that trait and the other trait columns."""
+    return attach(df, traits, taxon).where(F.col("strat").isNotNull())
+
+
 def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows in which every listed metric is present and not NaN."""
     floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}

@@ -136,3 +136,32 @@ def test_projection_origin(spark):
     x, y = project_lcc(F.lit(EPSG_3347.lon_origin), F.lit(EPSG_3347.lat_origin))
     r = spark.range(1).select(x.alias("x"), y.alias("y")).head()
     assert (r.x, r.y) == (pytest.approx(6200000, abs=1e-3), pytest.approx(3000000, abs=1e-3))
+
+
+def test_unrecorded_trait_is_autotroph_or_left_out(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "t string")
+    traits = spark.createDataFrame([("a", "Mixotroph"), ("b", "Autotroph"), (None, "Mixotroph")], "t string, strat string")
+    members = clean.trait_set(traits, "t")
+    tagged = {r.t: r.strat for r in clean.tag_trait(rows, members, "t").collect()}
+    assert tagged == {"a": "Mixotroph", "b": "Autotroph", "c": "Autotroph", None: "Autotroph"}
+    kept = {r.t: r.strat for r in clean.attach_trait(rows, traits, "t").collect()}
+    assert kept == {"a": "Mixotroph", "b": "Autotroph"}
+
+
+def test_drop_first_index_and_positions(spark):
+    df = spark.createDataFrame([(1, "x", 2.0)], "row int, a string, b double")
+    assert clean.select_pos(df, [1], drop=True).columns == ["a", "b"]
+    assert clean.select_cols(df, drop=["row"], first=["b"]).columns == ["b", "a"]
+    assert clean.add_literals(df, ["z"], 0.0).head()["z"] == 0.0
+
+
+def test_table_level_helpers(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string")
+    b = spark.createDataFrame([(1, 10.0), (4, 40.0)], "k int, w double")
+    assert {r.k for r in joins.common_keys(a, b, "k").collect()} == {1}
+    assert {r.k for r in joins.outer_merge(a, b, "k").collect()} == {1, 2, 3, 4}
+    assert joins.bind_by_key(a, b, "k").count() == 1
+    loss = clean.row_loss(a, "step").head()
+    assert (loss.rows_before, loss.rows_after, loss.rows_lost) == (3, 2, 1)
+    assert {(r.variable, r.nulls) for r in clean.null_profile(a).collect()} == {("k", 0), ("v", 1)}
+    assert {(r.v, r.n) for r in compose.crosstab(a.withColumn("u", F.lit("q")), "v", "u").select("v", "n").collect()} == {("x", 1), ("y", 1), ("<NA>", 1)}
