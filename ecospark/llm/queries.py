@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, html, language, lines, private, simhash
+from . import chat, contamination, html, language, lines, private, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,12 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate class of every document."""
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.labelled(docs, table(spark, folder, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return toxicity.scan(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
