@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, html, language, lines, private, simhash, toxicity
+from . import chat, contamination, html, language, lines, mixing, private, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,45 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.train(toxicity.labelled(docs, table(spark, folder, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return toxicity.scan(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in a mixture whose sources weigh the square root of their size."""
+    docs = table(spark, folder, "documents")
+    return mixing.mix(docs.select("doc_id", "text", "source"), mixing.tempered_weights(docs)).select(
+        "doc_id", "source", "block_nr", "slot", "mix_position")
+
+
+#: The period's schedule comes from a recursion over its slots, on lists in the order of the sources' names.
+MIXING_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT source, sqrt(sum(n_chars)) AS weight FROM {docs} GROUP BY source HAVING sum(n_chars) > 0
+), x AS (
+  SELECT source, weight / sum(weight) OVER () * (1000 - count(*) OVER ()) AS exact, count(*) OVER () AS n FROM w
+), f AS (
+  SELECT source, CAST(floor(exact) AS INT) AS base, round(exact - floor(exact), 9) AS rest, n FROM x
+), sh AS (
+  SELECT source, base + 1 + CASE WHEN row_number() OVER (ORDER BY rest DESC, source NULLS FIRST) <= 1000 - n - sum(base) OVER () THEN 1 ELSE 0 END AS share
+  FROM f
+), l AS (
+  SELECT list(source ORDER BY source NULLS FIRST) AS sources, list(share ORDER BY source NULLS FIRST) AS shares FROM sh
+), r AS (
+  SELECT -1 AS slot, shares, list_transform(shares, lambda s: 0) AS done, 0 AS picked, 0 AS nr FROM l
+  UNION ALL
+  SELECT slot, shares, list_transform(done, lambda d, i: CASE WHEN i = p.i THEN d + 1 ELSE d END), p.i, done[p.i]
+  FROM (
+    SELECT slot + 1 AS slot, shares, done, list_min(list_transform(list_filter(range(1, len(shares) + 1),
+        lambda i: done[i] < shares[i] AND done[i] * 1000 // shares[i] <= slot + 1),
+        lambda i: struct_pack(due := ((done[i] + 1) * 1000 + shares[i] - 1) // shares[i], i := i))) AS p
+    FROM r WHERE slot < 999)
+), plan AS (
+  SELECT sources[picked] AS source, nr, slot FROM r, l WHERE slot >= 0
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, md5(text)) - 1 AS place FROM {docs}
+)
+SELECT {columns} place // 8 AS block_nr, place // 8 // share * 1000 + slot AS slot,
+       (place // 8 // share * 1000 + slot) * 8 + place % 8 AS mix_position
+FROM d JOIN sh USING (source) JOIN plan ON plan.source = d.source AND plan.nr = place // 8 % share
+"""
+ORACLES["op9_mixing"] = MIXING_SQL.format(docs="documents", columns="doc_id, d.source,")
