@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, html, language, lines, mixing, private, simhash, toxicity
+from . import chat, contamination, html, language, lines, mixing, neighbours, private, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,3 +206,11 @@ SELECT {columns} place // 8 AS block_nr, place // 8 // share * 1000 + slot AS sl
 FROM d JOIN sh USING (source) JOIN plan ON plan.source = d.source AND plan.nr = place // 8 % share
 """
 ORACLES["op9_mixing"] = MIXING_SQL.format(docs="documents", columns="doc_id, d.source,")
+
+
+@query
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest rows of every fiftieth embedding."""
+    index = neighbours.build(table(spark, folder, "embeddings"))
+    found = neighbours.nearest_to_rows(index, F.col("id") % 50 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
