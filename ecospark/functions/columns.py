@@ -30,6 +30,11 @@ def safe_ln(col: Column) -> Column:
     return F.when(col > 0, F.ln(col))
 
 
+def positive(col: Column) -> Column:
+    """Above zero; NaN, which Spark orders above every number, is not."""
+    return (col > 0) & ~F.isnan(col)
+
+
 def ratio(num, den) -> Column:
     """Quotient, NULL on a zero or missing denominator."""
     return F.try_divide(num, den)

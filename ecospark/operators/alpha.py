@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import percent, q, ratio, row_count_positive, row_sum
+from ..functions.columns import percent, positive, q, ratio, row_count_positive, row_sum
 from ..vocabulary import MIXOTROPH
 from .joins import attach
 
@@ -46,7 +46,7 @@ def alpha_diversity(
     """
     by = [by] if isinstance(by, str) else list(by)
     x = q(value).cast("double")
-    rows = df.where(q(value) > 0)
+    rows = df.where(positive(q(value)))
     if where is not None:
         rows = rows.where(where)
 
@@ -117,7 +117,7 @@ def site_cells(
     with ``_rows`` 0, because their site counts in beta diversity.
     """
     by = [by] if isinstance(by, str) else list(by)
-    x = F.when(q(value) > 0, q(value).cast("double"))
+    x = F.when(positive(q(value)), q(value).cast("double"))
     return df.groupBy(*by, taxon).agg(
         F.count(x).alias("_rows"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_n"), F.sum(x * F.ln(x)).alias("_a"),
         F.sum(x * x).alias("_q"), *[F.max(q(c)).alias(c) for c in carry],
@@ -153,7 +153,7 @@ def alpha_diversity_wide(
     A row of zeros has richness 0, Shannon 0 and Simpson complement 1.
     """
     taxa = list(taxa or [c for c in df.columns if c != site])
-    values = F.filter(F.array(*[q(c).cast("double") for c in taxa]), lambda v: v > 0)
+    values = F.filter(F.array(*[q(c).cast("double") for c in taxa]), positive)
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("n", "a", "q")])
     sums = F.aggregate(values, zero, lambda s, v: F.struct(
         (s["n"] + v).alias("n"), (s["a"] + v * F.ln(v)).alias("a"), (s["q"] + v * v).alias("q")
@@ -203,14 +203,14 @@ def alpha_diversity_all_sites(
     long: DataFrame, site: str, taxon: str, value: str, unique_cells: bool = False
 ) -> DataFrame:
     """Metrics of every site of a long table, sites without a positive value included."""
-    x = F.when(q(value) > 0, q(value).cast("double"))
+    x = F.when(positive(q(value)), q(value).cast("double"))
     sums = {"_n": F.sum(x), "_a": F.sum(x * F.ln(x)), "_q": F.sum(x * x)}
     cells = long
     if not unique_cells:
         key = F.coalesce(F.col(taxon).cast("string"), F.lit(_NO_TAXON)).alias("_taxon")
         cells = long.groupBy(F.col(site), key).agg(F.sum(q(value).cast("double")).alias(value))
     per_site = cells.groupBy(site).agg(
-        F.count_if(q(value) > 0).alias("richness"), *[e.alias(n) for n, e in sums.items()]
+        F.count_if(positive(q(value))).alias("richness"), *[e.alias(n) for n, e in sums.items()]
     )
     n = F.col("_n")
     shannon = F.ln(n) - ratio(F.col("_a"), n)
@@ -236,7 +236,7 @@ def richness(df: DataFrame, by: str | Sequence[str], taxon: str) -> DataFrame:
 
 def trait_summary(df: DataFrame, members: DataFrame, site: str, taxon: str, value: str) -> DataFrame:
     """Positive taxa and summed value of the member taxa, 0 for sites without any."""
-    flagged = attach(df, members.select(F.col(members.columns[0]).alias(taxon), F.lit(True).alias("_in")), taxon)
+    flagged = attach(df, members.select(F.col(members.columns[0]).alias(taxon)).distinct().withColumn("_in", F.lit(True)), taxon)
     cells = flagged.groupBy(site, taxon).agg(F.sum(F.when(F.col("_in"), q(value))).alias("_v"))
     return cells.groupBy(site).agg(
         F.count_if(F.col("_v") > 0).alias("trait_richness"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("trait_total")
@@ -261,7 +261,7 @@ def rank_diversity(df: DataFrame, by: str, ranks: Sequence[str], value: str) ->
     The ranks are unpivoted, so one job serves all of them: ``by, rank, richness, ...``.
     """
     long = (
-        df.where(q(value) > 0)
+        df.where(positive(q(value)))
         .select(by, value, F.explode(F.array(*[
             F.struct(F.lit(r).alias("rank"), F.col(r).cast("string").alias("taxon")) for r in ranks
         ])).alias("_c"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q, ratio, safe_ln
+from ..functions.columns import positive, q, ratio, safe_ln
 from ..sources.tables import checkpointed
 from .joins import attach, broadcast_if_small, join_nullsafe
 from .order import dense_index
@@ -27,7 +27,7 @@ def hellinger(df: DataFrame, site: str, taxon: str, value: str, unique_cells: bo
     Duplicate rows of a cell are summed, unless cells are known to be unique. A site without any positive value stays, as one
     or more cells of value 0, because it counts among the sites.
     """
-    x = F.when(q(value) > 0, q(value).cast("double"))
+    x = F.when(positive(q(value)), q(value).cast("double"))
     if unique_cells:
         cells = df.select(site, taxon, F.coalesce(x, F.lit(0.0)).alias("_y"))
     else:

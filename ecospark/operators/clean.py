@@ -109,7 +109,7 @@ def tag_trait(
 
     ``attach_trait`` is for surveys in which a taxon without a recorded trait is left out.
     """
-    flags = members.select(F.col(members.columns[0]).alias(taxon), F.lit(True).alias("_in"))
+    flags = members.select(F.col(members.columns[0]).alias(taxon)).distinct().withColumn("_in", F.lit(True))
     return attach(df, flags, taxon).withColumn(
         name, F.when(F.col("_in"), F.lit(label)).otherwise(F.lit(unmatched))
     ).drop("_in")

@@ -18,7 +18,6 @@ from ..functions.columns import q
 from ..sources.tables import checkpointed
 from .joins import broadcast_if_small, join_nullsafe
 
-SMALL_ROWS = 2_000_000
 
 
 def bucket_number(rows: int) -> int:
@@ -104,25 +103,18 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     buckets: int | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Exact interpolated quantiles: ``*by, variable, n, quantiles`` (an array like ``probs``).
 
-    The built-in exact percentile keeps all distinct values of a group in one task, so it
-    serves only tables that a row count shows to be small. Beyond that, one pass counts the buckets; a second keeps only the buckets that hold a wanted rank,
-    so the shuffled share is about ``2 * len(probs) / buckets`` of the distinct values.
+    One pass counts the buckets; a second keeps only the buckets that hold a wanted rank,
+    so the shuffled share is about ``2 * len(probs) / buckets`` of the distinct values. A
+    group without values has n = 0 and no quantiles.
     """
     by = list(by)
     inner = [f"_v{i}" for i in range(len(cols))]
     typed = df.select(*by, *[q(c).cast("double").alias(v) for c, v in zip(cols, inner)])
+    typed = checkpointed(typed)
     rows = typed.count()
-    if rows <= small_rows:
-        wanted_probs = F.array(*[F.lit(float(p)) for p in probs])
-        per_group = typed.groupBy(*by).agg(*[
-            F.struct(F.count(v).alias("n"), F.percentile(v, wanted_probs).alias("quantiles")).alias(c)
-            for c, v in zip(cols, inner)
-        ])
-        return per_group.unpivot(by, [q(c) for c in cols], "variable", "_q").select(*by, "variable", "_q.*")
     buckets = buckets or bucket_number(rows)
     binned, _ = with_buckets(typed, inner, buckets)
     long = (
@@ -172,7 +164,11 @@ def exact_quantiles(
         F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"_q{i}")
         for i, p in enumerate(probs)
     ]
-    return (
+    known = (
         found.withColumn("_q", value).groupBy(*group, "n").agg(*per_prob)
         .select(*group, "n", F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias("quantiles"))
     )
+    names = F.explode(F.array(*[F.lit(c) for c in cols])).alias("variable")
+    groups = typed.select(*by).distinct().select(*by, names) if by else df.sparkSession.range(1).select(names)
+    full = join_nullsafe(groups, known, group, "left")
+    return full.select(*group, F.coalesce("n", F.lit(0).cast("long")).alias("n"), "quantiles")

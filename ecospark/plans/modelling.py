@@ -48,7 +48,7 @@ def run_trees(
     train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
     inner = trees.split(train, F.col(key), 0.1, config.seed + 1, "part")
     model = trees.fit_gbt(
-        inner.where(F.col("part") == "train"), target, config.tree_params(), inner.where(F.col("part") == "test")
+        inner.where(F.col("part") == "train"), target, config.tree_params(inner.where(F.col("part") == "train").count()), inner.where(F.col("part") == "test")
     )
     scored = checkpointed(stats.residuals(trees.predict(model, rows), target, "prediction"))
     tested = scored.where(F.col("split") == "test")

@@ -89,3 +89,12 @@ def test_hot_site_and_partitioning_do_not_change_results(spark):
     np.testing.assert_allclose(few.drop(columns="site").astype(float), many.drop(columns="site").astype(float))
     plan = alpha.alpha_diversity(df, "site", "taxon", "value")._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and "Window" not in plan
+
+
+def test_repeated_members_and_nan_change_nothing(spark):
+    rows = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 3.0), ("s", "c", float("nan"))], "site string, taxon string, value double")
+    twice = spark.createDataFrame([("a",), ("a",)], "taxon string")
+    got = alpha.trait_summary(rows, twice, "site", "taxon", "value").head()
+    assert (got["trait_richness"], got["trait_total"]) == (1, 1.0)
+    metrics = alpha.alpha_diversity(rows, "site", "taxon", "value").head()
+    assert metrics["richness"] == 2 and abs(metrics["shannon"] - 0.5623351446) < 1e-9

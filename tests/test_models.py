@@ -135,7 +135,7 @@ def test_config():
         RunConfig(kind="wide", corrected=True)
     assert RunConfig().target == "shannon_corr"
     with pytest.warns(UserWarning):
-        assert RunConfig().tree_params()["maxIter"] == 1000
+        assert RunConfig().tree_params(1000)["maxIter"] == 1000
 
 
 def test_split_is_stable(data):

@@ -16,7 +16,7 @@ def values(spark):
 def test_bucketed_quantiles_equal_numpy(values):
     df, v = values
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    got = order.exact_quantiles(df, ["v", "id"], probs, buckets=16, small_rows=0).collect()
+    got = order.exact_quantiles(df, ["v", "id"], probs, buckets=16).collect()
     got = {r.variable: r for r in got}
     np.testing.assert_allclose(got["v"].quantiles, np.quantile(v, probs))
     np.testing.assert_allclose(got["id"].quantiles, np.quantile(np.arange(5000), probs))
@@ -26,7 +26,7 @@ def test_bucketed_quantiles_equal_numpy(values):
 def test_bucketed_quantiles_by_group(values):
     df, _ = values
     probs = [0.25, 0.5]
-    a = order.exact_quantiles(df, ["v"], probs, by=["g"], buckets=8, small_rows=0).orderBy("g").collect()
+    a = order.exact_quantiles(df, ["v"], probs, by=["g"], buckets=8).orderBy("g").collect()
     b = order.exact_quantiles(df, ["v"], probs, by=["g"]).orderBy("g").collect()
     for x, y in zip(a, b, strict=True):
         assert x.n == y.n
@@ -62,3 +62,9 @@ def test_quantile_class(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 10)], "v double")
     got = [r.quantile_class for r in stats.quantile_class(df, "v").orderBy("v").collect()]
     assert got == [1, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_quantiles_keep_groups_without_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "g string, v double")
+    got = {r["g"]: (r["n"], r["quantiles"]) for r in order.exact_quantiles(df, ["v"], [0.5], by=["g"]).collect()}
+    assert got == {"a": (2, [2.0]), "b": (0, None)}
