@@ -50,6 +50,8 @@ CLOSED_BY = {
     **{x: ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}) for x in ("thead", "tbody", "tfoot")},
     "body": ({"head"}, {"html"}),
 }
+IN_TABLE = frozenset("td th tr li thead tbody tfoot caption".split())
+TOPS = frozenset("button object template html body".split())
 WALLS = frozenset("table td th caption button object template html body".split())
 
 
@@ -102,14 +104,16 @@ def build(page: str) -> Node:
         while len(stack) > depth:
             open_[stack.pop().tag] -= 1
 
-    def close(tags: set[str], walls: frozenset[str] | set[str]) -> None:
-        """Close the outermost open element of ``tags`` this side of a wall."""
+    def close(tags: set[str], walls: frozenset[str] | set[str], nearest: bool = False) -> None:
+        """Close the outermost open element of ``tags`` this side of a wall, or the nearest one."""
         if not any(open_.get(t) for t in tags):
             return
         found = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 found = i
+                if nearest:
+                    break
             elif stack[i].tag in walls:
                 break
         if found:
@@ -149,7 +153,7 @@ def build(page: str) -> Node:
             elif tag == "p" and not open_.get("p"):
                 stack[-1].children.append(Node("p"))
             else:
-                close({tag}, {"table"} if tag in ("td", "th", "tr", "li", "thead", "tbody", "tfoot") else WALLS - {tag})
+                close({tag}, {"table"} if tag in IN_TABLE else TOPS if tag == "table" else WALLS - {tag}, nearest=True)
             continue
         attrs = page[match.end():at - 1]
         if tag in CLOSES_P:
