@@ -11,7 +11,8 @@ toxic labels into a score from 0 to 1.
 Copies of one labelled document would make its rare words look toxic. So a class's count of a word is
 bounded by its number of different left neighbours, unless these are too many to tell.
 
-Counts are gathered from all labelled training rows by aggregation; the model is the ``max_words``
+Labels are learnt from a sample of at most about ``max_rows`` labelled documents (a parameter of
+labelled(); below it, all). Counts are gathered from all of these by aggregation; the model is the ``max_words``
 most significant words (a parameter of the model), so its size is bounded.
 
 Defined cases. Null and empty texts have no words, and the score of no evidence, which is the
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import checkpointed
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Words a task counts before it hands them on.
+HELD = 200_000
 PASSAGES = "array<struct<start:int,end:int,score:double,p_value:double>>"
 
 
@@ -53,8 +56,14 @@ def word_counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
     """(word, toxic, clean): occurrences by class, bounded by the number of left neighbours."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(w, *r) for w, r in held.items()], columns=["word", "toxic", "clean", "left1", "left0"])
+            held.clear()
+            return out
+
         for batch in batches:
-            held: dict[str, list[int]] = {}
             for text, toxic in zip(batch["text"], batch["label"], strict=True):
                 previous, k = 0, 0 if toxic else 1
                 for word in WORD.findall(text.lower()):
@@ -64,7 +73,9 @@ def word_counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
                     row[k] += 1
                     row[k + 2] |= 1 << previous
                     previous = zlib.crc32(word.encode()) % 63
-            yield pd.DataFrame([(w, *r) for w, r in held.items()], columns=["word", "toxic", "clean", "left1", "left0"])
+                if len(held) >= HELD:
+                    yield flush()
+        yield flush()
 
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).where(
         "text IS NOT NULL AND label IS NOT NULL")
@@ -196,8 +207,16 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", level: float = 0
     return docs.select(*kept, said(F.col(f"`{text_col}`")).alias("_said")).select(*kept, "_said.*")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, label) of training documents: those labelled whose crc32(id) mod 4 is not 2."""
-    some = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias(label_col)).where(
-        (F.crc32(F.col("_id").cast("string")) % 4 != 2) & F.col(label_col).isNotNull()).distinct()
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias(text_col)).join(some, "_id").select(text_col, label_col)
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+             max_rows: int = 100_000) -> DataFrame:
+    """(text, label) of training documents: those labelled whose crc32(id) mod 4 is not 2.
+
+    Of more than ``max_rows`` labelled ids a sample of about that many is taken, by a hash of the id. The
+    sample's ids and labels are a few megabytes and go to the texts, which stay where they are.
+    """
+    some = checkpointed(labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias(label_col)).where(
+        (F.crc32(F.col("_id").cast("string")) % 4 != 2) & F.col(label_col).isNotNull()).distinct())
+    share = int(min(1.0, max_rows / max(some.count(), 1)) * (1 << 40))
+    sample = some.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 40)) < share)
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias(text_col)).join(F.broadcast(sample), "_id").select(
+        text_col, label_col)
