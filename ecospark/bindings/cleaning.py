@@ -116,16 +116,19 @@ HOLES = "(select l_orderkey, l_quantity, nullif(l_tax, 0) as tax, nullif(l_disco
 @query("complete_rows", f"""
     select 'complete' as step, count(*) as n, round(sum(tax), 2) as s from {HOLES} where tax is not null and discount is not null
     union all select 'required', count(*), round(sum(tax), 2) from {HOLES} where tax is not null
-    union all select 'paired', count(*), round(sum(tax), 2) from {HOLES} where tax is not null and l_quantity > 25
+    union all select 'paired', count(*), round(sum(tax), 2) from {HOLES} where tax is not null
+    union all select 'target', count(*), round(sum(o_totalprice), 2) from {HOLES} join orders on l_orderkey = o_orderkey where tax is not null
     union all select 'filled', count(*), round(sum(coalesce(tax, 0.5)), 2) from {HOLES}""")
 def complete_rows(t):
     rows = _holes(t)
     keyed = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
-    features = rows.select("l_orderkey", "tax").where(F.col("l_quantity") > 25)
+    features = rows.select("l_orderkey", "tax")
+    pairs = clean.complete_cases(features, keyed, "l_orderkey")
     steps = {
         "complete": clean.drop_incomplete(rows),
         "required": clean.require(rows, ["tax"]),
-        "paired": clean.complete_cases(features, keyed, "l_orderkey"),
+        "paired": pairs,
+        "target": pairs.select(F.col("o_totalprice").alias("tax")),
         "filled": clean.fill_null(rows, {"tax": 0.5}),
     }
     tagged = [df.select(F.lit(s).alias("step"), "tax") for s, df in steps.items()]
@@ -197,7 +200,7 @@ def interpolate_doy(t):
         "event_id", F.dayofyear("ts").alias("doy"),
         F.when((F.col("event_type") == "click") & (F.col("value") > 230), F.col("value")).alias("v"),
     )
-    return clean.interpolate(rows, "doy", ["v"], bucket=8).withColumn("v", rounded(F.col("v")))
+    return clean.interpolate(rows, "doy", ["v"], buckets=8).withColumn("v", rounded(F.col("v")))
 
 
 @query("semi_sites", "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
@@ -207,13 +210,13 @@ def semi_sites(t):
 
 
 @query("common_keys", """
-    select l_partkey from lineitem where l_shipdate < timestamp '1996-01-01' intersect
-    select l_partkey from lineitem where l_shipdate >= timestamp '2000-01-01'""")
+    select l_orderkey from lineitem where l_shipdate < timestamp '1998-01-01' intersect
+    select l_orderkey from lineitem where l_shipdate >= timestamp '1998-01-01'""")
 def common_keys(t):
     shipped = F.col("l_shipdate")
-    early = t.lineitem.where(shipped < F.lit("1996-01-01").cast("timestamp_ntz"))
-    late = t.lineitem.where(shipped >= F.lit("2000-01-01").cast("timestamp_ntz"))
-    return joins.common_keys(early, late, "l_partkey")
+    early = t.lineitem.where(shipped < F.lit("1998-01-01").cast("timestamp_ntz"))
+    late = t.lineitem.where(shipped >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    return joins.common_keys(early, late, "l_orderkey")
 
 
 @query("first_per_key", """
@@ -229,27 +232,27 @@ def first_per_key(t):
     select s_suppkey, s_name, n_name, r_name, n, q from supplier
     left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey
     left join (select l_suppkey, count(*) as n from lineitem group by 1) a on s_suppkey = a.l_suppkey
-    left join (select l_suppkey, sum(l_quantity) as q from lineitem where l_returnflag = 'R' group by 1) b on s_suppkey = b.l_suppkey""")
+    left join (select l_suppkey, sum(l_quantity) as q from lineitem group by 1 having count(*) % 2 = 0) b on s_suppkey = b.l_suppkey""")
 def multiway_site_table(t):
     nation = t.nation.withColumnsRenamed({"n_nationkey": "s_nationkey"})
     region = t.region.withColumnsRenamed({"r_regionkey": "n_regionkey"})
     sites = joins.attach(joins.attach(t.supplier, nation, "s_nationkey"), region, "n_regionkey")
     lines = t.lineitem.withColumnRenamed("l_suppkey", "s_suppkey")
     counts = lines.groupBy("s_suppkey").agg(F.count("*").alias("n"))
-    returned = lines.where(F.col("l_returnflag") == "R").groupBy("s_suppkey").agg(F.sum("l_quantity").alias("q"))
-    return joins.attach_all([sites, counts, returned], "s_suppkey").select("s_suppkey", "s_name", "n_name", "r_name", "n", "q")
+    even = lines.groupBy("s_suppkey").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("_n")).where("_n % 2 = 0").drop("_n")
+    return joins.attach_all([sites, counts, even], "s_suppkey").select("s_suppkey", "s_name", "n_name", "r_name", "n", "q")
 
 
 @query("outer_merge", """
-    select coalesce(a.k, b.k) as k, a.n as returned, b.n as accepted from
-    (select l_partkey as k, count(*) as n from lineitem where l_returnflag = 'R' and l_discount = 0.1 group by 1) a full outer join
-    (select l_partkey as k, count(*) as n from lineitem where l_returnflag = 'A' and l_discount = 0.1 group by 1) b on a.k = b.k""")
+    select coalesce(a.k, b.k) as k, a.n as returned, b.n as kept from
+    (select l_orderkey as k, count(*) as n from lineitem where l_returnflag = 'R' group by 1) a full outer join
+    (select l_orderkey as k, count(*) as n from lineitem where l_returnflag <> 'R' group by 1) b on a.k = b.k""")
 def outer_merge(t):
-    def counts(flag, name):
-        rows = t.lineitem.where((F.col("l_returnflag") == flag) & (F.col("l_discount") == 0.1))
-        return rows.groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias(name))
+    def counts(which, name):
+        return t.lineitem.where(which).groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias(name))
 
-    return joins.outer_merge(counts("R", "returned"), counts("A", "accepted"), "k")
+    returned = F.col("l_returnflag") == "R"
+    return joins.outer_merge(counts(returned, "returned"), counts(~returned, "kept"), "k")
 
 
 @query("feature_table", """

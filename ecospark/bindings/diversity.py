@@ -40,15 +40,17 @@ GROUP_SQL = """,
            round(coalesce(sum(case when p_type = 'ECONOMY' then l_quantity end), 0), 6) as group_total,
            round(100 * coalesce(sum(case when p_type = 'ECONOMY' then l_quantity end), 0)
                  / nullif(any_value(t), 0), 6) as group_prev"""
-RECORDED = """select l.*, p.*, r.recorded from lineitem l join part p on l.l_partkey = p.p_partkey
-    join (select l_suppkey, sum(l_quantity) as recorded from lineitem group by l_suppkey) r using (l_suppkey)
-    where l_discount > 0"""
+RECORDED = """select * from (select l.* replace (case when l_discount > 0 then l_quantity else 0 end as l_quantity), p.*, r.recorded
+    from lineitem l join part p on l.l_partkey = p.p_partkey
+    join (select l_suppkey, sum(l_quantity) as recorded from lineitem group by l_suppkey) r using (l_suppkey))
+    where l_quantity > 0"""
 
 
 def recorded_rows(t):
-    """Lines with the supplier total over all its lines, then a filter the total ignores."""
+    """Lines with the supplier total over all its lines; undiscounted lines count zero, which the total ignores."""
     totals = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("recorded"))
-    return t.lines.where(F.col("l_discount") > 0).join(totals, "l_suppkey")
+    counted = F.when(F.col("l_discount") > 0, F.col("l_quantity")).otherwise(0.0)
+    return t.lines.withColumn("l_quantity", counted).join(totals, "l_suppkey")
 
 
 @query("alpha_long", textbook(LINES, "sum(l_quantity)", TRAIT_SQL))

@@ -32,7 +32,8 @@ def train_test(t):
 @query("gbt_fit")
 def gbt_fit(t):
     train, test, _ = train_test(t)
-    model = trees.fit_gbt(train, "price", TREES, valid=test)
+    inner = trees.split(train, F.col("l_orderkey"), 0.1, 43, "part")
+    model = trees.fit_gbt(inner.where("part = 'train'"), "price", TREES, valid=inner.where("part = 'test'"))
     return trees.predict(model, test).select("l_orderkey", "price", rounded(F.col("prediction")).alias("prediction"))
 
 

@@ -16,12 +16,15 @@ METRICS6 = ["shannon", "op_simpson", "eveness_piel"]
 
 
 def phyto(t):
-    """Long phytoplankton: supplier as lake, part as genus; undiscounted lines count zero."""
+    """Long phytoplankton: supplier as lake, part as genus; undiscounted lines count zero.
+
+    The returned lines of an economy part are in another group than its other lines.
+    """
     totals = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("total.biov"))
     return t.lines.join(totals, "l_suppkey").select(
         F.col("l_suppkey").cast("string").alias("lake_id"), F.lit("survey").alias("Survey"),
         F.col("l_partkey").cast("string").alias("Target_taxon"),
-        F.when(F.col("p_type") == "ECONOMY", "CYANOBACTERIA").otherwise(F.col("p_type")).alias("classic.group"),
+        F.when((F.col("p_type") == "ECONOMY") & (F.col("l_returnflag") != "R"), "CYANOBACTERIA").otherwise(F.col("p_type")).alias("classic.group"),
         F.when(F.col("l_discount") > 0, F.col("l_quantity")).otherwise(0.0).alias("biovol"), "`total.biov`",
     )
 
@@ -44,12 +47,13 @@ def env(t):
 
 
 PH = """ph as (select cast(l_suppkey as varchar) as lake_id, l_partkey as taxon, p_type, case when l_discount > 0 then l_quantity else 0 end as v,
+        case when p_type = 'ECONOMY' and l_returnflag <> 'R' then 'CYANOBACTERIA' else p_type end as grp,
         sum(l_quantity) over (partition by l_suppkey) as tot from lineitem join part on l_partkey = p_partkey),
     mets as (select lake_id, count(distinct taxon) as rich_genus, -sum(v/tot*ln(v/tot)) as shannon, 1 - sum(v/tot*v/tot) as op_simpson,
         100 * sum(case when p_type in ('PROMO','SMALL') then v else 0 end) / any_value(tot) as prev_Mixo from ph where v > 0 group by 1),
     au as (select *, sum(v) over (partition by lake_id) as t from ph where v > 0 and p_type not in ('PROMO','SMALL')),
     corr as (select lake_id, count(distinct taxon) as rich_genus_corr, -sum(v/t*ln(v/t)) as shannon_corr, 1 - sum(v/t*v/t) as op_simpson_corr from au group by 1),
-    an as (select *, sum(v) over (partition by lake_id) as t from ph where v > 0 and p_type not in ('PROMO','SMALL','ECONOMY')),
+    an as (select *, sum(v) over (partition by lake_id) as t from ph where v > 0 and p_type not in ('PROMO','SMALL') and grp <> 'CYANOBACTERIA'),
     corr2 as (select lake_id, count(distinct taxon) as rich_genus_corr, -sum(v/t*ln(v/t)) as shannon_corr, 1 - sum(v/t*v/t) as op_simpson_corr from an group by 1)"""
 CELLS = """select cast(l_suppkey as varchar) as site, l_partkey, p_type, case when l_discount > 0 then l_quantity else 0 end as v
     from lineitem join part on l_partkey = p_partkey"""
@@ -91,16 +95,16 @@ def site_table(t):
 
 @query("cyano_summary", f"""with {PH},
     c as (select lake_id, any_value(tot) as total, sum(case when p_type in ('PROMO','SMALL') then v else 0 end) as trait_total,
-        count(*) filter (p_type in ('PROMO','SMALL')) as trait_rows, sum(case when p_type = 'ECONOMY' then v else 0 end) as cy from ph where v > 0 group by 1)
+        count(*) filter (p_type in ('PROMO','SMALL')) as trait_rows, sum(case when grp = 'CYANOBACTERIA' then v else 0 end) as cy from ph where v > 0 group by 1)
     select lake_id, 'survey' as "Survey", total, trait_total, trait_rows, {ROUNDED}, cy as "biovol_cyano_um3.mL", round(100 * cy / total, 6) as "prev_Cyano"
     from mets join c using (lake_id)""")
 def cyano_summary(t):
-    return tidy(survey.cyano_summary(survey.phyto_cells(phyto(t), members(t))), SIX)
+    return tidy(survey.cyano_summary(survey.phyto_cells(phyto(t), members(t), groups=True)), SIX)
 
 
 @query("corrected_no_cyano", f"""with {PH} select lake_id, {ROUNDED_CORR} from corr2""")
 def corrected_no_cyano(t):
-    return tidy(survey.corrected_metrics(survey.phyto_cells(phyto(t), members(t)), without_cyano=True), SIX)
+    return tidy(survey.corrected_metrics(survey.phyto_cells(phyto(t), members(t), groups=True), without_cyano=True), SIX)
 
 
 @query("survey_wide_table", """

@@ -127,15 +127,20 @@ def site_cells(
 def alpha_from_cells(
     cells: DataFrame, by: str | Sequence[str], total: str | None = None, trait: Column | None = None,
     group: Column | None = None, where: Column | None = None, suffix: str = "", firsts: Sequence[str] = (),
+    taxon: str | None = None,
 ) -> DataFrame:
-    """``alpha_diversity`` of a table already aggregated by ``site_cells``."""
+    """``alpha_diversity`` of a table already aggregated by ``site_cells``.
+
+    Cells finer than site x taxon need ``taxon``, so that richness counts each taxon once.
+    """
     by = [by] if isinstance(by, str) else list(by)
     rows = cells.where(F.col("_rows") > 0)
     if where is not None:
         rows = rows.where(where)
     zero = F.lit(0)
     site = rows.groupBy(*by).agg(
-        F.count("*").alias("richness"), *[F.sum(c).alias(c) for c in ("_n", "_a", "_q")],
+        (F.count_distinct(F.coalesce(q(taxon).cast("string"), F.lit(_NO_TAXON))) if taxon else F.count("*")).alias("richness"),
+        *[F.sum(c).alias(c) for c in ("_n", "_a", "_q")],
         *([F.max(q(total)).alias("_t")] if total else []),
         *([F.coalesce(F.sum(F.when(trait, F.col("_n"))), F.lit(0.0)).alias("trait_total"),
            F.coalesce(F.sum(F.when(trait, F.col("_rows"))), zero).alias("trait_rows")] if trait is not None else []),

@@ -238,7 +238,7 @@ def varpart(
 
     def adjusted(name: str) -> Column:
         r2 = ratio(F.col(name), F.col("total"))
-        return F.lit(1.0) - (F.lit(1.0) - r2) * F.lit((n - 1) / (n - rank[name] - 1))
+        return F.lit(1.0) - (F.lit(1.0) - r2) * F.lit((n - 1) / (n - rank[name] - 1) if n > rank[name] + 1 else None).cast("double")
 
     x1, x2, both = adjusted("first"), adjusted("second"), adjusted("both")
     return fit.select(

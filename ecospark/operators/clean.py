@@ -15,7 +15,7 @@ from ..functions.columns import decimal_comma, numeric_columns, q, ratio
 from ..sources.tables import checkpointed
 from ..vocabulary import AUTOTROPH, MIXOTROPH
 from .joins import attach, join_nullsafe, single_row
-from .order import exact_quantiles
+from .order import bucket_number, exact_quantiles, with_buckets
 
 
 def select_cols(
@@ -217,18 +217,21 @@ def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def interpolate(
-    df: DataFrame, x: str, cols: Sequence[str], by: Sequence[str] = (), bucket: float = 64.0
+    df: DataFrame, x: str, cols: Sequence[str], by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """Replace each column by its linear interpolation over ``x``.
 
     Points with a missing value are left out, values at one ``x`` are averaged, and outside
-    the observed range the result is missing. The axis is cut into buckets of width
-    ``bucket``: neighbours are searched inside a bucket, and the nearest known point of the
-    earlier and later buckets comes from a table with one row per bucket.
+    the observed range the result is missing. The axis is cut into ``buckets`` of about equal size, by default
+    as many as its points call for: neighbours are searched inside a bucket, and the nearest known
+    point of the earlier and later buckets comes from a table with one row per bucket.
     """
     by = list(by)
     axis = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(*[F.avg(q(c)).alias(c) for c in cols])
-    axis = axis.withColumn("_b", F.floor(F.col(x) / F.lit(float(bucket))))
+    # Read several times: by the count, the edges, the ends and the points.
+    axis = checkpointed(axis.withColumn("_v", q(x).cast("double")))
+    binned, _ = with_buckets(axis, ["_v"], buckets or bucket_number(axis.count()))
+    axis = binned.withColumnRenamed("_b__v", "_b")
     at = {c: i for i, c in enumerate(cols)}
     point = {c: F.when(q(c).isNotNull(), F.struct(q(x).cast("double").alias("x"), q(c).alias("y"))) for c in cols}
     ends = axis.groupBy(*by, "_b").agg(*[

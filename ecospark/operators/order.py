@@ -58,15 +58,22 @@ def global_rank(
 ) -> DataFrame:
     """Number the rows 1..n by value, equal values in the order of the hash of their key."""
     rows = df.where(q(value).isNotNull()).withColumns({"_h": F.md5(key.cast("string")), "_v": q(value).cast("double")})
-    n = df.count()
-    rows, edges = with_buckets(rows, ["_v"], buckets or bucket_number(n))
-    lows = F.array(*[F.lit(e) for e in edges[0]])
-    on_edge = F.col("_v") == F.element_at(lows, F.col("_b__v").cast("int") + 1)
-    digits = 2 if n < 1_000_000_000 else 3
-    rows = rows.withColumn("_sub", F.when(on_edge, F.substring("_h", 1, digits)).otherwise(F.lit("~")))
+    n, buckets = df.count(), buckets or bucket_number(df.count())
+    rows, edges = with_buckets(rows, ["_v"], buckets)
+    spark = df.sparkSession
+    lows = spark.createDataFrame([(float(i), e) for i, e in enumerate(edges[0])], "_b__v double, _low double")
+    # A value that fills more than two buckets is the lowest of its own; it is cut by leading
+    # hash digits into pieces of at most that many rows. One row per bucket at most.
+    most = max(2 * n // buckets, 1)
+    edge_rows = rows.join(F.broadcast(lows), "_b__v").where(F.col("_v") == F.col("_low")).groupBy("_b__v").agg(F.count("*").alias("_n"), F.first("_low").alias("_low"))
+    heavy = checkpointed(edge_rows.where(F.col("_n") > most).select(
+        "_b__v", "_low", F.ceil(F.log(F.col("_n") / most) / F.log(F.lit(16.0))).cast("int").alias("_digits")))
+    rows = rows.join(F.broadcast(heavy), "_b__v", "left").withColumn(
+        "_sub", F.when(F.col("_v") == F.col("_low"), F.substring(F.col("_h"), F.lit(1), F.col("_digits"))).otherwise(F.lit("~"))
+    ).drop("_low", "_digits")
     bucket = ["_b__v", "_sub"]
     counts = rows.groupBy(*bucket).agg(F.count("*").alias("_n"))
-    # A few hundred rows per bucket at most, since only the lowest value of one is cut.
+    # A value of _n rows makes 16 _n / most pieces at most, so there are 17 times as many rows as buckets.
     offsets = counts.select(
         *bucket, F.coalesce(F.sum("_n").over(before(bucket)), F.lit(0)).alias("_offset")
     )

@@ -59,7 +59,7 @@ def run_trees(
     return ModelRun(
         filled,
         scored.select(key, "split", target, "prediction", "residual", q(focal)),
-        stats.regression_metrics(scored, target, "prediction", len(filled), by="split"),
+        stats.regression_metrics(scored, target, "prediction", len(names), by="split"),
         trees.staged_rmse(model, {"train": train, "test": test}, target),
         trees.split_counts(table.sparkSession, model, filled),
         attribution,

@@ -53,32 +53,43 @@ def wide_survey_table(
     return clean.select_cols(out, drop=drop, first=["lake_id"])
 
 
-def phyto_cells(phyto: DataFrame, members: DataFrame) -> DataFrame:
-    """Long phytoplankton aggregated once: site x genus with trait, group and recorded total."""
+def phyto_cells(phyto: DataFrame, members: DataFrame, groups: bool = False) -> DataFrame:
+    """Long phytoplankton aggregated once: site x genus with trait and recorded total.
+
+    With ``groups`` the cells are site x group x genus, as a genus may be recorded in several groups.
+    """
     rows = phyto.withColumnsRenamed({"Target_taxon": "Genus", "total.biov": "total", "classic.group": "group"})
-    cells = alpha.site_cells(rows, "lake_id", "Genus", "biovol", carry=["Survey", "group", "total"])
+    by = ["lake_id", "group"] if groups else ["lake_id"]
+    cells = alpha.site_cells(rows, by, "Genus", "biovol", carry=["Survey", "total"])
     return clean.tag_trait(cells, members, "Genus")
 
 
+def taxon_of(cells: DataFrame) -> str | None:
+    """The taxon to count, where one may fill several cells of a site."""
+    return "Genus" if "group" in cells.columns else None
+
+
 def is_trait(label: str) -> Column:
     return F.col("strat") == label
 
 
 def full_metrics(cells: DataFrame) -> DataFrame:
-    return named(alpha.alpha_from_cells(cells, "lake_id", total="total", trait=is_trait(MIXOTROPH)))
+    return named(alpha.alpha_from_cells(cells, "lake_id", total="total", trait=is_trait(MIXOTROPH), taxon=taxon_of(cells)))
 
 
 def corrected_metrics(cells: DataFrame, without_cyano: bool = False) -> DataFrame:
+    """Metrics of the autotrophs; ``without_cyano`` needs cells by group."""
     where = is_trait(AUTOTROPH)
     if without_cyano:
         where = where & (F.col("group") != CYANOBACTERIA)
-    return named(alpha.alpha_from_cells(cells, "lake_id", where=where, suffix="_corr"), "_corr").drop("total")
+    return named(alpha.alpha_from_cells(cells, "lake_id", where=where, suffix="_corr", taxon=taxon_of(cells)), "_corr").drop("total")
 
 
 def cyano_summary(cells: DataFrame) -> DataFrame:
-    """Full metrics with the biovolume and prevalence of cyanobacteria."""
+    """Full metrics with the biovolume and prevalence of cyanobacteria, from cells by group."""
     out = alpha.alpha_from_cells(
-        cells, "lake_id", total="total", trait=is_trait(MIXOTROPH), group=F.col("group") == CYANOBACTERIA, firsts=["Survey"]
+        cells, "lake_id", total="total", trait=is_trait(MIXOTROPH), group=F.col("group") == CYANOBACTERIA, firsts=["Survey"],
+        taxon=taxon_of(cells),
     )
     return named(out).withColumnsRenamed({"group_total": "biovol_cyano_um3.mL", "group_prev": "prev_Cyano"})
 

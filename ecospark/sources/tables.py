@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -96,12 +97,31 @@ def load_model(model_class, path: str):
     return model_class.load(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder (a local one only if none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def scratch_root(spark: SparkSession) -> str:
+    """This run's folder below the shared checkpoint folder.
+
+    Without ``spark.checkpoint.dir`` a session in one process uses a local folder; on a cluster,
+    whose machines do not share one, that is an error.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="ecospark-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
+    return os.path.join(root, f"ecospark-{context.applicationId}")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder of this run."""
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the materialised tables of this run; results that read them must be written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
