@@ -182,8 +182,9 @@ def impute_median(t):
     return clean.impute_median(holes, ["value"])
 
 
-INTERP = """
-    with e as (select event_id, cast(dayofyear(ts) as int) as doy, case when event_type = 'click' and value > 230 then value end as v from events),
+def interpolated(axis: str) -> str:
+    return f"""
+    with e as (select event_id, {axis} as doy, case when event_type = 'click' and value > 230 then value end as v from events),
     a as (select doy, avg(v) as v from e group by 1),
     w as (select doy, v,
         last_value(case when v is not null then doy end ignore nulls) over (order by doy rows unbounded preceding) as x0,
@@ -194,13 +195,32 @@ INTERP = """
     from e join w on e.doy = w.doy"""
 
 
-@query("interpolate_doy", INTERP)
-def interpolate_doy(t):
-    rows = t.events.select(
-        "event_id", F.dayofyear("ts").alias("doy"),
+def known_clicks(t, axis):
+    return t.events.select(
+        "event_id", axis.alias("doy"),
         F.when((F.col("event_type") == "click") & (F.col("value") > 230), F.col("value")).alias("v"),
     )
-    return clean.interpolate(rows, "doy", ["v"], buckets=8).withColumn("v", rounded(F.col("v")))
+
+
+@query("interpolate_doy", interpolated("cast(dayofyear(ts) as int)"))
+def interpolate_doy(t):
+    rows = known_clicks(t, F.dayofyear("ts"))
+    return clean.interpolate(rows, "doy", ["v"]).withColumn("v", rounded(F.col("v")))
+
+
+@query("interpolate_seconds", interpolated("cast(floor(epoch(ts)) as bigint)"))
+def interpolate_seconds(t):
+    """The same on an axis of seconds since 1970."""
+    days = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = known_clicks(t, days * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"))
+    return clean.interpolate(rows, "doy", ["v"]).withColumn("v", rounded(F.col("v")))
+
+
+@query("interpolate_fraction", interpolated("cast(dayofyear(ts) as double) / 366"))
+def interpolate_fraction(t):
+    """The same on an axis from 0 to 1."""
+    rows = known_clicks(t, F.dayofyear("ts").cast("double") / 366)
+    return clean.interpolate(rows, "doy", ["v"]).withColumn("v", rounded(F.col("v")))
 
 
 @query("semi_sites", "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ecospark.plans import survey
 from ecospark.operators import alpha, clean, reshape
 
 
@@ -98,3 +99,15 @@ def test_repeated_members_and_nan_change_nothing(spark):
     assert (got["trait_richness"], got["trait_total"]) == (1, 1.0)
     metrics = alpha.alpha_diversity(rows, "site", "taxon", "value").head()
     assert metrics["richness"] == 2 and abs(metrics["shannon"] - 0.5623351446) < 1e-9
+
+
+def test_taxon_in_two_groups(spark):
+    rows = spark.createDataFrame(
+        [("s", "survey", "A", "CYANOBACTERIA", 1.0, 4.0), ("s", "survey", "A", "OTHER", 3.0, 4.0)],
+        ["lake_id", "Survey", "Target_taxon", "classic.group", "biovol", "total.biov"])
+    members = spark.createDataFrame([("M",)], ["Genus"])
+    cells = survey.phyto_cells(rows, members, groups=True)
+    full = survey.cyano_summary(cells).head()
+    assert (full["rich_genus"], full["biovol_cyano_um3.mL"], full["prev_Cyano"]) == (1, 1.0, 25.0)
+    assert survey.corrected_metrics(cells, without_cyano=True).head()["rich_genus_corr"] == 1
+    assert survey.full_metrics(cells).head()["rich_genus"] == survey.full_metrics(survey.phyto_cells(rows, members)).head()["rich_genus"] == 1
