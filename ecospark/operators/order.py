@@ -58,7 +58,8 @@ def global_rank(
 ) -> DataFrame:
     """Number the rows 1..n by value, equal values in the order of the hash of their key."""
     rows = df.where(q(value).isNotNull()).withColumns({"_h": F.md5(key.cast("string")), "_v": q(value).cast("double")})
-    n, buckets = df.count(), buckets or bucket_number(df.count())
+    n = df.count()
+    buckets = buckets or bucket_number(n)
     rows, edges = with_buckets(rows, ["_v"], buckets)
     spark = df.sparkSession
     lows = spark.createDataFrame([(float(i), e) for i, e in enumerate(edges[0])], "_b__v double, _low double")
