@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,8 @@ class Mapping:
     """A layout: the paths that must be filled, those that may be, and its turns.
 
     ``turns`` lists (role, path) pairs of single-turn layouts; ``items`` names an array
-    and its role and text fields.
+    and its role and text fields; ``row`` names the number, role and text columns of a
+    layout whose rows are turns, and needs all three columns.
     """
 
     name: str
@@ -36,6 +38,7 @@ class Mapping:
     optional: tuple[str, ...] = ()
     turns: tuple[tuple[str, str], ...] = ()
     items: tuple[str, str, str] | None = None
+    row: tuple[str, str, str] | None = None
 
     @property
     def fingerprints(self) -> list[str]:
@@ -60,7 +63,7 @@ MAPPINGS = (
             (("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Mapping("question", ("answer", "question"), ("system",),
             (("system", "system"), ("user", "question"), ("assistant", "answer"))),
-    Mapping("turn_row", ("role", "text", "turn")),
+    Mapping("turn_row", (), ("role", "text", "turn"), row=("turn", "role", "text")),
 )
 
 #: Other spellings of the three roles.
@@ -80,39 +83,44 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
+def usable(there: set[str], mappings: tuple[Mapping, ...]) -> list[Mapping]:
+    """The mappings whose columns a table has."""
+    return [m for m in mappings if {*m.required, *(m.row or ())} <= there]
+
+
 def layout_of(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """Name of each row's layout, null if none fits.
 
     An exact fingerprint is looked up first; a row with fields of several layouts takes the
-    first mapping whose required fields it fills.
+    first mapping whose required fields it fills. A row that fills nothing is an empty turn only in
+    a table of turn rows.
     """
     there = set(schema_paths(df.schema))
+    fit = usable(there, mappings)
     known = sorted(there & {p for m in mappings for p in (*m.required, *m.optional)})
-    tops = {p: p.split("[")[0] for p in known}
-    filled = [F.when(F.col(f"`{tops[p]}`").isNotNull(), F.lit(p)) for p in known]
-    if {"role", "text", "turn"} <= there:  # one row is one turn, though its role or text be null
-        return F.lit("turn_row")
-    if not known:
+    if not fit:
         return F.lit(None).cast("string")
-    print_ = F.sha2(F.concat_ws("\n", *filled), 256)
-    by_print = {f: m.name for m in mappings for f in m.fingerprints}
+
+    def is_filled(path: str) -> Column:
+        return F.col(f"`{path.split('[')[0]}`").isNotNull()
+
+    print_ = F.sha2(F.concat_ws("\n", *[F.when(is_filled(p), F.lit(p)) for p in known]), 256)
+    by_print = {f: m.name for m in fit for f in m.fingerprints if f != fingerprint([]) or len(fit) == 1}
     table = F.create_map(*[F.lit(x) for kv in by_print.items() for x in kv])
-    first = F.coalesce(*[
-        F.when(F.forall(F.array(*[F.col(f"`{tops[p]}`").isNotNull() for p in m.required]), lambda x: x), F.lit(m.name))
-        for m in mappings if set(m.required) <= there
-    ] or [F.lit(None).cast("string")])
+
+    def takes(m: Mapping) -> Column:
+        if m.required:
+            return F.forall(F.array(*[is_filled(p) for p in m.required]), lambda x: x)
+        return F.exists(F.array(*[is_filled(p) for p in m.optional if p in there]), lambda x: x)
+
+    first = F.coalesce(*[F.when(takes(m), F.lit(m.name)) for m in fit])
     return F.coalesce(F.element_at(table, print_), first)
 
 
 def canonical_turns(df: DataFrame, key: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Rows (key, position, role, text); a conversation without turns has one row of nulls."""
     there = set(schema_paths(df.schema))
-    if {"role", "text", "turn"} <= there:
-        return df.select(
-            F.col(f"`{key}`").alias("_key"), F.col("turn").cast("long").alias("_pos"),
-            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("_role"),
-            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
-        )
+    fit = usable(there, mappings)
 
     def one(role: str, path: str) -> Column:
         if path not in there:
@@ -128,17 +136,27 @@ def canonical_turns(df: DataFrame, key: str = "conv_id", mappings: tuple[Mapping
             parts.append(F.transform(F.col(f"`{name}`"), lambda x: F.struct(
                 F.coalesce(x[role].cast("string"), F.lit("")).alias("role"),
                 F.coalesce(x[text].cast("string"), F.lit("")).alias("text"))))
+        if m.row:
+            parts.append(F.array(F.struct(*[
+                F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias(name)
+                for name, path in zip(("role", "text"), m.row[1:], strict=True)])))
         return F.concat(*parts)
 
-    turns = F.coalesce(*[
-        F.when(F.col("_layout") == m.name, of(m)) for m in mappings if set(m.required) <= there
-    ] or [F.lit(None)], F.array().cast(TURN))
+    def if_row(then: Callable[[Mapping], Column], other: Column) -> Column:
+        """Turn rows carry their own number, and their roles stand as they are."""
+        for m in fit:
+            if m.row:
+                other = F.when(F.col("_layout").eqNullSafe(F.lit(m.name)), then(m)).otherwise(other)
+        return other
+
+    turns = F.coalesce(*[F.when(F.col("_layout") == m.name, of(m)) for m in fit], F.array().cast(TURN))
     names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+    number = if_row(lambda m: F.col(f"`{m.row[0]}`").cast("long"), F.lit(None).cast("long"))
     placed = df.withColumn("_layout", layout_of(df, mappings)).select(
-        F.col(f"`{key}`").alias("_key"), F.posexplode_outer(turns).alias("_pos", "_turn"))
-    role = F.lower(F.col("_turn.role"))
-    return placed.select("_key", F.col("_pos").cast("long").alias("_pos"),
-                         F.coalesce(F.element_at(names, role), F.col("_turn.role")).alias("_role"),
+        F.col(f"`{key}`").alias("_key"), "_layout", number.alias("_number"), F.posexplode_outer(turns).alias("_pos", "_turn"))
+    role = F.col("_turn.role")
+    return placed.select("_key", if_row(lambda m: F.col("_number"), F.col("_pos").cast("long")).alias("_pos"),
+                         if_row(lambda m: role, F.coalesce(F.element_at(names, F.lower(role)), role)).alias("_role"),
                          F.col("_turn.text").alias("_text"))
 
 

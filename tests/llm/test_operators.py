@@ -44,6 +44,25 @@ def test_chat_layouts_by_fingerprint(spark):
     assert set(got) == {1, 2, 3, 4, 5}
 
 
+def test_chat_layouts_beside_turn_rows(spark):
+    schema = ("conv_id int, turn int, role string, text string, prompt string, response string, instruction string, output string, "
+              "messages array<struct<role:string,content:string>>")
+    rows = [
+        (1, 1, "assistant", "b", *[None] * 5), (1, 0, "Human", "a", *[None] * 5), (2, None, None, None, "p", "r", None, None, None),
+        (3, *[None] * 7, [("user", "u"), ("model", "m")]), (4, None, None, None, None, None, "i", "o", None),
+        (5, 0, None, None, *[None] * 5), (6, None, "user", "x", *[None] * 5), (7, *[None] * 8), (8, None, None, None, "p", None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    made = chat.format_chats(df)
+    got = {r["conv_id"]: [tuple(t) for t in r["t"]] for r in made.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [("Human", "a"), ("assistant", "b")], 2: [("user", "p"), ("assistant", "r")], 3: [("user", "u"), ("assistant", "m")],
+                   4: [("user", "i"), ("assistant", "o")], 5: [("", "")], 6: [("user", "x")], 7: [], 8: []}
+    said = dict(df.select("conv_id", chat.layout_of(df)).collect())
+    assert said == {1: "turn_row", 2: "prompt_response", 3: "messages", 4: "instruction", 5: "turn_row", 6: "turn_row", 7: None, 8: None}
+    plain = chat.canonical_turns(df.where("conv_id = 7").select("conv_id", "turn", "role", "text")).collect()
+    assert [tuple(r) for r in plain] == [(7, None, "", "")]
+
+
 # Line dedup
 
 def test_lines_shared_by_many_sites_stay_once(spark):
