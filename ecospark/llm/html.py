@@ -51,6 +51,8 @@ CLOSED_BY = {
     "body": ({"head"}, {"html"}),
 }
 IN_TABLE = frozenset("td th tr li thead tbody tfoot caption".split())
+#: Start tags that leave an open head open; all others, and text, end it.
+HEAD_CONTENT = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 TOPS = frozenset("button object template html body".split())
 WALLS = frozenset("table td th caption button object template html body".split())
 
@@ -119,7 +121,13 @@ def build(page: str) -> Node:
         if found:
             pop_to(found)
 
+    def end_head() -> None:
+        while stack[-1].tag == "head":
+            pop_to(len(stack) - 1)
+
     def text(a: int, b: int) -> None:
+        if stack[-1].tag == "head" and page[a:b].strip(" \t\n\r\f"):
+            end_head()
         if b > a:
             stack[-1].children.append(html.unescape(page[a:b]) if page.find("&", a, b) >= 0 else page[a:b])
 
@@ -156,6 +164,8 @@ def build(page: str) -> Node:
                 close({tag}, {"table"} if tag in IN_TABLE else TOPS if tag == "table" else WALLS - {tag}, nearest=True)
             continue
         attrs = page[match.end():at - 1]
+        if tag not in HEAD_CONTENT:
+            end_head()
         if tag in CLOSES_P:
             close({"p"}, WALLS)
         if tag in CLOSED_BY:

@@ -172,6 +172,15 @@ def test_html_layout(spark):
     assert [r["text"] for r in got.orderBy("id").collect()] == [None, "", "x"]
 
 
+def test_html_head_without_end_tag():
+    for page in ("<head><title>T</title><p>a <b>b</b>", "<html><head><meta charset=x><style>s</style>a <b>b</b>", "<head>\n<div>a b</div></head>",
+                 "<head><title>T</title></head><p>a b", "<head><title>T</title><body>a b", "<head><noscript><link></noscript><script>s</script><p>a b",
+                 "<head><template><p>no</p></template><p>a b", "<head><title>T</title><img>a b", "<head><!-- c --> a b", "<head><head><meta><p>a b",
+                 "<head><noscript><img>no</noscript><p>a b"):
+        assert html.visible_text(page) == "a b", page
+    assert html.visible_text("<head><noscript>no</noscript><base>\n<link> </head>") == ""
+
+
 def test_html_keeps_all_words_of_plain_pages():
     import pyarrow.parquet as pq
     for page in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()[:60]:
