@@ -61,7 +61,8 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
     parts: list[str] = []
     size = 0
     for i, text in enumerate(texts):
-        text = (text or "").lower()
+        # Zeros part the texts, so one inside a text becomes another code point that is no letter.
+        text = (text or "").lower().replace("\0", "\1")
         for at in range(0, max(len(text), 1), PIECE):
             # Boundaries that fall on a cut are counted on both sides; all else once.
             part = text[at:at + PIECE + 2]

@@ -110,6 +110,15 @@ def test_language_bundles_are_sums_of_bound_letters():
     assert np.allclose(language.bundles([text, None, text * 3], 32, 3)[0], want)
 
 
+def test_language_of_texts_with_zeros(spark):
+    texts = ["the cat", "a\0b\0\0cde", "\0", "il gatto", "\0der Hund\0", None, "le chat"]
+    got, alone = language.bundles(texts, 32, 3), [language.bundles([(t or "").replace("\0", " ")], 32, 3)[0] for t in texts]
+    assert np.array_equal(got, np.array(alone))
+    prototypes = {str(i): alone[i] / np.linalg.norm(alone[i]) for i in (0, 3, 4, 6)}
+    said = language.predict(documents(spark, texts).coalesce(1), prototypes, seed=3).orderBy("doc_id").collect()
+    assert [said[i]["lang_pred"] for i in (0, 3, 4, 6)] == ["0", "3", "4", "6"] and said[2]["lang_pred"] == said[5]["lang_pred"] == "und"
+
+
 # Personal data
 
 def base_by_regex(text):
