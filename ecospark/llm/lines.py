@@ -7,8 +7,8 @@ every document but the one that holds the first copy (smallest id, then position
 is lost altogether.
 
 Defined cases. A null text stays null and has no lines; an empty text is one empty line. A null
-site is no site. Lines are compared without blanks at their ends; lines of fewer than
-``min_words`` words are never boilerplate. Repeated rows are treated alike: all keep the first
+site is no site. Lines are compared without blanks at their ends; empty lines part paragraphs and
+are never boilerplate, all others are, however short, by their sites alone. Repeated rows are treated alike: all keep the first
 copy or none does. Rows of one id with different texts are told apart by the text. Columns are
 kept as they are; new columns replace extra ones of the same name.
 """
@@ -32,14 +32,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat_ws("\n", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.col(f"`{text_col}`")))
 
 
-def hashed_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """(row, doc, pos, line hash, site) of every line that may be boilerplate."""
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """(row, doc, pos, line hash, site) of every line that is not empty."""
     split = docs.where(F.col(f"`{text_col}`").isNotNull()).select(
         row_key(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("doc"), F.col(f"`{site_col}`").alias("site"),
         F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("pos", "line"))
     return (
         split.withColumn("line", bare("line"))
-        .where(F.col("line").rlike(rf"^[^ \t]+([ \t]+[^ \t]+){{{min_words - 1}}}"))
+        .where(F.col("line") != "")
         .select("row", "doc", "pos", F.unhex(F.md5("line")).alias("hash"), "site")
     )
 
@@ -65,13 +65,13 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 10, margin: float
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-               min_sites: int = 5, min_words: int = 4) -> DataFrame:
+               min_sites: int = 5) -> DataFrame:
     """The documents with clean texts, and ``n_lines`` and ``n_removed``.
 
     Only hashes and positions of lines are shuffled; the texts move once, to meet the
     positions that go.
     """
-    lines = hashed_lines(docs, id_col, text_col, site_col, min_words)
+    lines = hashed_lines(docs, id_col, text_col, site_col)
     spread = checkpointed(boilerplate(lines, min_sites))
     gone = (
         lines.drop("site").join(spread, "hash")

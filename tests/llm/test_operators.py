@@ -84,6 +84,28 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert removed == {f"line {k} has five words" for k in range(40) if k % 8 >= 5}
 
 
+def test_short_shared_lines_and_scripts_without_blanks_stay_once(spark):
+    texts = [f"own {i}\nAll rights reserved.\n\n保留所有权利。\n \nok" for i in range(5)]
+    out = lines.line_dedup(documents(spark, texts, [f"s{i}" for i in range(5)])).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == [texts[0]] + [f"own {i}\n\n " for i in range(1, 5)]
+
+
+def test_lines_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows, sites, first = docs.select("doc_id", "text", "source").collect(), {}, {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        for pos, line in enumerate((r["text"] or "").split("\n")):
+            if bare := line.strip(" \t\r"):
+                sites.setdefault(bare, set()).update({r["source"]} - {None})
+                first.setdefault(bare, (r["doc_id"], pos))
+    shared = {x for x, s in sites.items() if len(s) >= 5}
+    want = {r["doc_id"]: None if r["text"] is None else "\n".join(
+        x for pos, x in enumerate(r["text"].split("\n"))
+        if (b := x.strip(" \t\r")) not in shared or first[b] == (r["doc_id"], pos)) for r in rows}
+    assert len(want) == len(rows) and any(len(x.split()) < 4 for x in shared)
+    assert {r["doc_id"]: r["text"] for r in lines.line_dedup(docs).collect()} == want
+
+
 # Language
 
 def test_language_of_held_out_texts(spark):
