@@ -298,7 +298,8 @@ def diameter(points: DataFrame) -> float:
         yield pd.DataFrame({"d": [far]})
 
     hulls = points.select("x", "y").mapInPandas(corners, "x double, y double")
-    return hulls.coalesce(1).mapInPandas(widest, "d double").head()[0]
+    # A shuffle, for coalesce(1) would draw the read and the hulls into one task too.
+    return hulls.repartition(1).mapInPandas(widest, "d double").head()[0]
 
 
 def _cells_at(placed: DataFrame, level: int) -> DataFrame:

@@ -129,3 +129,13 @@ def test_diameter(spark):
 def test_duplicate_locations_keep_the_smallest_id(spark):
     df = spark.createDataFrame([(3, 1.0, 1.0), (2, 1.0, 1.0), (9, 0.0, 0.0)], "id long, x double, y double")
     assert {r.id for r in spatial.points_of(df, "id", "x", "y").collect()} == {2, 9}
+
+
+def test_diameter_takes_hulls_in_parallel(spark):
+    def place(batches):
+        from pyspark import TaskContext
+        for pdf in batches:
+            yield pdf.assign(x=float(TaskContext.get().partitionId()), y=0.0)[["x", "y"]]
+
+    points = spark.range(0, 40, 1, 4).mapInPandas(place, "x double, y double")
+    assert spatial.diameter(points) == 3.0
