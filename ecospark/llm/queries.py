@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, html, language, lines, mixing, neighbours, private, simhash, toxicity
+from . import (
+    chat, contamination, html, jaccard, language, lines, mixing, negatives, neighbours, private, simhash, toxicity, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,15 +67,14 @@ def op2_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op2_lines"] = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-l AS (
+WITH l AS (
   SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
-         unnest(string_split(text, chr(10))) AS line FROM d
+         unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
 ), k AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l
 ), w AS (
   SELECT bare, min(struct_pack(doc_id := doc_id, pos := pos)) AS kept FROM k
-  WHERE len(regexp_extract_all(bare, '[^ \t]+')) >= 4 GROUP BY bare HAVING count(DISTINCT source) >= 5
+  WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 5
 ), j AS (
   SELECT k.*, w.kept IS NOT NULL AND w.kept <> struct_pack(doc_id := k.doc_id, pos := k.pos) AS gone
   FROM k LEFT JOIN w USING (bare)
@@ -81,6 +82,7 @@ l AS (
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS clean_text,
        count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_removed
 FROM j GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
 
 
@@ -214,3 +216,65 @@ def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     index = neighbours.build(table(spark, folder, "embeddings"))
     found = neighbours.nearest_to_rows(index, F.col("id") % 50 == 0)
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op11_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every document by the Jaccard similarity of its word shingles."""
+    return jaccard.similar_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+ORACLES["op11_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + least(4, len(words)) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 3) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)
+), r AS (
+  SELECT doc_id, doc_id AS root FROM documents
+  UNION
+  SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b
+), c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+ORACLES["op12_negatives"] = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, a.label = c.label AS same, c.rid, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.rid <> c.rid
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS nr FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.nr ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+  WHERE p.nr <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the sixteen leading components, whitened."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
