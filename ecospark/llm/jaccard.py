@@ -2,18 +2,20 @@
 
 A document is its set of word shingles, each a 64-bit token. Equal sets are one node. Two sets of
 Jaccard similarity t or more share at least ceil(t n) tokens, so by the order of the tokens they
-share at least l(n) of their first n - ceil(t n) + l(n) ones. Only these columns of the matrix are
-laid out; the rest of the tokens enter the bounds as if all were shared, so no link is lost.
-
-1. Tokens that a single node holds bring no overlap; nodes with too few others leave. That is
-   one exchange of the columns, and all but the near-duplicates and the much-templated texts go.
-2. Every token names two of its nodes as pivots. A node is compared with the pivots that most of
-   its tokens name. Linked nodes form partitions of similar documents, in time linear in their size.
-3. Partitions are cut into groups of bounded size. A group's row of the matrix is the union of
-   its members' tokens. Each node is a query: the groups of other partitions that share one of
-   its rarest tokens are bounded by the overlap with the group's union.
-4. Only groups whose bound reaches the threshold are opened, and their members are compared
-   with the query on whole sets. Links join partitions into components.
+share at least l(n) of their first n - ceil(t n) + l(n) ones.
+
+1. Tokens that a single node holds bring no overlap. Nodes with too few others leave: first by the
+   columns of that prefix, laid out for all nodes in one exchange, then by whole sets, laid out for
+   the nodes that stayed. Texts that merely share a passage go here. No link is lost.
+2. A token names some of its nodes as pivots, and a node is compared with those that most of its
+   tokens name. Linked nodes form partitions of similar documents. A few rounds of this join
+   most of what belongs together, in time linear in the size of a partition.
+3. Nodes that can still have links beyond their partition are dealt to groups of similar ones, of
+   bounded size. A group's row of the matrix is the union of its members' tokens. Groups meet where a
+   member of each holds the same one of its rarest tokens; then the overlap of every member with the
+   other group's union bounds its similarity to all that are in there.
+4. Only groups whose bound reaches the threshold are opened, and only for the members that reach
+   it, which are compared on whole sets. Links join partitions into components.
 
 Links within a partition are not all listed: a component is what they are needed for. A group
 of near copies with a third of all rows is one partition after step 2 and costs no pairs.
@@ -30,13 +32,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.tables import checkpointed
 from .graph import components
+from .simhash import forest
 
 #: Words whose hashes a task keeps at once.
 HELD = 500_000
@@ -135,40 +138,40 @@ def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], piece: i
     return met.where(both * (share[0] + share[1]) >= (F.col("na") + F.col("nb")) * share[0]).select("a", "b")
 
 
-def pivot_pairs(nodes: DataFrame, most: int = 4) -> DataFrame:
-    """(a, b): each node with the ``most`` nodes that its tokens name most often."""
+def most_named(pivots: Column, most: int = 4) -> Column:
+    """The ``most`` values that occur most often in a list, as a list."""
 
-    def choose(batches):
-        for batch in batches:
-            own = batch["node"].to_numpy()
-            named = batch["pivots"]
-            flat = named.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum([0, *pa.compute.list_value_length(named).to_pylist()])
-            left, right = [], []
-            for i, node in enumerate(own):
-                who, times = np.unique(flat[ends[i]:ends[i + 1]], return_counts=True)
-                who, times = who[who != node], times[who != node]
-                best = who[np.argsort(-times, kind="stable")[:most]]
-                left.append(np.full(len(best), node))
-                right.append(best)
-            a = np.concatenate([np.zeros(0, np.int64), *left])
-            b = np.concatenate([np.zeros(0, np.int64), *right])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def choose(lists_: pa.Array) -> pa.Array:
+        flat = lists_.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum([0, *pc.list_value_length(lists_).to_pylist()])
+        out = []
+        for i in range(len(lists_)):
+            who, times = np.unique(flat[ends[i]:ends[i + 1]], return_counts=True)
+            out.append(who[np.argsort(-times, kind="stable")[:most]].astype(np.int64).view(np.uint64))
+        return lists(out)
 
-    return nodes.select("node", "pivots").mapInArrow(choose, "a long, b long")
+    return F.arrow_udf(choose, "array<long>")(pivots)
 
 
-def shared_tokens(rows: DataFrame, mark: str) -> DataFrame:
-    """Rows (token, node, mark) whose token stands under two values of ``mark`` or more, with its count ``df``."""
+def shared_tokens(rows: DataFrame, mark: str, turn: int) -> DataFrame:
+    """Rows (token, node, mark) whose token stands under two values of ``mark`` or more, with its count ``df``.
+
+    Every fourth token names pivots: its smallest mark, its largest one, and a node by a hash.
+    """
     of = "over (partition by token)"
     counted = rows.selectExpr("*", f"count(*) {of} AS df", f"min({mark}) {of} AS lo", f"max({mark}) {of} AS hi",
-                              f"min_by(node, xxhash64(node)) {of} AS other")
-    return counted.where("lo < hi")
+                              f"min_by(node, xxhash64(node, {turn})) {of} AS other").where("lo < hi")
+    names = F.when(F.pmod("token", F.lit(4)) == turn % 4, F.array("lo", "hi", "other"))
+    return counted.withColumn("named", names).drop("lo", "hi", "other")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                      share: tuple[int, int] = (85, 100), group: int = 64) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; ``share`` is the least similarity as a fraction."""
+                      share: tuple[int, int] = (85, 100), group: int = 1 << 17, rounds: int = 4, still: float = 0.9) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; ``share`` is the least similarity as a fraction.
+
+    A group holds about ``group`` tokens. Partitions are formed in ``rounds`` rounds at most, fewer if one leaves more
+    than a part ``still`` of the nodes in question; what stays apart is left to the matrix, so they change the cost, not the result.
+    """
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     marked = checkpointed(docs.select(id_.alias("id"), sets_of(text, shingle, share).alias("s")).select(
         F.monotonically_increasing_id().alias("row"), "id", "s.*"))
@@ -177,15 +180,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.min("row").alias("node"), F.min("id").alias("least"), F.first("n").alias("n")))
     laid = marked.join(reps.select(F.col("node").alias("row")), "row", "left_semi").select(
         F.explode("tokens").alias("token"), F.col("row").alias("node"))
-    met = shared_tokens(laid, "node").groupBy("node").agg(
-        F.collect_list("token").alias("shared"), F.flatten(F.collect_list(F.array("lo", "other"))).alias("pivots"))
-    near = checkpointed(met.join(reps.select("node", "n", "least", "key"), "node").where(
-        F.size("shared") >= least_shared(F.col("n"), share)))
+    met = shared_tokens(laid, "node", 0).groupBy("node").agg(F.count("*").alias("met"))
+    near = checkpointed(met.join(reps, "node").where(F.col("met") >= least_shared(F.col("n"), share)).select("node", "n", "key", "least"))
     sets = whole_sets(docs, near, id_, text, shingle)
-    first = checkpointed(verified(pivot_pairs(near), sets, share))
-    parts = components(first)
-    second = opened(near, parts, sets, share, group)
-    roots = components(first.unionByName(second))
+    left = in_question(near, None, sets, share, 0)
+    many, links, parts = left.count(), None, None
+    for turn in range(1, rounds + 1):
+        found = checkpointed(verified(left.select(F.col("node").alias("a"), F.explode("pivots").alias("b")).where("a <> b"), sets, share))
+        links = found if links is None else links.unionByName(found)
+        parts = checkpointed(components(links))
+        left = in_question(left, parts, sets, share, turn)
+        before, many = many, left.count()
+        if many > still * before:
+            break
+    links = links.unionByName(opened(left, parts, sets, share, group))
+    roots = checkpointed(components(links))
     named = reps.select("key", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("name"))
     names = named.join(linked, "root", "left").select("key", F.coalesce("name", "least").alias("component_id"))
@@ -197,35 +206,85 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def whole_sets(docs: DataFrame, near: DataFrame, id_: Column, text: Column, shingle: int) -> DataFrame:
     """(node, n, tokens) with all tokens of the nodes that stayed, from the texts once more."""
-    wanted = near.select("key", "node", "least")
-    some = docs.select(id_.alias("id"), text.alias("text")).join(
-        wanted.select("least").distinct(), F.col("id").eqNullSafe(F.col("least")), "left_semi")
+    ids = checkpointed(near.select("least").distinct())
+    some = docs.select(id_.alias("id"), text.alias("text")).join(ids, F.col("id").eqNullSafe(F.col("least")), "left_semi")
     made = some.select(sets_of(F.col("text"), shingle, None).alias("s")).select("s.*")
-    return checkpointed(made.join(wanted.select("key", "node"), "key").select("node", "n", "tokens").dropDuplicates(["node"]))
+    return checkpointed(made.join(near.select("key", "node"), "key").select("node", "n", "tokens").dropDuplicates(["node"]))
+
 
+def token_rows(left: DataFrame, parts: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """(token, node, n, part) of the nodes of ``left``; without ``parts`` each node is a part of its own."""
+    placed = left.select("node", "n")
+    if parts is None:
+        placed = placed.withColumn("part", F.col("node"))
+    else:
+        placed = placed.join(parts, "node", "left").select("node", "n", F.coalesce("root", "node").alias("part"))
+    return placed.join(sets.select("node", "tokens"), "node").select(F.explode("tokens").alias("token"), "node", "n", "part")
 
-def opened(near: DataFrame, parts: DataFrame, sets: DataFrame, share: tuple[int, int], group: int) -> DataFrame:
-    """Links (a, b) between nodes of different partitions, through the token-group matrix."""
-    placed = near.select("node", "n", "shared").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    rows = placed.select(F.explode("shared").alias("token"), "node", "n", "part")
-    cross = shared_tokens(rows, "part").groupBy("node").agg(
+
+def in_question(left: DataFrame, parts: DataFrame | None, sets: DataFrame, share: tuple[int, int], turn: int) -> DataFrame:
+    """(node, n, pivots): nodes that share enough tokens with other parts, and whom these tokens name."""
+    met = shared_tokens(token_rows(left, parts, sets), "part", turn).groupBy("node").agg(
+        F.first("n").alias("n"), F.count("*").alias("met"), F.flatten(F.collect_list("named")).alias("named"))
+    stay = met.where(F.col("met") >= needed(F.col("n"), share))
+    return checkpointed(stay.select("node", "n", most_named(F.col("named")).alias("pivots")))
+
+
+def opened(left: DataFrame, parts: DataFrame, sets: DataFrame, share: tuple[int, int], group: int) -> DataFrame:
+    """Links (a, b) that join nodes of different partitions, through the token-group matrix."""
+    label = left.select("node", F.coalesce(F.get("pivots", F.lit(0)), F.col("node")).alias("label"))
+    cross = shared_tokens(token_rows(left, parts, sets), "part", 0).groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"), F.first("n").alias("n"), F.first("part").alias("part"))
-    bound = least_shared(F.col("n"), share).cast("int")
-    left = cross.where(F.size("held") >= bound).select(
-        "node", "n", "part", F.col("held.token").alias("tokens"), bound.alias("bound"))
-    # Rarest first; a query shares one of these with every partner.
-    left = checkpointed(left.withColumn("rare", F.slice("tokens", F.lit(1), F.size("tokens") - F.col("bound") + 1)))
-    sizes = left.groupBy("part").agg(F.ceil(F.count("*") / group).cast("int").alias("pieces"))
-    member = checkpointed(left.join(sizes, "part").select(
-        "node", "n", "part", "tokens", "rare", F.xxhash64("part", F.pmod(F.xxhash64("node"), F.col("pieces"))).alias("group")))
-    matrix = member.select(F.explode("rare").alias("token"), "group", F.col("part").alias("other")).distinct()
-    asked = left.select(F.explode("rare").alias("token"), "node", "part")
-    # Both directions of a pair would find the same link, so partitions ask those after them.
-    candidates = checkpointed(asked.join(matrix, "token").where("part < other").select("node", "group").distinct())
-    unions = member.groupBy("group").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    bounded = candidates.join(left.select("node", "tokens", "bound"), "node").join(unions, "group").where(
-        F.size(F.array_intersect("tokens", "union")) >= F.col("bound")).select("node", "group")
-    pairs = bounded.join(member.select("group", F.col("node").alias("b"), F.col("n").alias("nb")), "group").join(
-        left.select("node", F.col("n").alias("na")), "node").where(
-        (F.col("na") * share[1] >= F.col("nb") * share[0]) & (F.col("nb") * share[1] >= F.col("na") * share[0]))
-    return verified(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, share)
+    bound = needed(F.col("n"), share).cast("int")
+    last = cross.where(F.size("held") >= bound).join(label, "node").select(
+        "node", "n", "part", "label", F.col("held.token").alias("tokens"),
+        # Rarest first; a node shares one of these with every partner.
+        F.slice("held.token", F.lit(1), F.size("held") - bound + 1).alias("rare"))
+    last = checkpointed(last)
+    sizes = last.groupBy("label").agg(F.ceil(F.sum("n") / group).cast("int").alias("pieces"))
+    member = checkpointed(last.join(sizes, "label").withColumn(
+        "group", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("pieces")))).drop("label", "pieces"))
+    matrix = checkpointed(member.select(F.explode("rare").alias("token"), "group").distinct())
+    met = matrix.join(matrix.withColumnRenamed("group", "other"), "token").where("group <= other").select("group", "other").distinct()
+    met = checkpointed(met)
+    held = ["node", "n", "part", "tokens"]
+    one = member.select("group", *held).join(met, "group").select("group", "other", *held)
+    # Names of its own, as both sides come from one table.
+    two = member.select(F.col("group").alias("other"), *[F.col(c).alias(f"{c}_b") for c in held]).join(
+        met, "other").selectExpr("group AS group_b", "other AS other_b", *[f"{c}_b" for c in held])
+
+    def open_groups(a: pa.Table, b: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        b = b.rename_columns(a.column_names)
+        union_a, union_b = (np.unique(t["tokens"].combine_chunks().flatten().to_numpy()) for t in (a, b))
+        common = np.intersect1d(union_a, union_b, assume_unique=True)
+        sides = []
+        for t in (a, b):
+            held = t["tokens"].combine_chunks()
+            row = np.repeat(np.arange(len(t)), pc.list_value_length(held).to_numpy())
+            flat = held.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
+            inside = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+            row, at = row[inside], at[inside]
+            n = t["n"].to_numpy()
+            fits = np.bincount(row, minlength=len(t)) >= needed(n, share)
+            if not fits.any():
+                return none
+            place = np.cumsum(fits) - 1
+            sides.append((place[row[fits[row]]], at[fits[row]], n[fits], t["node"].to_numpy()[fits], t["part"].to_numpy()[fits]))
+        both = np.zeros((len(sides[0][2]), len(sides[1][2])), np.float32)
+        for first in range(0, len(common), 4096):
+            dense = []
+            for row, at, n, _, _ in sides:
+                some = (at >= first) & (at < first + 4096)
+                cells = np.zeros((len(n), 4096), np.float32)
+                cells[row[some], at[some] - first] = 1
+                dense.append(cells)
+            both += dense[0] @ dense[1].T
+        (_, _, na, node_a, part_a), (_, _, nb, node_b, part_b) = sides
+        close = both.astype(np.int64) * (share[0] + share[1]) >= (na[:, None] + nb[None, :]) * share[0]
+        i, j = np.nonzero(close & (part_a[:, None] != part_b[None, :]))
+        keep = forest(node_a[i], node_b[j])
+        return pa.table({"a": pa.array(node_a[i][keep]), "b": pa.array(node_b[j][keep])})
+
+    return one.groupBy("group", "other").cogroup(two.groupBy("group_b", "other_b")).applyInArrow(open_groups, "a long, b long")
