@@ -1,9 +1,10 @@
 """Global order without a global sort task: ranks, dense numbering, exact quantiles.
 
-Rows are split into value buckets of about equal size. Bucket counts (a small table) give
+For ranks, rows are split into value buckets of about equal size. Bucket counts (a small table) give
 each bucket its offset, and only rows of one bucket meet in one task. The bucket edges are
 the only thing that reaches the driver. A value that fills a large share of the table is
-cut further by a hash of the row key, or collapsed to one row where only counts matter.
+cut further by a hash of the row key. Quantiles come from counts by the leading bits of the
+values, bucket by bucket, and bring nothing to the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q
 from ..sources.tables import checkpointed
-from .joins import broadcast_if_small, join_nullsafe
+from .joins import join_nullsafe
 
 
 
@@ -105,52 +106,97 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", digits: int = 3) ->
     )
 
 
+def order_key(value: Column) -> Column:
+    """A long in the order of a double: exponent and fraction as whole numbers, with the sign.
+
+    Both zeros are equal; infinities come beyond all numbers and NaN last.
+    """
+    size, one = F.abs(value), float(1 << 52)
+    near = F.floor(F.log2(size))
+    power = F.pow(F.lit(2.0), near)
+    # The logarithm can be off by one next to a power of two.
+    exponent = near + (size >= power * 2).cast("long") - (size < power).cast("long")
+    fraction = (size / F.pow(F.lit(2.0), exponent) - 1) * one
+    whole = (exponent + 1023) * F.lit(1 << 52) + fraction.cast("long")
+    half = F.lit(2.0**537)  # numbers below the normal ones are whole multiples of 2 ** -1074
+    key = (
+        F.when(F.isnan(value), F.lit((2047 << 52) + 1))
+        .when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < 2.0**-1022, (size * half * half).cast("long"))
+        .otherwise(whole)
+    )
+    return F.when(value < 0, -key).otherwise(key)
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
     buckets: int | None = None,
+    piece: int = 1_000_000,
 ) -> DataFrame:
     """Exact interpolated quantiles: ``*by, variable, n, quantiles`` (an array like ``probs``).
 
-    One pass counts the buckets; a second keeps only the buckets that hold a wanted rank,
-    so the shuffled share is about ``2 * len(probs) / buckets`` of the distinct values. A
-    group without values has n = 0 and no quantiles.
+    Radix selection: one pass counts the values by the leading bits of their order key; then only
+    buckets that hold a wanted rank go on, cut by further bits while one holds more than ``piece``
+    rows of different values (or the n-th part of all rows, for n ``buckets``). Counts are
+    reduced within tasks, so a value that fills a table is one row; no more than the counts of
+    one bucket meet in a window. A group without values has n = 0 and no quantiles.
     """
     by = list(by)
-    inner = [f"_v{i}" for i in range(len(cols))]
-    typed = df.select(*by, *[q(c).cast("double").alias(v) for c, v in zip(cols, inner)])
-    typed = checkpointed(typed)
-    rows = typed.count()
-    buckets = buckets or bucket_number(rows)
-    binned, _ = with_buckets(typed, inner, buckets)
-    long = (
-        binned.select(*by, F.explode(F.array(*[
-            F.struct(F.lit(c).alias("variable"), F.col(v).alias("value"), F.col(f"_b_{v}").alias("bucket"))
-            for c, v in zip(cols, inner)
-        ])).alias("_c"))
-        .select(*by, "_c.*")
-        .where(F.col("value").isNotNull())
-    )
     group = [*by, "variable"]
-    counts = long.groupBy(*group, "bucket").agg(F.count("*").alias("cnt"))
-    whole = Window.partitionBy(*group)
-    spans = counts.select(
-        *group, "bucket", "cnt",
-        F.coalesce(F.sum("cnt").over(before(["bucket"], group)), F.lit(0)).alias("first"),
-        F.sum("cnt").over(whole).alias("n"),
-    )
-    wanted = (
-        spans.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_h", (F.col("n") - 1) * F.col("_p"))
-        .withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
-        .where((F.col("first") <= F.col("_hi")) & (F.col("_lo") < F.col("first") + F.col("cnt")))
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), q(c).cast("double").alias("value")) for c in cols])
+    long = df.select(*by, F.explode(pairs).alias("_c")).select(*by, "_c.*").where(F.col("value").isNotNull())
+    long = long.withColumn("_key", order_key(F.col("value")))
+    shift = 44
+
+    def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys, F.shiftright("_key", shift).alias("bucket")).agg(
+            F.count("*").alias("cnt"), (F.max("_key") > F.min("_key")).alias("mixed"))
+
+    def holding(spans: DataFrame) -> DataFrame:
+        """Buckets that hold a wanted rank, once for each of its probabilities."""
+        return checkpointed(
+            spans.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+            .withColumn("_h", (F.col("n") - 1) * F.col("_p"))
+            .withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
+            .where((F.col("first") <= F.col("_hi")) & (F.col("_lo") < F.col("first") + F.col("cnt"))))
+
+    spans = counted(long, group).select(
+        *group, "bucket", "cnt", "mixed", F.coalesce(F.sum("cnt").over(before(["bucket"], group)), F.lit(0)).alias("first"),
+        F.sum("cnt").over(Window.partitionBy(*group)).alias("n"))
+    wanted = holding(spans)
+    if buckets:
+        piece = max((wanted.agg(F.max("n")).head()[0] or 0) // buckets, 1)
+    while shift > 0 and wanted.where("mixed").where(F.col("cnt") > piece).limit(1).count():
+        old, shift = shift, shift - 11
+        held = wanted.select(*group, F.col("bucket").alias("_old"), F.col("first").alias("_before"), "n").distinct()
+        inside = join_nullsafe(long.withColumn("_old", F.shiftright("_key", old)), held, [*group, "_old"], "inner")
+        finer = counted(inside, [*group, "_old", "_before", "n"])
+        start = F.coalesce(F.sum("cnt").over(before(["bucket"], [*group, "_old"])), F.lit(0))
+        wanted = holding(finer.select(*group, "bucket", "cnt", "mixed", (F.col("_before") + start).alias("first"), "n"))
+    found = _of_buckets(long.withColumn("bucket", F.shiftright("_key", shift)), wanted, group)
+    value = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo"))
+    per_prob = [
+        F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"_q{i}")
+        for i, p in enumerate(probs)
+    ]
+    known = (
+        found.withColumn("_q", F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(value)).groupBy(*group, "n").agg(*per_prob)
+        .select(*group, "n", F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias("quantiles"))
     )
-    wanted = checkpointed(wanted)
-    holding = wanted.select(*group, "bucket", "first").distinct()
+    names = F.explode(F.array(*[F.lit(c) for c in cols])).alias("variable")
+    groups = df.select(*by).distinct().select(*by, names) if by else df.sparkSession.range(1).select(names)
+    full = join_nullsafe(groups, known, group, "left")
+    return full.select(*group, F.coalesce("n", F.lit(0).cast("long")).alias("n"), "quantiles")
+
+
+def _of_buckets(long: DataFrame, wanted: DataFrame, group: list[str]) -> DataFrame:
+    """``*group, n, _p, _h, _lo, _vlo, _vhi``: the values at the two ranks around each wanted place."""
+    held = wanted.select(*group, "bucket", "first").distinct()
     candidates = (
-        join_nullsafe(long, broadcast_if_small(holding), [*group, "bucket"], "inner")
+        join_nullsafe(long, held, [*group, "bucket"], "inner")
         .groupBy(*group, "bucket", "first", "value").agg(F.count("*").alias("cnt"))
     )
     ranked = candidates.select(
@@ -163,20 +209,7 @@ def exact_quantiles(
     hits = join_nullsafe(ranked, targets, [*group, "bucket"], "inner")
     end = F.col("start") + F.col("cnt")
     holds = lambda rank: (F.col("start") <= F.col(rank)) & (F.col(rank) < end)
-    found = hits.groupBy(*group, "n", "_p", "_h", "_lo").agg(
+    return hits.groupBy(*group, "n", "_p", "_h", "_lo").agg(
         F.max(F.when(holds("_lo"), F.col("value"))).alias("_vlo"),
         F.max(F.when(holds("_hi"), F.col("value"))).alias("_vhi"),
     )
-    value = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo"))
-    per_prob = [
-        F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"_q{i}")
-        for i, p in enumerate(probs)
-    ]
-    known = (
-        found.withColumn("_q", value).groupBy(*group, "n").agg(*per_prob)
-        .select(*group, "n", F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias("quantiles"))
-    )
-    names = F.explode(F.array(*[F.lit(c) for c in cols])).alias("variable")
-    groups = typed.select(*by).distinct().select(*by, names) if by else df.sparkSession.range(1).select(names)
-    full = join_nullsafe(groups, known, group, "left")
-    return full.select(*group, F.coalesce("n", F.lit(0).cast("long")).alias("n"), "quantiles")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from ..functions.columns import ratio
 from ..sources.tables import checkpointed
 from .clean import first_per_key
 from .joins import single_row
+from .order import global_rank
 
 MAX_LEVEL = 20
 SECTORS = 12
@@ -81,8 +83,12 @@ def _named(df: DataFrame, p: str) -> DataFrame:
 
 
 def band_edges(df: DataFrame, radius: float, id: str = "id", x: str = "x", y: str = "y") -> DataFrame:
-    """All pairs of points at most ``radius`` apart: ``src < dst, d``."""
+    """All pairs of points at most ``radius`` apart: ``src < dst, d``. A radius of zero gives the coincident points."""
     points = df.select(F.col(id).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    if radius <= 0:
+        same = _named(points, "a").join(_named(points, "b"), (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by")))
+        return same.where((F.col("aid") < F.col("bid")) & F.lit(radius == 0)).select(
+            F.col("aid").alias("src"), F.col("bid").alias("dst"), F.lit(0.0).alias("d"))
     grid = _Grid(points)
     left = grid.around(_named(points, "a").withColumnsRenamed({"ax": "x", "ay": "y"}), radius)
     left = left.withColumnsRenamed({"x": "ax", "y": "ay"})
@@ -265,20 +271,27 @@ def moran(df: DataFrame, edges: DataFrame, col: str, id: str = "id") -> DataFram
 
 
 def _hull(xy: np.ndarray) -> np.ndarray:
-    """Corner points of the convex hull."""
+    """Corner points of the convex hull; only the lowest and highest point of each x can be one."""
     pts = np.unique(xy, axis=0)
+    first = np.flatnonzero(np.diff(pts[:, 0], prepend=np.nan) != 0)
+    last = np.append(first[1:], len(pts)) - 1 if len(pts) else first
+    pts = np.unique(pts[np.concatenate([first, last])], axis=0)
     if len(pts) < 3:
         return pts
 
     def chain(rows):
         out: list = []
-        for p in rows:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], p - out[-2]) <= 0:
+        for px, py in rows:
+            while len(out) > 1:
+                (ax, ay), (bx, by) = out[-2], out[-1]
+                if (bx - ax) * (py - by) - (by - ay) * (px - bx) > 0:
+                    break
                 out.pop()
-            out.append(p)
+            out.append((px, py))
         return out[:-1]
 
-    return np.array(chain(pts) + chain(pts[::-1]))
+    rows = pts.tolist()
+    return np.array(chain(rows) + chain(rows[::-1]))
 
 
 def diameter(points: DataFrame) -> float:
@@ -302,52 +315,171 @@ def diameter(points: DataFrame) -> float:
     return hulls.repartition(1).mapInPandas(widest, "d double").head()[0]
 
 
-def _cells_at(placed: DataFrame, level: int) -> DataFrame:
-    """Occupied cells of a level with their box, count and sum of the variable."""
-    return placed.groupBy(F.col(f"cx{level}").alias("cx"), F.col(f"cy{level}").alias("cy")).agg(
-        F.count("*").alias("cnt"), F.sum("v").alias("sv"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"),
-        F.min("y").alias("y_lo"), F.max("y").alias("y_hi"),
-        *([F.min(f"cx{level - 1}").alias("px"), F.min(f"cy{level - 1}").alias("py")] if level else []),
-    )
+#: Bits of a coordinate in a Z-order number; two of them fit a double exactly.
+_BITS = 26
+
+
+def packed_tree(points: DataFrame, value: str) -> list[DataFrame]:
+    """A balanced tree over points, from the points up to one root: ``cell, cnt, s, x_lo, x_hi, y_lo, y_hi``.
+
+    Points are numbered along the Z-order curve, so that cell c of a height holds the cells 4 c to 4 c + 3
+    below it. Every cell has four children however the points cluster, and boxes are tight. Points carry
+    their ``id`` besides.
+    """
+    grid = _Grid(points)
+    whole = [F.least(F.floor((F.col(v) - F.lit(v0)) / F.lit(grid.side) * float(1 << _BITS)), F.lit((1 << _BITS) - 1)).cast("long")
+             for v, v0 in (("x", grid.x0), ("y", grid.y0))]
+    z = F.lit(0).cast("long")
+    for axis, at in enumerate(("_zx", "_zy")):
+        for bit in range(_BITS):
+            z = z.bitwiseOR(F.shiftleft(F.shiftright(at, bit).bitwiseAND(F.lit(1)).cast("long"), 2 * bit + axis))
+    keyed = points.withColumns({"_zx": whole[0], "_zy": whole[1]}).withColumn("_z", z.cast("double")).drop("_zx", "_zy")
+    ranked = global_rank(keyed, "_z", F.col("id"), "_nr")
+    below = checkpointed(ranked.select(
+        (F.col("_nr") - 1).cast("long").alias("cell"), F.lit(1).cast("long").alias("cnt"), F.col(value).alias("s"), F.col("x").alias("x_lo"),
+        F.col("x").alias("x_hi"), F.col("y").alias("y_lo"), F.col("y").alias("y_hi"), "id"))
+    levels, n = [below], grid.n
+    while n > 1:
+        n = -(-n // 4)
+        levels.append(checkpointed(levels[-1].groupBy(F.shiftright("cell", 2).alias("cell")).agg(
+            F.sum("cnt").alias("cnt"), F.sum("s").alias("s"), F.min("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"),
+            F.min("y_lo").alias("y_lo"), F.max("y_hi").alias("y_hi"))))
+    return levels
+
+
+def closest(points: DataFrame, leaves: DataFrame) -> float | None:
+    """Smallest distance of two points, None if there are not two.
+
+    Neighbours along the curve bound it; no aligned square whose diagonal is shorter than that
+    bound holds two points, so the grid of the bound's size has few in each cell.
+    """
+    after = leaves.select((F.col("cell") - 1).alias("cell"), F.col("x_lo").alias("bx"), F.col("y_lo").alias("by"))
+    bound = leaves.join(after, "cell").agg(F.min(_distance("x_lo", "y_lo"))).head()[0]
+    if bound is None:
+        return None
+    return band_edges(points, bound).agg(F.min("d")).head()[0]
 
 
-def _interactions(placed: DataFrame, levels: int, class_of) -> DataFrame:
-    """Distance class of every point against every other one, in as few rows as possible.
+def class_pairs(levels: list[DataFrame], class_of, leaf: int = 5) -> tuple[list[DataFrame], DataFrame]:
+    """Cell pairs ``a <= b`` all whose distances are of one ``class``, per height from ``leaf`` on, and the leaf pairs left.
 
-    ``id, class, level, cx, cy, cnt, sv, own``: a cell whose whole box falls into one class
-    as seen from the point is one row; other cells are opened, down to single points. The
-    point's own cell counts the point itself, which ``own`` marks.
+    Descent of both sides at once: a pair of cells whose nearest and farthest corners are in one class stays
+    as it is, with the counts and sums of both sides; others are replaced by the pairs of their children, down to
+    the cells of height ``leaf`` (1024 points). Each pair of points is below exactly one of all these pairs.
     """
-    gap = lambda v: F.greatest(F.col(f"{v}_lo") - F.col(v), F.col(v) - F.col(f"{v}_hi"), F.lit(0.0))
-    span = lambda v: F.greatest(F.abs(F.col(v) - F.col(f"{v}_lo")), F.abs(F.col(v) - F.col(f"{v}_hi")))
-    low = class_of(F.sqrt(gap("x") ** 2 + gap("y") ** 2))
-    high = class_of(F.sqrt(span("x") ** 2 + span("y") ** 2))
-    ids = ["id", "x", "y", *[f"c{a}{lv}" for lv in range(levels) for a in "xy"]]
-    first = _cells_at(placed, 0)
-    # At most 64 cells.
-    whole = first.agg(F.collect_list(F.struct(*[F.col(c) for c in first.columns]))).scalar()
-    frontier = placed.select(*ids).withColumn("_all", whole).select(*ids, F.explode("_all").alias("_c")).select(*ids, "_c.*")
-    parts = []
-    for level in range(levels):
-        seen = frontier.withColumns({"class": low, "_high": high})
-        own = (F.col("cx") == F.col(f"cx{level}")) & (F.col("cy") == F.col(f"cy{level}"))
-        parts.append(seen.where(F.col("class") == F.col("_high")).select(
-            "id", "class", F.lit(level).alias("level"), "cx", "cy", "cnt", "sv", own.cast("int").alias("own")
-        ))
-        mixed = seen.where(F.col("class") != F.col("_high")).select(*ids, F.col("cx").alias("px"), F.col("cy").alias("py"))
-        if level + 1 < levels:
-            frontier = mixed.join(checkpointed(_cells_at(placed, level + 1)), ["px", "py"]).drop("px", "py")
+    names = ["cnt", "s", "x_lo", "x_hi", "y_lo", "y_hi"]
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select(F.col("cell").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in names])
+
+    def gap(v: str) -> Column:
+        return F.greatest(F.col(f"b_{v}_lo") - F.col(f"a_{v}_hi"), F.col(f"a_{v}_lo") - F.col(f"b_{v}_hi"), F.lit(0.0))
+
+    def span(v: str) -> Column:
+        return F.greatest(F.col(f"b_{v}_hi") - F.col(f"a_{v}_lo"), F.col(f"a_{v}_hi") - F.col(f"b_{v}_lo"))
+
+    low, high = (class_of(F.sqrt(d("x") * d("x") + d("y") * d("y"))) for d in (gap, span))
+    out: list[DataFrame] = []
+    top = len(levels) - 1
+    pairs = side(levels[top], "a").join(side(levels[top], "b"), F.col("a") == F.col("b"))
+    for height in range(top, min(leaf, top) - 1, -1):
+        seen = checkpointed(pairs.withColumns({"class": low, "_high": high}))
+        out.append(seen.where(F.col("class") == F.col("_high")).drop("_high"))
+        mixed = seen.where(F.col("class") != F.col("_high")).select("a", "b")
+        if height > leaf:
+            four = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col(c) * 4 + i))
+            below = mixed.withColumn("a2", four("a")).withColumn("b2", four("b")).where("a2 <= b2")
+            pairs = below.select(F.col("a2").alias("a"), F.col("b2").alias("b")).join(
+                side(levels[height - 1], "a"), "a").join(side(levels[height - 1], "b"), "b")
+    return out[::-1], mixed
+
+
+def in_blocks(pairs: DataFrame, rows: DataFrame, columns: list[str], leaf: int, made, schema: str) -> DataFrame:
+    """``made(table of a, table of b)`` for each pair of leaf cells, of the points' ``columns``."""
+    block = F.shiftright("cell", 2 * leaf)
+    left = rows.select(block.alias("a"), *columns).join(pairs, "a").select("a", "b", *columns)
+    right = rows.select(block.alias("b_b"), *[F.col(c).alias(f"{c}_b") for c in columns]).join(
+        pairs.select(F.col("a").alias("a_b"), F.col("b").alias("b_b")), "b_b").select("a_b", "b_b", *[f"{c}_b" for c in columns])
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        return made(a, b.rename_columns(a.column_names))
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a_b", "b_b")).applyInArrow(compare, schema)
+
+
+class _Classes:
+    """Distance classes of all pairs of two blocks of points, 0 for a point and itself."""
+
+    def __init__(self, nearest: float, width: float, k: int) -> None:
+        self.nearest, self.width, self.k = nearest, width, k
+
+    def __call__(self, a: pa.Table, b: pa.Table) -> np.ndarray:
+        dx = a["x_lo"].to_numpy()[:, None] - b["x_lo"].to_numpy()[None, :]
+        dy = a["y_lo"].to_numpy()[:, None] - b["y_lo"].to_numpy()[None, :]
+        d = np.sqrt(dx * dx + dy * dy)
+        if self.width:
+            found = np.clip(np.ceil((d - self.nearest) / self.width), 1, self.k).astype(np.int64)
         else:
-            last = placed.select(
-                F.col(f"cx{level}").alias("px"), F.col(f"cy{level}").alias("py"), F.col("id").alias("other"),
-                F.col("x").alias("bx"), F.col("y").alias("by"), "v",
-            )
-            pairs = mixed.join(last, ["px", "py"]).where(F.col("id") != F.col("other"))
-            parts.append(pairs.select(
-                "id", class_of(_distance("x", "y")).alias("class"), F.lit(levels).alias("level"), F.col("other").alias("cx"),
-                F.lit(0).cast("long").alias("cy"), F.lit(1).cast("long").alias("cnt"), F.col("v").alias("sv"), F.lit(0).alias("own"),
-            ))
-    return _union(parts)
+            found = np.ones(d.shape, np.int64)
+        found[a["cell"].to_numpy()[:, None] == b["cell"].to_numpy()[None, :]] = 0
+        return found
+
+    def sums(self, classes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """Per row and class the number of entries, or the sum of their weights."""
+        n = len(classes)
+        places = (np.arange(n)[:, None] * (self.k + 1) + classes).ravel()
+        return np.bincount(places, None if weights is None else weights.ravel(), n * (self.k + 1)).reshape(n, -1)
+
+    def counts(self, a: pa.Table, b: pa.Table) -> pa.Table:
+        """(cell, class, cnt, sv) of the points of both blocks."""
+        found = self(a, b)
+        parts = []
+        for own, other, classes in ((a, b, found), (b, a, found.T)):
+            cnt = self.sums(classes)
+            sv = self.sums(classes, np.broadcast_to(other["s"].to_numpy()[None, :], classes.shape))
+            i, c = np.nonzero(cnt[:, 1:])
+            parts.append((own["cell"].to_numpy()[i], c + 1, cnt[i, c + 1], sv[i, c + 1]))
+            if a["a"][0] == a["b"][0]:
+                break
+        cell, class_, cnt, sv = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table({"cell": cell, "class": class_.astype(np.int32), "cnt": cnt, "sv": sv})
+
+    def weights(self, a: pa.Table, b: pa.Table) -> pa.Table:
+        """(cell, class, u): what each point is handed by the other block, whose points carry ``u`` by class."""
+        found = self(a, b)
+        parts = []
+        for own, other, classes in ((a, b, found), (b, a, found.T)):
+            each = np.zeros((len(other), self.k + 1))
+            for i, held in enumerate(other["us"].to_pylist()):
+                for entry in held or ():
+                    each[i, entry["class"]] = entry["u"]
+            u = self.sums(classes, each[np.arange(len(other))[None, :], classes])
+            i, c = np.nonzero(u[:, 1:])
+            parts.append((own["cell"].to_numpy()[i], c + 1, u[i, c + 1]))
+            if a["a"][0] == a["b"][0]:
+                break
+        cell, class_, u = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table({"cell": cell, "class": class_.astype(np.int32), "u": u})
+
+
+def both_sides(pairs: DataFrame, value_of_b: list[Column], value_of_a: list[Column]) -> DataFrame:
+    """What each side of a pair hands to the other: (cell, class, own, ...); a pair of a cell with itself counts once, as ``own``."""
+    own = (F.col("a") == F.col("b")).cast("long")
+    return pairs.select(F.col("a").alias("cell"), "class", own.alias("own"), *value_of_b).unionByName(
+        pairs.where("a <> b").select(F.col("b").alias("cell"), "class", F.lit(0).cast("long").alias("own"), *value_of_a))
+
+
+def pushed_down(parts: list[DataFrame], leaves: DataFrame, leaf: int, names: list[str]) -> DataFrame:
+    """(cell, class) sums of the points, from what was added at every height from ``leaf`` on: one aggregation per height."""
+    total = None
+    for height in range(len(parts) - 1, -1, -1):
+        rows = parts[height]
+        if total is not None:
+            children = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("cell") * 4 + i))
+            rows = rows.unionByName(total.withColumn("cell", children))
+        total = rows.groupBy("cell", "class").agg(*[F.sum(c).alias(c) for c in names])
+    points = leaves.select("cell", F.shiftright("cell", 2 * leaf).alias("_leaf"))
+    return points.join(total.withColumnRenamed("cell", "_leaf"), "_leaf").select("cell", "class", *names)
 
 
 def correlogram(
@@ -356,50 +488,64 @@ def correlogram(
     """Moran's I per distance class with row-standardised weights.
 
     ``class, lo, hi, pairs, i, p``. Classes of equal width span the distances between all
-    pairs, their number following Sturges' rule unless given. Points without a neighbour in
-    a class take no part in it. Distances are classified cell by cell where a whole cell
-    falls into one class, so the work grows with the points near class borders.
+    pairs, their number following Sturges' rule unless given; if all distances are equal there is
+    one class. Points without a neighbour in a class take no part in it. Counts and sums are added to whole
+    cells by a descent of cell pairs and handed down the tree; only pairs of leaf cells near class
+    borders are compared point by point, block by block. Fewer than two points give no rows.
     """
     points = df.select(
         F.col(id).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
         F.col(col).cast("double").alias("v"),
     ).dropna("any")
     points = checkpointed(first_per_key(points, ["x", "y"], ["id"]))
-    grid = _Grid(points)
-    nearest = knn_edges(points, 1).agg(F.min("d")).head()[0]
-    widest = diameter(points)
-    k = classes or math.ceil(math.log2(grid.n * (grid.n - 1) / 2) + 1)
-    width = (widest - nearest) / k
+    levels = packed_tree(points, "v")
+    nearest = closest(points, levels[0])
+    widest = diameter(points) if nearest is not None else 0.0
+    n_points = points.count()
+    k = classes or math.ceil(math.log2(max(n_points * (n_points - 1) / 2, 1)) + 1)
+    nearest = 0.0 if nearest is None else nearest
+    width = max(widest - nearest, 0.0) / k
 
     def class_of(d: Column) -> Column:
+        if width == 0:
+            return F.lit(1)
         return F.least(F.greatest(F.ceil((d - F.lit(nearest)) / F.lit(width)), F.lit(1)), F.lit(k)).cast("int")
 
-    levels = max(1, 1 + math.ceil(math.log(max(math.sqrt(grid.n / 8) / 8, 1), 4)))
-    sizes = [grid.side * (1 + 1e-12) / (8 * 4**lv) for lv in range(levels)]
-    placed = points
-    for lv, size in enumerate(sizes):
-        cx, cy = grid.cell(size)
-        placed = placed.withColumns({f"cx{lv}": F.least(cx, F.lit(8 * 4**lv - 1)), f"cy{lv}": F.least(cy, F.lit(8 * 4**lv - 1))})
-    met = _interactions(placed, levels, class_of)
+    leaf = min(5, len(levels) - 1)
+    met, mixed = class_pairs(levels, class_of, leaf)
+    mixed = checkpointed(mixed)
+    pairwise = _Classes(nearest, width, k)
+    added = [both_sides(p, [F.col("b_cnt").alias("cnt"), F.col("b_s").alias("sv")], [F.col("a_cnt").alias("cnt"), F.col("a_s").alias("sv")]) for p in met]
+    place = ["cell", "x_lo", "y_lo", "s"]
+    opened = in_blocks(mixed, levels[0], place, leaf, pairwise.counts, "cell long, class int, cnt long, sv double")
     near = (
-        met.groupBy("id", "class").agg(F.sum("cnt").alias("cnt"), F.sum("sv").alias("sv"), F.sum("own").alias("own"))
-        .join(placed, "id")
-        .select("id", "class", "own", "v", (F.col("cnt") - F.col("own")).cast("double").alias("k"),
-                (F.col("sv") - F.col("own") * F.col("v")).alias("sv"), *[c for c in placed.columns if c[0] == "c"])
+        pushed_down(added, levels[0], leaf, ["cnt", "sv", "own"]).unionByName(opened.withColumn("own", F.lit(0).cast("long")))
+        .groupBy("cell", "class").agg(F.sum("cnt").alias("cnt"), F.sum("sv").alias("sv"), F.sum("own").alias("own"))
+        .join(levels[0].select("cell", F.col("s").alias("v")), "cell")
+        .select("cell", "class", "own", "v", (F.col("cnt") - F.col("own")).cast("double").alias("k"),
+                (F.col("sv") - F.col("own") * F.col("v")).alias("sv"))
         .where(F.col("k") > 0)
     )
     near = checkpointed(near)
-    node = F.explode(F.array(
-        *[F.struct(F.lit(lv).alias("level"), F.col(f"cx{lv}").alias("cx"), F.col(f"cy{lv}").alias("cy")) for lv in range(levels)],
-        F.struct(F.lit(levels).alias("level"), F.col("id").alias("cx"), F.lit(0).cast("long").alias("cy")),
-    ))
-    inverse = near.select("class", (F.lit(1.0) / F.col("k")).alias("u"), node.alias("_n")).groupBy(
-        "class", "_n.level", "_n.cx", "_n.cy"
-    ).agg(F.sum("u").alias("u"))
-    columns = met.join(inverse, ["class", "level", "cx", "cy"]).groupBy("id", "class").agg(F.sum("u").alias("u"))
+    # Sums of 1 / k by cell at every height from the leaves on, then exchanged along the same pairs.
+    height = F.explode(F.sequence(F.lit(leaf), F.lit(leaf + len(met) - 1))).alias("height")
+    inverse = checkpointed(near.select("cell", "class", (F.lit(1.0) / F.col("k")).alias("u"), height).groupBy(
+        "height", F.expr("shiftright(cell, 2 * height)").alias("cell"), "class").agg(F.sum("u").alias("u")))
+    handed = []
+    for h, pairs in enumerate(met):
+        level = inverse.where(F.col("height") == leaf + h)
+        a = level.select(F.col("cell").alias("a"), "class", F.col("u").alias("ua"))
+        b = level.select(F.col("cell").alias("b"), "class", F.col("u").alias("ub"))
+        narrow = pairs.select("a", "b", "class").join(a, ["a", "class"], "left").join(b, ["b", "class"], "left")
+        handed.append(both_sides(narrow, [F.col("ub").alias("u")], [F.col("ua").alias("u")]).drop("own"))
+    # One entry a class.
+    own_u = near.groupBy("cell").agg(F.collect_list(F.struct("class", (F.lit(1.0) / F.col("k")).alias("u"))).alias("us"))
+    rows_u = levels[0].select(*place).join(own_u, "cell", "left")
+    opened_u = in_blocks(mixed, rows_u, [*place, "us"], leaf, pairwise.weights, "cell long, class int, u double")
+    columns = pushed_down(handed, levels[0], leaf, ["u"]).unionByName(opened_u).groupBy("cell", "class").agg(F.sum("u").alias("u"))
     means = near.groupBy("class").agg(F.avg("v").alias("m"))
     # One row per class.
-    rows = near.join(columns, ["id", "class"]).join(F.broadcast(means), "class").select(
+    rows = near.join(columns, ["cell", "class"]).join(F.broadcast(means), "class").select(
         "class", "k", (F.col("v") - F.col("m")).alias("z"), ((F.col("sv") - F.col("k") * F.col("m")) / F.col("k")).alias("lag"),
         (F.col("u") - F.col("own") / F.col("k")).alias("c"),
     )

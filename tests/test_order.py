@@ -68,3 +68,22 @@ def test_quantiles_keep_groups_without_values(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "g string, v double")
     got = {r["g"]: (r["n"], r["quantiles"]) for r in order.exact_quantiles(df, ["v"], [0.5], by=["g"]).collect()}
     assert got == {"a": (2, [2.0]), "b": (0, None)}
+
+
+def test_order_key_follows_the_order_of_doubles(spark):
+    rng = np.random.default_rng(9)
+    powers = np.concatenate([2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1022, 1024), 0), np.nextafter(2.0 ** np.arange(-1022, 1023), np.inf)])
+    some = np.concatenate([powers, -powers, [0.0, -0.0, np.inf, -np.inf, 1.7976931348623157e308], rng.normal(0, 1, 500), rng.normal(0, 1e-300, 100)])
+    rows = spark.createDataFrame([(float(v),) for v in some], "v double").select("v", order.order_key(F.col("v")).alias("k")).collect()
+    v, k = np.array([r.v for r in rows]), np.array([r.k for r in rows])
+    at = np.argsort(v, kind="stable")
+    assert ((np.diff(v[at]) > 0) == (np.diff(k[at]) > 0)).all() and (np.diff(k[at]) >= 0).all()
+    assert len(set(k.tolist())) == len(set(v.tolist()))
+
+
+def test_quantiles_of_values_in_one_bucket(spark):
+    """Values whose leading bits agree are cut by further bits."""
+    v = 1.0 + np.random.default_rng(4).integers(0, 900, 3000) * 2.0**-52
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    got = order.exact_quantiles(df, ["v"], [0.0, 0.5, 0.9, 1.0], piece=50).head()
+    assert got["quantiles"] == np.quantile(v, [0.0, 0.5, 0.9, 1.0]).tolist() and got["n"] == 3000

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from ecospark.operators import spatial
 
 RNG = np.random.default_rng(7)
@@ -139,3 +141,30 @@ def test_diameter_takes_hulls_in_parallel(spark):
 
     points = spark.range(0, 40, 1, 4).mapInPandas(place, "x double, y double")
     assert spatial.diameter(points) == 3.0
+
+
+def test_equal_distances_are_one_class(spark):
+    triangle = np.array([[0.0, 0.0], [4.0, 0.0], [2.0, 1.0]])
+    two = spatial.correlogram(frame(spark, triangle[:2], np.array([1.0, 2.0])), "v").collect()
+    assert [(r["class"], r["pairs"], r["lo"], r["hi"]) for r in two] == [(1, 1, 4.0, 4.0)]
+    assert spatial.correlogram(frame(spark, triangle[:1], np.array([1.0])), "v").collect() == []
+
+
+def test_radius_zero_gives_coincident_points(spark):
+    df = spark.createDataFrame([(3, 1.0, 1.0), (2, 1.0, 1.0), (9, 0.0, 0.0)], "id long, x double, y double")
+    assert [tuple(r) for r in spatial.band_edges(df, 0.0).collect()] == [(2, 3, 0.0)]
+
+
+def test_pairs_of_cells_cover_every_pair_once(spark):
+    for n in (5, 700):
+        points = np.random.default_rng(n).random((n, 2))
+        points[0] = 1000.0  # a stray point crowds no cell
+        levels = spatial.packed_tree(frame(spark, points), "id")
+        met, left = spatial.class_pairs(levels, lambda d: F.ceil(d * 10).cast("int"), leaf=1)
+        rows = [r for p in met for r in p.where("a <> b").selectExpr("count(*)", "coalesce(sum(a_cnt * b_cnt), 0)").collect()]
+        own = sum(r[0] or 0 for p in met for r in p.where("a = b").selectExpr("sum(a_cnt * (a_cnt - 1) div 2)").collect())
+        cnt = {r["cell"]: r["cnt"] for r in levels[1].collect()}
+        open_ = [(r["a"], r["b"]) for r in left.collect()]
+        covered = sum(cnt[a] * (cnt[a] - 1) // 2 if a == b else cnt[a] * cnt[b] for a, b in open_)
+        assert sum(r[1] for r in rows) + own + covered == n * (n - 1) / 2
+        assert sum(r[0] for r in rows) + len(open_) < n * n / 16
