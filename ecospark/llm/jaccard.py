@@ -138,7 +138,7 @@ def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], piece: i
     return met.where(both * (share[0] + share[1]) >= (F.col("na") + F.col("nb")) * share[0]).select("a", "b")
 
 
-def most_named(pivots: Column, most: int = 4) -> Column:
+def most_named(pivots: Column, most: int = 2) -> Column:
     """The ``most`` values that occur most often in a list, as a list."""
 
     def choose(lists_: pa.Array) -> pa.Array:
@@ -186,7 +186,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = in_question(near, None, sets, share, 0)
     many, links, parts = left.count(), None, None
     for turn in range(1, rounds + 1):
-        found = checkpointed(verified(left.select(F.col("node").alias("a"), F.explode("pivots").alias("b")).where("a <> b"), sets, share))
+        asked = left.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("pivots").alias("b")).where("a <> b")
+        # Sizes are compared before any set is sent.
+        fit = asked.join(near.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(
+            (F.col("na") * share[1] >= F.col("nb") * share[0]) & (F.col("nb") * share[1] >= F.col("na") * share[0]))
+        found = checkpointed(verified(fit.select("a", "b"), sets, share))
         links = found if links is None else links.unionByName(found)
         parts = checkpointed(components(links))
         left = in_question(left, parts, sets, share, turn)
