@@ -2,20 +2,26 @@
 
 Each source's documents, in the order of a hash, form blocks of equal size. Block j (from 1) of a
 source of weight w is released at slot floor((j - 1) / w) and due by slot ceil(j / w); in every slot
-the released block with the earliest deadline goes next. With weights as whole shares of a
-common period the schedule repeats, so one period is laid out, in a single small row, and
-applied to all blocks by their number. Up to the first source's end every source's count
-stays within one block of its target at every slot.
+the released block with the earliest deadline goes next, so every source's count stays within one
+block of its target at every slot. Weights are whole numbers over their sum, so releases and deadlines are
+exact, and there is no period.
+
+The schedule is laid out by ranges of slots, all at once. A range begins with a guess of its sources'
+counts: each is floor(w t) or one more, and those due first are the ones ahead. Where the range before ends
+with other counts, the range is laid out again from these, until all agree. The result is that of one run
+over all slots, since every round settles one more range at least, and runs that
+begin apart soon agree.
 
 Documents are numbered within their source in two levels: counts per (source, hash range) give
 offsets, and rows are ranked within one range only, so a source with a third of all rows is
-spread over many tasks.
+spread over many tasks, and so are rows of one id.
 
 Defined cases. A null source is a source of its own. Sources without a weight, or with one of zero
-or less, are never scheduled, but their rows are kept: their slot and position are null. Rows of equal id and text are
-interchangeable; rows of equal id are ordered by a hash of the text. An empty table gives no
-rows. At most ``MOST_SOURCES`` sources can be scheduled, for the period is laid out in one row; more
-raise an error. New columns replace those of the same name; other extra columns are kept.
+or less, are never scheduled, but their rows are kept: their slot and position are null. Weights are taken
+to 31 bits of the largest one, at least 1. Rows of equal id and text are interchangeable. An empty table gives no
+rows. The slots of a source that has ended stay empty, so the others keep their proportions; the last slot
+is the largest quotient of blocks and weight. New columns replace those of the same name, whatever its case; other
+extra columns are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
 
-MOST_SOURCES = 1000
+FINE = 1 << 31
 
 
 def named(source: Column) -> Column:
@@ -33,84 +39,85 @@ def named(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("!")).otherwise(F.concat(F.lit("+"), source.cast("string")))
 
 
-def shares(weights: DataFrame, period: int, source_col: str = "source", weight_col: str = "weight") -> DataFrame:
-    """(source, share): whole shares of the period, by largest remainder, one at least.
-
-    One row per source; at most MOST_SOURCES.
-    """
+def whole_weights(weights: DataFrame, source_col: str = "source", weight_col: str = "weight") -> DataFrame:
+    """(source, share): the weights as whole numbers; one row per source, null first."""
     good = weights.where(F.col(weight_col) > 0).groupBy(F.col(source_col).alias("source")).agg(F.sum(weight_col).alias("weight"))
-    n = good.limit(MOST_SOURCES + 1).count()
-    if n > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources cannot be scheduled at once")
-    if n > period:
-        raise ValueError("the period must be as long as the number of sources at least")
-    # Every source has one share of its own; the others are dealt by weight.
-    one = good.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("all"), F.sum("weight").alias("total"))
-    exact = one.select(F.explode("all").alias("x"), "total").select(
-        "x.source", (F.col("x.weight") / F.col("total") * (period - n)).alias("exact"))
-    floors = exact.withColumn("base", F.floor("exact").cast("int"))
-    ranked = floors.groupBy().agg(
-        F.sort_array(F.collect_list(F.struct((-F.round(F.col("exact") - F.col("base"), 9)).alias("rest"), "source", "base"))).alias("all"),
-        (F.lit(period - n) - F.sum("base")).cast("int").alias("left"))
-    return ranked.select(F.posexplode("all").alias("place", "x"), "left").select(
-        "x.source", (F.col("x.base") + 1 + F.when(F.col("place") < F.col("left"), 1).otherwise(0)).cast("int").alias("share"))
-
-
-def schedule(share: DataFrame, period: int) -> DataFrame:
-    """(source, nr, slot): the slot of each block of a period, by earliest deadline first.
-
-    Deadlines and releases are compared as whole numbers; among equal deadlines the source that
-    comes first by name goes.
+    return good.crossJoin(F.broadcast(good.agg(F.max("weight").alias("most")))).select(
+        "source", F.ceil(F.col("weight") / F.col("most") * F.lit(float(FINE))).cast("long").alias("share"))
+
+
+def schedule(shares: DataFrame, blocks: DataFrame, length: int = 1000) -> DataFrame:
+    """(source, nr, slot): the slot of each of the first blocks of every source, by earliest deadline first.
+
+    ``shares`` has (source, share), ``blocks`` (source, blocks). Slots run up to the last that a block needs. Among equal
+    deadlines the source that comes first by name goes.
     """
-    rows = share.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("all"))
-    due = f"cast((x.done * {period}L + {period}L + x.share - 1) div x.share as int)"
-    free = f"cast(x.done * {period}L div x.share as int)"
-    start = "transform(all, (s, i) -> named_struct('i', i, 'share', s.share, 'done', 0))"
-    # One step: the released block of the earliest deadline; then its source's count rises.
-    picked = (f"array_min(transform(filter(acc.state, x -> x.done < x.share and {free} <= t), "
-              f"x -> named_struct('due', {due}, 'i', x.i, 'nr', x.done)))")
-    step = (f"transform(array({picked}), p -> named_struct("
-            "'state', transform(acc.state, x -> if(x.i = p.i, named_struct('i', x.i, 'share', x.share, 'done', x.done + 1), x)), "
-            "'out', concat(acc.out, array(named_struct('i', p.i, 'nr', p.nr)))))[0]")
-    laid = rows.where(F.size("all") > 0).select("all", F.expr(
-        f"aggregate(sequence(0, {period - 1}), named_struct('state', {start}, 'out', cast(array() as array<struct<i:int,nr:int>>)), "
-        f"(acc, t) -> {step}, acc -> acc.out)").alias("out"))
-    return laid.select("all", F.posexplode("out").alias("slot", "x")).select(
-        F.expr("all[x.i].source").alias("source"), F.col("x.nr").alias("nr"), "slot")
-
-
-def mix(docs: DataFrame, weights: DataFrame, block: int = 8, period: int = 1000, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", rows_per_range: int = 2000) -> DataFrame:
+    known = shares.join(blocks, shares["source"].eqNullSafe(blocks["source"])).select(shares["source"], "share", "blocks")
+    # One row, as long as the list of sources.
+    everything = checkpointed(shares.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("all"), F.sum("share").alias("total")))
+    total = everything.head()["total"]
+    if total is None:
+        return shares.select("source", F.lit(0).cast("long").alias("nr"), F.lit(0).cast("long").alias("slot")).limit(0)
+    last = known.agg(F.max(F.expr(f"(blocks * {total}L + share - 1) div share"))).head()[0] or 0
+    ranges = -(-last // length)
+    first = shares.sparkSession.range(ranges).select(F.col("id").alias("r"), (F.col("id") * length).alias("t")).crossJoin(F.broadcast(everything))
+    floors = f"transform(all, s -> t * s.share div {total}L)"
+    # Those ahead at the start of a range: of the sources with a block under way, the first ones by deadline.
+    due_first = (f"slice(array_sort(filter(transform(all, (s, i) -> named_struct('due', ((done[i] + 1) * {total}L + s.share - 1) div s.share, 'i', i, "
+                 f"'part', t * s.share % {total}L)), x -> x.part > 0)), 1, cast(t - aggregate(done, 0L, (a, x) -> a + x) as int))")
+    guess = first.withColumn("done", F.expr(floors)).withColumn("ahead", F.expr(f"transform({due_first}, x -> x.i)")).withColumn(
+        "begin", F.expr("transform(done, (d, i) -> if(array_contains(ahead, i), d + 1, d))")).select("r", "t", "all", "begin")
+    step = (f"transform(array(array_min(filter(transform(all, (s, i) -> if(acc.done[i] * {total}L div s.share <= slot, named_struct("
+            f"'due', ((acc.done[i] + 1) * {total}L + s.share - 1) div s.share, 'i', i), null)), x -> x is not null))), "
+            "p -> named_struct('done', transform(acc.done, (d, i) -> if(i = p.i, d + 1, d)), "
+            "'out', concat(acc.out, array(named_struct('i', p.i, 'nr', acc.done[p.i])))))[0]")
+    laid = F.expr(f"aggregate(sequence(t, t + {length - 1}), named_struct('done', begin, 'out', cast(array() as array<struct<i:int,nr:bigint>>)), (acc, slot) -> {step})")
+
+    def lay(rows: DataFrame) -> DataFrame:
+        made = rows.repartition("r").withColumn("_made", laid)
+        return made.select("r", "t", "all", "begin", F.col("_made.done").alias("end"), F.col("_made.out").alias("out"))
+
+    plan = checkpointed(lay(guess))
+    while True:
+        ends = plan.select((F.col("r") + 1).alias("r"), F.col("end").alias("right"))
+        wrong = checkpointed(plan.select("r", "t", "all", "begin").join(ends, "r").where("begin <> right").select("r", "t", "all", F.col("right").alias("begin")))
+        if wrong.isEmpty():
+            break
+        plan = checkpointed(plan.join(wrong.select("r"), "r", "left_anti").unionByName(lay(wrong)))
+    slots = plan.select("all", "t", F.posexplode("out").alias("at", "x")).select(
+        F.expr("all[x.i].source").alias("source"), F.col("x.nr").alias("nr"), (F.col("t") + F.col("at")).alias("slot"))
+    return slots.join(F.broadcast(known.select(F.col("source").alias("_s"), "blocks")), F.col("source").eqNullSafe(F.col("_s"))).where(
+        "nr < blocks").select("source", "nr", "slot")
+
+
+def mix(docs: DataFrame, weights: DataFrame, block: int = 8, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source", rows_per_range: int = 2000, length: int = 1000) -> DataFrame:
     """The documents with ``block_nr``, ``slot`` and ``mix_position``; to be read in the order of ``mix_position``.
 
-    ``weights`` has columns (source, weight). Slots of a source that has ended stay empty, so the
-    others keep their proportions. ``rows_per_range`` sets the number of hash ranges by the row count.
+    ``weights`` has columns (source, weight). ``rows_per_range`` sets the number of hash ranges by the row count,
+    ``length`` the slots that are laid out in one piece.
     """
     new = ("block_nr", "slot", "mix_position")
-    names = [c for c in docs.columns if c not in (*new, "_source", "_hash", "_text", "_range", "_nr", "_before", "_share", "_turn", "_slot")]
-    share = checkpointed(shares(weights.select(weights.columns[0], weights.columns[1]).toDF("source", "weight"), period))
-    plan = checkpointed(schedule(share, period))
+    names = [c for c in docs.columns if c.lower() not in new]
+    share = checkpointed(whole_weights(weights.select(weights.columns[0], weights.columns[1]).toDF("source", "weight")))
     ranges = max(1, -(-docs.count() // rows_per_range))
-    hash_ = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    # All columns travel in one struct, so that no name can clash.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), named(F.col(f"`{source_col}`")).alias("key"), F.md5(F.concat(
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))).alias("hash"))
     # Ranges of the hash in its own order, so that the order within a source does not depend on their number.
-    range_ = F.floor(F.conv(F.substr("_hash", F.lit(1), F.lit(8)), 16, 10).cast("double") * ranges / 2.0**32).cast("int")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], named(F.col(f"`{source_col}`")).alias("_source"), hash_.alias("_hash")).withColumn(
-        "_range", range_)
-    counts = checkpointed(keyed.groupBy("_source", "_range").count())
-    before = counts.selectExpr("_source", "_range", "sum(count) over (partition by _source order by _range) - count as _before")
-    numbered = keyed.withColumn("_text", F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).withColumn("_nr", F.expr(
-        f"row_number() over (partition by _source, _range order by _hash, `{id_col}`, _text)"))
+    range_ = F.floor(F.conv(F.substr("hash", F.lit(1), F.lit(8)), 16, 10).cast("double") * ranges / 2.0**32).cast("int")
+    keyed = held.withColumn("range", range_)
+    counts = checkpointed(keyed.groupBy("key", "range").count())
+    sizes = counts.groupBy("key").agg(F.ceil(F.sum("count") / block).cast("long").alias("blocks"))
+    plan = schedule(share.select(named(F.col("source")).alias("source"), "share"), sizes.withColumnRenamed("key", "source"), length)
+    plan = plan.select(F.col("source").alias("key"), F.col("nr").alias("block_nr"), "slot")
+    before = counts.selectExpr("key", "range", "sum(count) over (partition by key order by range) - count as before")
+    numbered = keyed.withColumn("nr", F.expr("row_number() over (partition by key, range order by hash)"))
     # The join is on the window's keys, so the documents are not dealt anew.
-    placed = numbered.join(before, ["_source", "_range"]).withColumn("_nr", F.col("_before") + F.col("_nr") - 1)
-    placed = placed.withColumn("block_nr", F.expr(f"_nr div {block}"))
-    # Both tables are bounded: a row per source, and one per slot of the period.
-    weighed = placed.join(F.broadcast(share.select(named(F.col("source")).alias("_source"), F.col("share").alias("_share"))), "_source", "left")
-    plan = plan.select(named(F.col("source")).alias("_source"), F.col("nr").alias("_turn"), F.col("slot").alias("_slot"))
-    met = weighed.withColumn("_turn", (F.col("block_nr") % F.col("_share")).cast("int")).join(
-        F.broadcast(plan), ["_source", "_turn"], "left")
-    slot = F.expr(f"block_nr div _share * {period} + _slot")
-    return met.select(*[F.col(f"`{c}`") for c in names], "block_nr", slot.alias("slot"),
-                      (slot * block + F.col("_nr") % block).alias("mix_position"))
+    placed = numbered.join(before, ["key", "range"]).withColumn("nr", F.col("before") + F.col("nr") - 1)
+    met = placed.withColumn("block_nr", F.expr(f"nr div {block}")).join(plan, ["key", "block_nr"], "left")
+    return met.select(*[F.col("row").getField(c).alias(c) for c in names], "block_nr", "slot",
+                      (F.col("slot") * block + F.col("nr") % block).alias("mix_position"))
 
 
 def tempered_weights(docs: DataFrame, source_col: str = "source", size_col: str = "n_chars") -> DataFrame:

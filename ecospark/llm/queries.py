@@ -176,36 +176,31 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "source", "block_nr", "slot", "mix_position")
 
 
-#: The period's schedule comes from a recursion over its slots, on lists in the order of the sources' names.
+#: One run over all slots, on lists in the order of the sources' names; f is floor((j - 1) / w), d is ceil(j / w) of the next block j.
 MIXING_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT source, sqrt(sum(n_chars)) AS weight FROM {docs} GROUP BY source HAVING sum(n_chars) > 0
-), x AS (
-  SELECT source, weight / sum(weight) OVER () * (1000 - count(*) OVER ()) AS exact, count(*) OVER () AS n FROM w
-), f AS (
-  SELECT source, CAST(floor(exact) AS INT) AS base, round(exact - floor(exact), 9) AS rest, n FROM x
+  SELECT source, sqrt(sum(n_chars)) AS weight, CAST(ceil(count(*) / 8) AS BIGINT) AS blocks FROM {docs} GROUP BY source HAVING sum(n_chars) > 0
 ), sh AS (
-  SELECT source, base + 1 + CASE WHEN row_number() OVER (ORDER BY rest DESC, source NULLS FIRST) <= 1000 - n - sum(base) OVER () THEN 1 ELSE 0 END AS share
-  FROM f
+  SELECT source, blocks, CAST(ceil(weight / max(weight) OVER () * 2147483648) AS BIGINT) AS share FROM w
 ), l AS (
-  SELECT list(source ORDER BY source NULLS FIRST) AS sources, list(share ORDER BY source NULLS FIRST) AS shares FROM sh
+  SELECT list(source ORDER BY source NULLS FIRST) AS sources, list(share ORDER BY source NULLS FIRST) AS shares, CAST(sum(share) AS BIGINT) AS total,
+         max((blocks * (SELECT CAST(sum(share) AS BIGINT) FROM sh) + share - 1) // share) AS last FROM sh
 ), r AS (
-  SELECT -1 AS slot, shares, list_transform(shares, lambda s: 0) AS done, 0 AS picked, 0 AS nr FROM l
+  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(shares, lambda s: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS picked, CAST(0 AS BIGINT) AS nr FROM l
   UNION ALL
-  SELECT slot, shares, list_transform(done, lambda d, i: CASE WHEN i = p.i THEN d + 1 ELSE d END), p.i, done[p.i]
+  SELECT slot, list_transform(done, lambda d, i: CASE WHEN i = p.i THEN d + 1 ELSE d END), p.i, done[p.i]
   FROM (
-    SELECT slot + 1 AS slot, shares, done, list_min(list_transform(list_filter(range(1, len(shares) + 1),
-        lambda i: done[i] < shares[i] AND done[i] * 1000 // shares[i] <= slot + 1),
-        lambda i: struct_pack(due := ((done[i] + 1) * 1000 + shares[i] - 1) // shares[i], i := i))) AS p
-    FROM r WHERE slot < 999)
+    SELECT slot + 1 AS slot, done, list_min(list_transform(list_filter(range(1, len(shares) + 1),
+        lambda i: done[i] * total // shares[i] <= slot + 1),
+        lambda i: struct_pack(d := ((done[i] + 1) * total + shares[i] - 1) // shares[i], i := i))) AS p
+    FROM r, l WHERE slot + 1 < last)
 ), plan AS (
   SELECT sources[picked] AS source, nr, slot FROM r, l WHERE slot >= 0
 ), d AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, md5(text)) - 1 AS place FROM {docs}
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ' ', md5(coalesce(text, ''))))) - 1 AS place FROM {docs}
 )
-SELECT {columns} place // 8 AS block_nr, place // 8 // share * 1000 + slot AS slot,
-       (place // 8 // share * 1000 + slot) * 8 + place % 8 AS mix_position
-FROM d JOIN sh USING (source) JOIN plan ON plan.source = d.source AND plan.nr = place // 8 % share
+SELECT {columns} place // 8 AS block_nr, slot, slot * 8 + place % 8 AS mix_position
+FROM d LEFT JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.nr = place // 8
 """
 ORACLES["op9_mixing"] = MIXING_SQL.format(docs="documents", columns="doc_id, d.source,")
 

@@ -1,24 +1,26 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A word's log-odds between toxic and other labelled documents are smoothed by a Dirichlet prior:
-half a count plus its share of the background. Words whose log-odds are large and exceed
-their standard error ``z`` times score; every other word costs a little. One linear scan finds all maximal
-segments of a text. Under clean text a segment's score has an extreme-value tail, E = K n exp(-lambda S);
-lambda follows from the word frequencies, K from the clean training texts. The tails of a document's
-best segments are combined, and a bound on the Bayes factor turns the p-value and the share of
-toxic labels into a score from 0 to 1.
+A word's log-odds between toxic and other labelled documents are smoothed by a Dirichlet prior: half a
+count plus its share of the background. Its score is its log-odds, shrunk by ``z`` standard errors towards the
+log-odds of all words that are not told apart from one another; those words score that pooled value
+itself, which is negative in clean text. One linear scan finds all maximal segments of a text.
 
-Copies of one labelled document would make its rare words look toxic. So a class's count of a word is
-bounded by its number of different left neighbours, unless these are too many to tell.
+Under clean text a segment's score has an extreme-value tail, E = K n exp(-lambda S); lambda follows from the
+words' scores and shares, K from the clean training texts. The tails of all of a document's segments are
+combined to one p-value, for the number of best segments that tells most. A rising line through
+the labelled documents' shares of toxic ones by ln(1 - ln p) makes a score from 0 to 1 of it.
+
+Copies of one labelled document would make its rare words look toxic. Equal texts count as one. For near
+copies, a word's error follows from the number of its different contexts, words that stand some places before it
+and so outside of a fixed phrase, and its log-odds are no larger than these contexts show.
 
 Labels are learnt from a sample of at most about ``max_rows`` labelled documents (a parameter of
-labelled(); below it, all). Counts are gathered from all of these by aggregation; the model is the ``max_words``
-most significant words (a parameter of the model), so its size is bounded.
+labelled(); below it, all). Counts are gathered from all of these by aggregation; the model holds the words
+that differ from the pooled ones, whose number the sample bounds.
 
-Defined cases. Null and empty texts have no words, and the score of no evidence, which is the
-share of toxic labels. Without training rows all scores are 0. Null labels are left out of
-training; repeated rows count repeatedly, but see above. Extra columns are kept; new columns
-replace those of the same name.
+Defined cases. Null and empty texts have no words and no segments, and the score of no evidence. Without
+training rows all scores are 0, and with labels of one kind the share of toxic ones. Null labels are left out of
+training. Extra columns are kept; new columns replace those of the same name, whatever its case.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,101 +41,179 @@ from ..sources.tables import checkpointed
 WORD = re.compile(r"[^\W\d_]+")
 #: Words a task counts before it hands them on.
 HELD = 200_000
+#: Distance of a word's context.
+APART = 6
+BITS = ["b0", "b1", "b2", "b3"]
 PASSAGES = "array<struct<start:int,end:int,score:double,p_value:double>>"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Scores of the listed words, of all others, the tail's two numbers and the share of toxic labels."""
+    """Scores of the words told apart and of all others, the tail's two numbers, and the line from ln(1 - ln p) to scores."""
 
     words: dict[str, float]
     other: float
     rate: float
     size: float
-    prior: float
+    line: tuple[tuple[float, ...], tuple[float, ...]] = ((0.0,), (0.0,))
+
+    def score(self, p: float) -> float:
+        """Share of toxic texts at this evidence; where the line is level, more evidence still adds a little."""
+        x = math.log1p(-math.log(p))
+        level = float(np.interp(x, *self.line))
+        return level + (1 - level) * 0.001 * x / (1 + x) if self.line[1][-1] > 0 else 0.0
+
+    @property
+    def prior(self) -> float:
+        """The score of no evidence."""
+        return self.score(1.0)
 
 
-def word_counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(word, toxic, clean): occurrences by class, bounded by the number of left neighbours."""
+def training_rows(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """(text, label, weight): a text that occurs n times weighs 1 / n each time."""
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), (F.col(f"`{label_col}`").cast("int") != 0).cast("int").alias("label")).where(
+        "text IS NOT NULL AND label IS NOT NULL").withColumn("hash", F.md5("text"))
+    # Fewer rows than half the training sample.
+    copies = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(F.broadcast(copies), "hash", "left").select("text", "label", (1.0 / F.coalesce("n", F.lit(1))).alias("weight"))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, toxic, clean, toxic_met, clean_met): weighted occurrences by class, and the contexts they stand in.
+
+    A context is the word ``APART`` places before. Different ones are counted linearly: m set bits of 256 stand for
+    -256 ln(1 - m / 256).
+    """
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[int]] = {}
+        held: tuple[dict, dict] = ({}, {})
+        places: dict[str, int] = {}
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(w, *r) for w, r in held.items()], columns=["word", "toxic", "clean", "left1", "left0"])
-            held.clear()
-            return out
+            rows_ = [(w, k, n, *np.frombuffer(bits.to_bytes(32, "little"), np.int64).tolist())
+                     for k in (0, 1) for w, (n, bits) in held[k].items()]
+            held[0].clear(), held[1].clear(), places.clear()
+            columns = list(zip(*rows_, strict=True)) or [()] * 7
+            return pd.DataFrame({name: pd.Series(c, dtype=kind) for name, c, kind in zip(
+                ["word", "label", "n", *BITS], columns, [object, "int32", float, *["int64"] * 4], strict=True)})
 
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["label"], strict=True):
-                previous, k = 0, 0 if toxic else 1
-                for word in WORD.findall(text.lower()):
-                    row = held.get(word)
+            for text, label, weight in zip(batch["text"], batch["label"], batch["weight"], strict=True):
+                words = WORD.findall(text.lower())
+                bits = []
+                for word in words:
+                    place = places.get(word)
+                    if place is None:
+                        place = places[word] = 1 << (zlib.crc32(word.encode()) & 255)
+                    bits.append(place)
+                met = [*bits[APART:2 * APART], *bits[:len(bits) - APART]] if len(bits) > APART else bits
+                if len(met) < len(bits):
+                    met = [*met, *bits[len(met):]]
+                into = held[label]
+                for word, place in zip(words, met):
+                    row = into.get(word)
                     if row is None:
-                        row = held[word] = [0, 0, 0, 0]
-                    row[k] += 1
-                    row[k + 2] |= 1 << previous
-                    previous = zlib.crc32(word.encode()) % 63
-                if len(held) >= HELD:
+                        into[word] = [weight, place]
+                    else:
+                        row[0] += weight
+                        row[1] |= place
+                if len(held[0]) + len(held[1]) >= HELD:
                     yield flush()
         yield flush()
 
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).where(
-        "text IS NOT NULL AND label IS NOT NULL")
-    sums = rows.mapInPandas(gather, "word string, toxic long, clean long, left1 long, left0 long").groupBy("word").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("left1").alias("left1"), F.bit_or("left0").alias("left0"))
+    parts = rows.mapInPandas(gather, "word string, label int, n double, " + ", ".join(f"{b} long" for b in BITS))
+    sums = parts.groupBy("word", "label").agg(F.sum("n").alias("n"), *[F.bit_or(b).alias(b) for b in BITS])
+    seen = F.least(sum(F.bit_count(b) for b in BITS), F.lit(255))
+    met = F.least("n", -256 * F.log(1 - seen / 256))
 
-    def bounded(count: str, seen: str) -> Column:
-        bits = F.bit_count(seen)  # linear counting: m set places of 63 stand for -63 ln(1 - m / 63) neighbours
-        return F.when(bits > 40, F.col(count)).otherwise(F.least(F.col(count), -63 * F.log(1 - bits / 63))).cast("double")
+    def of(label: int, value) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("label") == label, value)), F.lit(0.0))
 
-    return sums.select("word", bounded("toxic", "left1").alias("toxic"), bounded("clean", "left0").alias("clean"))
+    return sums.groupBy("word").agg(of(1, F.col("n")).alias("toxic"), of(0, F.col("n")).alias("clean"), of(1, met).alias("toxic_met"), of(0, met).alias("clean_met"))
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", z: float = 3.0, least: float = 3.0, prior: float = 500.0,
-          density: float = 0.1, max_words: int = 20_000) -> Model:
-    """Model from labelled documents. Listed words have log-odds of ``least`` or more; ``density`` is the share of listed words expected in a toxic passage."""
-    counts = checkpointed(word_counts(docs, text_col, label_col))
+def word_scores(counts: DataFrame, z: float, prior: float) -> tuple[dict[str, float], float, float]:
+    """Scores of the words told apart, the score of all others, and lambda."""
     toxic, clean = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0.0)), F.coalesce(F.sum("clean"), F.lit(0.0))).head()
     total = max(toxic + clean, 1.0)
-    both = 0.5 + prior * (F.col("toxic") + F.col("clean")) / total
-    a, b = F.col("toxic") + both, F.col("clean") + both
-    odds = F.log(a / (toxic + prior + 1 - F.least(a, F.lit(toxic + prior)))) - F.log(b / (clean + prior + 1 - F.least(b, F.lit(clean + prior))))
-    listed = counts.where("toxic > 0").select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"),
-                                              (b / (clean + prior)).alias("share"))
-    top = listed.where((F.col("z") >= z) & (F.col("odds") >= least)).orderBy(F.desc("z"), "word").limit(max_words).collect()
-    words = {r["word"]: r["odds"] for r in top}
-    inside = min(sum(r["share"] for r in top), 0.5)
-    other = math.log((1 - density) / (1 - inside)) if inside < density else -0.01
+    alpha = 0.5 + prior * (F.col("toxic") + F.col("clean")) / total
+
+    def odds(suffix: str) -> Column:
+        return F.log((F.col(f"toxic{suffix}") + alpha) / (toxic + prior + 1)) - F.log((F.col(f"clean{suffix}") + alpha) / (clean + prior + 1))
+
+    # The more careful of what occurrences and contexts tell; nothing if they disagree.
+    by_count, by_context = odds(""), odds("_met")
+    careful = F.when(by_count * by_context > 0, F.signum(by_count) * F.least(F.abs(by_count), F.abs(by_context))).otherwise(F.lit(0.0))
+    error = F.sqrt(1 / (F.col("toxic_met") + alpha) + 1 / (F.col("clean_met") + alpha))
+    known = counts.select("word", "toxic", "clean", careful.alias("odds"), error.alias("error"))
+    apart = known.where(F.abs("odds") > z * F.col("error")).collect()
+    rest = [max(n - sum(r[k] for r in apart), 0.0) + 0.5 for k, n in (("toxic", toxic), ("clean", clean))]
+    other = math.log(rest[0] / (toxic + 1)) - math.log(rest[1] / (clean + 1))
+    words = {}
+    for r in apart:
+        d = r["odds"] - other
+        words[r["word"]] = other + math.copysign(max(abs(d) - z * r["error"], 0.0), d)
+    shares = [(words[r["word"]], r["clean"] / max(clean, 1.0)) for r in apart]
+    left = max(1.0 - sum(p for _, p in shares), 1e-6)
+    drift = sum(s * p for s, p in shares) + left * other
+    if drift > -0.01:  # shrinking must not make clean text gain
+        other -= (drift + 0.01) / left
+    scores, weights = np.array([s for s, _ in shares] + [other]), np.array([p for _, p in shares] + [left])
     low, high = 1e-3, 50.0
     for _ in range(80):  # the positive root of sum p exp(rate s) = 1
         rate = (low + high) / 2
-        made = sum(r["share"] * math.exp(min(rate * r["odds"], 700)) for r in top) + (1 - inside) * math.exp(rate * other)
+        made = float((weights * np.exp(np.minimum(rate * scores, 600))).sum())
         low, high = (low, rate) if made > 1 else (rate, high)
-    rate = low
-    rough = Model(words, other, rate, 1.0, 0.0)
-    rows = scan(docs.select(text_col, label_col), rough, text_col)
-    label = F.col(f"`{label_col}`").cast("int")
-    seen = rows.where(F.col(text_col).isNotNull() & label.isNotNull()).agg(
-        F.count("*"), F.sum(F.when(label != 0, 1).otherwise(0)),
-        F.sum(F.when((label == 0) & (F.col("n_words") > 0), 1).otherwise(0)),
-        F.sum(F.when(label == 0, F.col("n_words") * F.exp(-rate * F.col("best"))))).head()
-    n, positive, clean_docs, weight = (x or 0 for x in seen)
-    return Model(words, other, rate, clean_docs / weight if weight else 1.0, positive / n if n else 0.0)
+    return words, other, low
+
 
+def rising(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[list[float], list[float]]:
+    """Knots of a rising line through the shares of positives at x: neighbours that fall are pooled.
 
-def segments(at: list[int], gains: list[float], other: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first word, last word, score); only words ``at`` gain.
+    Each pool counts half a case of either class more.
+    """
+    pools: list[list[float]] = []  # sum of x, positives, all
+    for at, p, n in zip(x.tolist(), positive.tolist(), (positive + negative).tolist(), strict=True):
+        pools.append([at * n, p, n])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    values = [(p + 0.5) / (n + 1) for _, p, n in pools]
+    return [at / n for at, _, n in pools], np.maximum.accumulate(values).tolist()
+
+
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", z: float = 2.0, prior: float = 500.0) -> Model:
+    """Model from labelled documents."""
+    rows = training_rows(docs, text_col, label_col)
+    words, other, rate = word_scores(checkpointed(word_counts(rows)), z, prior)
+    seen = scan(rows, Model(words, other, rate, 1.0)).select("label", "weight", "n_words", "best")
+    clean, weight, positive, n = seen.agg(
+        F.sum(F.when((F.col("label") == 0) & (F.col("n_words") > 0), F.col("weight"))),
+        F.sum(F.when(F.col("label") == 0, F.col("weight") * F.col("n_words") * F.exp(-rate * F.col("best")))),
+        F.sum("label"), F.count("*")).head()
+    size = clean / weight if weight else 1.0
+    if not n or positive in (0, n):
+        return Model(words, other, rate, size, ((0.0,), (positive / n,)) if n else ((0.0,), (0.0,)))
+    # At most 140 places by two classes, as p is 1e-300 at least.
+    marks = scan(rows, Model(words, other, rate, size)).groupBy(F.round(F.log1p("evidence") * 20).alias("x"), "label").agg(
+        F.sum("weight").alias("n")).collect()
+    x = sorted({r["x"] for r in marks})
+    by = {(r["x"], r["label"]): r["n"] for r in marks}
+    at, values = rising(np.array(x) / 20, np.array([by.get((v, 1), 0.0) for v in x]), np.array([by.get((v, 0), 0.0) for v in x]))
+    return Model(words, other, rate, size, (tuple(at), tuple(values)))
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last, score) of a list of scores.
 
     A stack holds candidates with the totals before and after them; each remembers the nearest earlier
     one with a lower total before it, so every candidate is passed once.
     """
+    totals = np.cumsum(scores)
+    at = np.flatnonzero(scores > 0)
     stack: list[tuple[int, int, float, float, int]] = []  # first, last, before, after, lower
-    gained = 0.0
-    for k, (i, gain) in enumerate(zip(at, gains, strict=True)):
-        before = other * (i - k) + gained
-        gained += gain
-        first, after = i, before + gain
+    for i, before, after in zip(at.tolist(), (totals[at] - scores[at]).tolist(), totals[at].tolist(), strict=True):
+        first = i
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= before:
@@ -153,23 +234,20 @@ def tail(score: float, n: int, model: Model) -> float:
 def combined(scores: list[float], n: int, model: Model) -> float:
     """P-value of the r best segments together, for the r that tells most; each more halves the odds."""
     best, total = 1.0, 0.0
-    for r, score in enumerate(sorted(scores, reverse=True)[:10], 1):
+    for r, score in enumerate(sorted(scores, reverse=True), 1):
         if r == 1:
             best = tail(score, n, model)
-        total += model.rate * score - math.log(max(model.size * n, 1e-12))
+        more = model.rate * score - math.log(max(model.size * n, 1e-12))
+        if r > 1 and more <= 0:
+            break  # this one and all after it only take away
+        total += more
         if r > 1 and total > r:
             best = min(best, math.exp(-total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r) + r * math.log(2)))
     return max(best, 1e-300)
 
 
-def posterior(p: float, prior: float) -> float:
-    """Score from a p-value: the Bayes factor is at least -e p ln p."""
-    bound = -math.e * p * math.log(p) if p < 1 / math.e else 1.0
-    return prior / (prior + (1 - prior) * bound) if prior > 0 else 0.0
-
-
 def scan(docs: DataFrame, model: Model, text_col: str = "text", level: float = 0.05, threshold: float = 0.3) -> DataFrame:
-    """The documents with ``n_words``, ``best`` segment score, ``score``, ``predicted`` and ``passages``.
+    """The documents with ``n_words``, ``best`` segment score, ``evidence`` (-ln p), ``score``, ``predicted`` and ``passages``.
 
     A passage is a segment whose own p-value is ``level`` or less; start and end are code points.
     """
@@ -178,14 +256,13 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", level: float = 0
     def of(text: str | None) -> tuple:
         known = sent.value
         words = WORD.findall(text.lower()) if text else []
-        n = len(words)
-        if known.words.keys().isdisjoint(words):
-            score = posterior(1.0, known.prior)
-            return n, 0.0, score, int(score >= threshold), []
-        at = [i for i, w in enumerate(words) if w in known.words]
-        found = segments(at, [known.words[words[i]] for i in at], known.other)
+        n, other, get = len(words), known.other, known.words.get
+        found = segments(np.array([get(w, other) for w in words])) if words else []
+        if not found:
+            score = known.score(1.0)
+            return n, 0.0, 0.0, score, int(score >= threshold), []
         p = combined([s for _, _, s in found], n, known)
-        score = posterior(p, known.prior)
+        score = known.score(p)
         strong = [(a, b, s, t) for a, b, s in found if (t := tail(s, n, known)) <= level]
         marks = []
         if strong:
@@ -194,17 +271,19 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", level: float = 0
             if len(places) != n:
                 places = [m.span() for m in WORD.finditer(text.lower())]
             marks = [{"start": places[a][0], "end": places[b][1], "score": s, "p_value": t} for a, b, s, t in strong]
-        return n, max(s for _, _, s in found), score, int(score >= threshold), marks
+        return n, max(s for _, _, s in found), -math.log(p), score, int(score >= threshold), marks
 
-    new = ["n_words", "best", "score", "predicted", "passages"]
+    new = ["n_words", "best", "evidence", "score", "predicted", "passages"]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([of(t) for t in batch], columns=new)
 
-    said = F.pandas_udf(run, f"n_words long, best double, score double, predicted int, passages {PASSAGES}")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*new, "_said")]
-    return docs.select(*kept, said(F.col(f"`{text_col}`")).alias("_said")).select(*kept, "_said.*")
+    said = F.pandas_udf(run, f"n_words long, best double, evidence double, score double, predicted int, passages {PASSAGES}")
+    kept = [c for c in docs.columns if c.lower() not in new]
+    # All columns travel in one struct, so that no name can clash.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), said(F.col(f"`{text_col}`")).alias("said"))
+    return held.select(*[F.col("row").getField(c).alias(c) for c in kept], "said.*")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

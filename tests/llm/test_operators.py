@@ -289,7 +289,30 @@ def test_segments_equal_recursive_definition():
         s = [-1.0] * n
         for i, g in zip(at, gains):
             s[i] = g
-        assert [(a, b) for a, b, _ in toxicity.segments(at, gains, -1.0)] == slow(s, 0, n)
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(s))] == slow(s, 0, n)
+
+
+def test_toxicity_of_many_words_that_lean_to_it(spark):
+    """Words six times commoner in toxic texts, none of them decisive; copies of one text teach nothing."""
+    random = np.random.default_rng(0)
+    rows = []
+    for i in range(1600):
+        hot = random.random(60) < (0.12 if i % 2 else 0.02)
+        words = np.where(hot, random.integers(0, 40, 60), random.integers(40, 2000, 60))
+        rows.append((i, " ".join("w" + "".join(chr(97 + int(c)) for c in str(x)) for x in words), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    copies = spark.createDataFrame([(9000 + i, "unlikely words of one text copied often", 1) for i in range(200)], docs.schema)
+    model = toxicity.train(docs.where("doc_id % 4 < 2").unionByName(copies))
+    assert max(model.words.get(w, model.other) for w in "unlikely copied often".split()) < 1.5
+    got = toxicity.scan(docs.where("doc_id % 4 >= 2"), model).select("toxic", "score").toPandas()
+    toxic, clean = (got.loc[got["toxic"] == k, "score"].to_numpy() for k in (1, 0))
+    assert (toxic[:, None] > clean[None, :]).mean() > 0.95
+    assert (clean >= 0.3).mean() < 0.2 and (toxic >= 0.3).mean() > 0.9
+
+
+def test_rising_line_pools_neighbours_that_fall():
+    at, share = toxicity.rising(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0.0, 4.0, 2.0, 9.0]), np.array([9.0, 0.0, 2.0, 0.0]))
+    assert at == [0.0, 1.5, 3.0] and share == pytest.approx([0.05, 6.5 / 9, 0.95])
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -299,27 +322,58 @@ def test_toxicity_on_held_out_labels(spark):
     assert held.where("toxic = 0 and predicted = 1").count() == 0 and held.where("toxic = 1 and predicted = 1").count() >= 6
     edge = toxicity.scan(documents(spark, [None, "", "idiot scum " * 4]), model).orderBy("doc_id").collect()
     assert edge[0]["score"] == edge[1]["score"] == model.prior and edge[2]["predicted"] == 1 and edge[2]["passages"][0]["start"] == 0
+    clash = toxicity.scan(documents(spark, ["x"]).withColumns({"Score": F.lit(7), "said": F.lit(8)}), model).collect()[0]
+    assert clash["said"] == 8 and 0 <= clash["score"] < 0.3
     none = toxicity.train(toxicity.labelled(docs.limit(0), labels))
     assert {r["score"] for r in toxicity.scan(documents(spark, ["x"]), none).collect()} == {0.0}
 
 
 # Mixing
 
-def test_mixture_stays_within_one_block(spark):
-    docs = documents(spark, ["x"] * 900, ["a"] * 500 + ["b"] * 250 + ["c"] * 150)
+def plain_schedule(shares, slots):
+    """Earliest deadline first, slot by slot."""
+    total, done, out = sum(shares), [0] * len(shares), []
+    for t in range(slots):
+        free = [(-(-(d + 1) * total // s), i) for i, (s, d) in enumerate(zip(shares, done)) if d * total // s <= t]
+        i = min(free)[1]
+        out.append((i, done[i]))
+        done[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("length", [13, 1000])
+def test_schedule_equals_one_run_over_all_slots(spark, length):
+    random = np.random.default_rng(4)
+    shares = random.integers(1, 1000, 20)
+    shares[3] = 12_000  # more than half of all
+    names = [f"s{i:02d}" for i in range(20)]
+    sizes = [int(s) // 20 + 1 for s in shares]
+    out = mixing.schedule(spark.createDataFrame(list(zip(names, shares.tolist())), "source string, share long"),
+                          spark.createDataFrame(list(zip(names, sizes)), "source string, blocks long"), length).collect()
+    total = int(shares.sum())
+    slots = max(-(-n * total // int(s)) for n, s in zip(sizes, shares))
+    want = [(i, nr, t) for t, (i, nr) in enumerate(plain_schedule(shares.tolist(), slots)) if nr < sizes[i]]
+    assert sorted((int(r["source"][1:]), r["nr"], r["slot"]) for r in out) == sorted(want)
+    # Each block lies between its release and its deadline.
+    assert all(nr * total // int(shares[i]) <= t < -(-(nr + 1) * total // int(shares[i])) for i, nr, t in want)
+
+
+def test_mixture_stays_within_one_block_of_the_weights(spark):
+    docs = documents(spark, ["x"] * 900, ["a"] * 500 + ["b"] * 250 + ["c"] * 150).withColumn("SLOT", F.lit(1)).withColumn("hash", F.lit("kept"))
     weights = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("c", 2.0), ("none", 0.0)], "source string, weight double")
-    out = mixing.mix(docs, weights, block=5, period=100, rows_per_range=100).collect()
-    assert len({r["mix_position"] for r in out}) == 900
+    out = mixing.mix(docs, weights, block=5, length=17, rows_per_range=100).collect()
+    assert len({r["mix_position"] for r in out}) == 900 and {r["hash"] for r in out} == {"kept"}
     blocks = sorted({(r["slot"], r["source"]) for r in out})
     last = min(max(s for s, x in blocks if x == name) for name in "abc")
     seen = dict.fromkeys("abc", 0)
-    share = {"a": 0.49 + 0.01, "b": 0.3, "c": 0.2}
+    share = {"a": 0.5, "b": 0.3, "c": 0.2}
     for n, (slot, name) in enumerate((s, x) for s, x in blocks if s <= last):
         assert slot == n
         seen[name] += 1
-        assert all(abs(seen[x] - share[x] * (n + 1)) < 1.05 for x in seen)
+        assert all(abs(seen[x] - share[x] * (n + 1)) < 1 for x in seen)
     odd = mixing.mix(spark.createDataFrame([(1, "t", None), (None, None, "zz")], "doc_id long, text string, source string"), weights).collect()
     assert [r["slot"] for r in odd] == [None, None]
+    assert mixing.mix(docs.limit(0), weights).collect() == []
 
 
 # SimHash and components
