@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by cosine: a graph built by NN-descent, searched greedily.
 
-Equal vectors are one node; of each, the smallest ids that a result can need are kept, so a vector
-that a third of all rows share is one node with few names, and no tie is lost. The graph starts from a few random orders in
-which near vectors stand together. Each round then joins every node's neighbours, both ways, with
-their vectors, compares neighbours of neighbours in a local set, and keeps each node's best. A node
-that very many others point to takes part in a bounded number of local sets, chosen by a hash.
+Vectors of one direction (equal once scaled to length one, in single precision) are one node; of each, the
+smallest ids that a result can need are kept, so a vector that a third of all rows share is one node with few names.
+The graph starts from a few random orders in which near vectors stand together. Each round then joins every node's
+neighbours, both ways, with their vectors, compares neighbours of neighbours in a local set, and keeps each node's
+best. A node that very many others point to takes part in a bounded number of local sets, chosen by a hash.
+Distances are squared differences of the unit vectors, summed in double precision, which tell near copies apart.
 
-A query walks the graph: the best unvisited nodes of its list hand over their neighbours until
-the list no longer changes. The list's best are scored again in double precision on the vectors as given.
+A query is one row with a list of bounded length, and starts at its own node. A round opens the best unopened nodes of
+every list: only these are joined with their links and, so reached, with vectors. The search ends when the whole list is
+open. All of the list is scored again in double precision on the vectors as given.
 
 Everything that grows with the table stays in joins and windows; the driver sees counts.
 
 Defined cases. Vectors that are null, empty, zero, or hold a null or non-finite component take
-no part, nor do vectors of another length than the most frequent one. Rows of one id and vector are one.
+no part, nor do vectors of another length than the most frequent one. Rows of one id and vector are one; rows of one id
+and several vectors are told apart by their vectors. Components near the limits of doubles are scaled by a power
+of two first, so nothing overflows. Vectors of one direction but several lengths count as tied: the smallest ids stay.
 With fewer candidates than asked for, all are returned. Extra columns are ignored.
 """
 
@@ -31,47 +35,49 @@ BLOCK = 64
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part; vec in double precision."""
+    """(id, vec) of the rows that take part; vec in double precision, times a power of two."""
     vec = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
     fine = vectors.select(F.col(f"`{id_col}`").alias("id"), vec.alias("vec")).where(
         F.col("id").isNotNull() & F.coalesce(F.size("vec") > 0, F.lit(False))
         & F.forall("vec", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
         & F.exists("vec", lambda x: x != 0))
     sizes = fine.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return fine.where(F.size("vec") == (sizes[0]["n"] if sizes else 0))
+    most = F.array_max(F.transform("vec", F.abs))
+    scale = F.pow(F.lit(2.0), F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(most)).cast("double"))))
+    scaled = fine.where(F.size("vec") == (sizes[0]["n"] if sizes else 0)).withColumn("scale", scale)
+    return scaled.select("id", F.transform("vec", lambda x: x * F.col("scale")).alias("vec"))
 
 
-def classes(rows: DataFrame, names: int) -> DataFrame:
-    """(node, id, vec): the ``names`` smallest ids of each vector; node is the smallest of all."""
-    by_vec = Window.partitionBy("vec").orderBy("id")
-    ranked = rows.select("id", "vec", F.dense_rank().over(by_vec).alias("nr")).where(F.col("nr") <= names).distinct()
-    return ranked.select(F.min("id").over(Window.partitionBy("vec")).alias("node"), "id", "vec")
+def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, vec, code) from (id, vec): the unit vector in single precision."""
+    for batch in batches:
+        if batch.num_rows:
+            x = batch["vec"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) + np.float32(0)  # no negative zero
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["vec"], pa.array([r.tobytes() for r in unit], pa.binary())], names=["id", "vec", "code"])
 
 
-def wide(column: pa.Array) -> np.ndarray:
-    """A list column as a matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def classes(rows: DataFrame, names: int) -> DataFrame:
+    """(node, code, names): a node for each direction, with its ``names`` smallest ids and their vectors."""
+    ranked = rows.withColumn("nr", F.dense_rank().over(Window.partitionBy("code").orderBy("id"))).where(F.col("nr") <= names)
+    named = ranked.groupBy("code").agg(F.collect_set(F.struct("id", "vec")).alias("names"))
+    return named.select(F.monotonically_increasing_id().alias("node"), "code", "names")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Vectors from their codes: a byte per component, then the scale."""
+    """Unit vectors from their codes, in single precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2], np.int8)[ends[0]:ends[-1]].reshape(len(column), -1)
-    return raw[:, :-4].astype(np.float32) * np.ascontiguousarray(raw[:, -4:]).view(np.float32)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.float32).reshape(len(column), -1)
 
 
-def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, code) from (node, vec): the unit vector in bytes, for everything but final scores."""
-    for batch in batches:
-        if batch.num_rows:
-            x = wide(batch["vec"])
-            x = x / np.abs(x).max(1, keepdims=True)  # first, so that no square overflows
-            scale = (1 / (127 * np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
-            rows = np.concatenate([np.rint(127 * x).astype(np.int8), scale.view(np.int8)], 1)
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "code"])
+def apart(x: np.ndarray) -> np.ndarray:
+    """Squared distances between the rows of each matrix of a stack."""
+    x = x.astype(float)
+    size = np.einsum("...ij,...ij->...i", x, x)
+    return np.maximum(size[..., :, None] + size[..., None, :] - 2 * (x @ np.swapaxes(x, -1, -2)), 0)
 
 
 def table(**columns: np.ndarray) -> pa.RecordBatch:
@@ -95,41 +101,44 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield held.combine_chunks()
 
 
-EDGES = "src long, dst long, sim float"
+EDGES = "src long, dst long, dist float"
 
 
 def first_graph(nodes: DataFrame, k: int, orders: int, seed: int) -> DataFrame:
-    """(src, dst, sim): neighbours within blocks of a few random orders.
+    """(src, dst, dist): neighbours within blocks of a few random orders.
 
     An order sorts by the signs of random projections, then by one more; a range exchange deals it
     out, so no group grows with the data.
     """
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch["code"])
-            if not len(x):
+            if not batch.num_rows:
                 continue
+            x = matrix(batch["code"])
             random = np.random.default_rng(seed)
             for tree in range(orders):
-                planes = random.standard_normal((x.shape[1], 21)).astype(np.float32)
-                made = x @ planes
-                key = (made[:, :20] > 0) @ (2.0 ** np.arange(19, -1, -1)) + 1 / (1 + np.exp(-made[:, 20].astype(float)))
+                planes = random.standard_normal((x.shape[1], 21))
+                made = x.astype(float) @ planes
+                key = (made[:, :20] > 0) @ (2.0 ** np.arange(19, -1, -1)) + 1 / (1 + np.exp(-made[:, 20]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(x), tree, np.int32)), pa.array(key), batch["node"], batch["code"]], names=["tree", "key", "node", "code"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_groups(batches, "tree"):
-            ids, x = part["node"].to_numpy(), matrix(part["code"])
+        for batch in batches:
+            ids, trees = batch["node"].to_numpy(), batch["tree"].to_numpy()
             for a in range(0, len(ids), BLOCK):
                 a = max(0, min(a, len(ids) - BLOCK))  # the last block is as long as the others
                 own = ids[a:a + BLOCK]
-                sims = x[a:a + BLOCK] @ x[a:a + BLOCK].T
-                np.fill_diagonal(sims, -2)
+                dist = apart(matrix(batch["code"].slice(a, BLOCK)))
+                dist[trees[a:a + BLOCK, None] != trees[None, a:a + BLOCK]] = np.inf
+                np.fill_diagonal(dist, np.inf)
                 n = min(k, len(own) - 1)
                 if n < 1:
                     continue
-                best = np.argpartition(-sims, n - 1, 1)[:, :n]
-                yield table(src=np.repeat(own, n), dst=own[best].ravel(), sim=np.take_along_axis(sims, best, 1).ravel())
+                best = np.argpartition(dist, n - 1, 1)[:, :n]
+                near = np.take_along_axis(dist, best, 1)
+                kept = near < np.inf
+                yield table(src=np.repeat(own, kept.sum(1)), dst=own[best][kept], dist=near[kept].astype(np.float32))
 
     placed = nodes.select("node", "code").mapInArrow(place, "tree int, key double, node long, code binary")
     # Materialised, as a range exchange reads its input twice.
@@ -139,128 +148,137 @@ def first_graph(nodes: DataFrame, k: int, orders: int, seed: int) -> DataFrame:
 
 def best_of(edges: DataFrame, k: int) -> DataFrame:
     """The k best edges of each node, each once."""
-    by_src = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    once = edges.repartition("src").groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    by_src = Window.partitionBy("src").orderBy("dist", "dst")
+    once = edges.repartition("src").groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("new").alias("new"))
     return once.withColumn("nr", F.row_number().over(by_src)).where(F.col("nr") <= k).drop("nr")
 
 
 def both_ways(graph: DataFrame, most: int, turn: int) -> DataFrame:
-    """(node, other, new): edges and reversed edges, at most ``most`` of the latter per node, by a hash."""
+    """(node, others): ends of edges and of reversed edges, at most ``most`` of the latter per node, by a hash."""
     back = Window.partitionBy("node").orderBy(F.xxhash64("other", F.lit(turn)), "other")
     turned = graph.select(F.col("dst").alias("node"), F.col("src").alias("other"), "new")
     some = turned.withColumn("nr", F.row_number().over(back)).where(F.col("nr") <= most).drop("nr")
     both = graph.select(F.col("src").alias("node"), F.col("dst").alias("other"), "new").unionByName(some)
-    return both.groupBy("node", "other").agg(F.max("new").alias("new"))
+    once = both.repartition("node").groupBy("node", "other").agg(F.max("new").alias("new"))
+    return once.groupBy("node").agg(F.collect_list(F.struct("other", "new")).alias("others"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int, sample: int, turn: int) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
     """One round: what neighbours of neighbours add to the graph. Pairs of two old neighbours have met before."""
-    close = graph.withColumn("nr", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))).where(F.col("nr") <= sample)
-    floor = graph.groupBy("src").agg(F.min("sim").alias("floor"), F.count("*").alias("n")).select(
-        F.col("src").alias("other"), F.when(F.col("n") < k, F.lit(-2.0).cast("float")).otherwise(F.col("floor")).alias("floor"))
-    vectors = nodes.select(F.col("node").alias("other"), "code").join(floor, "other")
-    sets = both_ways(close.drop("nr"), sample, turn).join(vectors, "other")
+    ceiling = graph.groupBy("src").agg(F.max("dist").alias("ceiling"), F.count("*").alias("n")).select(
+        F.col("src").alias("other"), F.when(F.col("n") < k, F.lit(9.0).cast("float")).otherwise(F.col("ceiling")).alias("ceiling"))
+    vectors = nodes.select(F.col("node").alias("other"), "code").join(ceiling, "other")
+    lively = both_ways(graph, k, turn).where(F.exists("others", lambda o: o["new"]))
+    sets = lively.select("node", F.explode("others").alias("o")).select("node", "o.*").join(vectors, "other")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, "node"):
-            sets_, ids, floor_ = part["node"].to_numpy(), part["other"].to_numpy(), part["floor"].to_numpy()
+            sets_, ids, most = part["node"].to_numpy(), part["other"].to_numpy(), part["ceiling"].to_numpy()
             x, fresh = matrix(part["code"]), part["new"].to_numpy()
             edge = np.concatenate([[0], np.flatnonzero(np.diff(sets_)) + 1, [len(sets_)]])
-            for a in range(0, len(edge) - 1, 512):
-                some = edge[a:a + 513]
+            for a in range(0, len(edge) - 1, 256):
+                some = edge[a:a + 257]
                 sizes = np.diff(some)
                 at = np.minimum(some[:-1, None] + np.arange(sizes.max()), some[1:, None] - 1)
                 inside = np.arange(sizes.max()) < sizes[:, None]
-                local = x[at]
-                sims = local @ local.transpose(0, 2, 1)
-                sims[~(inside[:, :, None] & inside[:, None, :])] = -3
-                sims[:, np.arange(sizes.max()), np.arange(sizes.max())] = -3
+                dist = apart(x[at]).astype(np.float32)
                 young = fresh[at]
-                better = (sims > np.maximum(floor_[at], -2.5)[:, :, None]) & (young[:, :, None] | young[:, None, :])
+                better = (dist < most[at][:, :, None]) & (young[:, :, None] | young[:, None, :])
+                better &= inside[:, :, None] & inside[:, None, :]
+                better[:, np.arange(sizes.max()), np.arange(sizes.max())] = False
                 g, i, j = np.nonzero(better)
-                yield table(src=ids[at[g, i]], dst=ids[at[g, j]], sim=sims[g, i, j])
+                yield table(src=ids[at[g, i]], dst=ids[at[g, j]], dist=dist[g, i, j])
 
-    found = sets.select("node", "other", "new", "floor", "code").repartition("node").sortWithinPartitions("node").mapInArrow(compare, EDGES)
-    old = graph.select("src", "dst", "sim", F.lit(False).alias("new"))
+    found = sets.select("node", "other", "new", "ceiling", "code").repartition("node").sortWithinPartitions("node").mapInArrow(compare, EDGES)
+    old = graph.select("src", "dst", "dist", F.lit(False).alias("new"))
     return best_of(old.unionByName(found.withColumn("new", F.lit(True))), k)
 
 
 class Index:
-    """Graph and vectors: ``nodes`` (node, code), ``names`` (node, id, vec), ``graph`` (src, dst, sim)."""
+    """``rows`` (id, vec, code), ``nodes`` (node, code, names), ``links`` (node, others); results of up to ``most`` rows."""
 
-    def __init__(self, nodes: DataFrame, names: DataFrame, graph: DataFrame, links: DataFrame, rows: DataFrame):
-        self.nodes, self.names, self.graph, self.links, self.rows = nodes, names, graph, links, rows
+    def __init__(self, rows: DataFrame, nodes: DataFrame, links: DataFrame, most: int):
+        self.rows, self.nodes, self.links, self.most = rows, nodes, links, most
 
 
-def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 24, sample: int = 24,
-          orders: int = 4, most_rounds: int = 8, still: float = 0.02, names: int = 6, seed: int = 11) -> Index:
-    """Index all rows; rounds end when less than a share ``still`` of all edges changes."""
-    rows = checkpointed(valid(vectors, id_col, vec_col))
-    known = checkpointed(classes(rows, names))
-    nodes = checkpointed(known.where(F.col("id") == F.col("node")).select("node", "vec").mapInArrow(codes, "node long, code binary"))
+def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 24, orders: int = 4,
+          most_rounds: int = 10, still: float = 0.02, most: int = 5, seed: int = 11) -> Index:
+    """Index all rows for results of up to ``most`` rows; rounds end when less than a share ``still`` of all edges changes."""
+    rows = checkpointed(valid(vectors, id_col, vec_col).mapInArrow(codes, "id long, vec array<double>, code binary"))
+    nodes = checkpointed(classes(rows, most + 1))
     graph = checkpointed(best_of(first_graph(nodes, k, orders, seed).withColumn("new", F.lit(True)), k))
-    edges = graph.count()
     for turn in range(most_rounds):
-        new = checkpointed(descend(graph, nodes, k, sample, turn))
-        changed = new.where("new").count()
-        graph = new
-        if changed <= still * max(edges, new.count()):
+        graph = checkpointed(descend(graph, nodes, k, turn))
+        edges, changed = graph.agg(F.count("*"), F.count_if("new")).first()
+        if changed <= still * edges:
             break
-    links = checkpointed(both_ways(graph, k, -1).drop("new"))
-    return Index(nodes, known, graph, links, rows)
+    links = checkpointed(both_ways(graph, k, -1).select("node", F.col("others.other").alias("others")))
+    return Index(rows, nodes, links, most)
 
 
-def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sims = np.einsum("ij,ij->i", matrix(batch["code"]), matrix(batch["wanted"]))
-            yield pa.RecordBatch.from_arrays([batch["query"], batch["node"], pa.array(sims)], names=["query", "node", "sim"])
+STATE = "query long, code binary, ids array<long>, dists array<float>, opened array<boolean>"
 
 
-def search(index: Index, queries: DataFrame, start: DataFrame, k: int = 5, beam: int = 200, most_rounds: int = 12) -> DataFrame:
-    """(query, node, sim): the best nodes of each query's list.
+def search(index: Index, queries: DataFrame, beam: int = 200, width: int = 64) -> DataFrame:
+    """``STATE`` rows: each query's list of its best ``beam`` nodes.
 
-    ``queries`` has (query, code), ``start`` (query, node). A round opens the unopened nodes among the
-    ``beam`` best of each list.
+    ``queries`` has (query, code), where a query is a node. A round opens the best ``width`` unopened nodes of each list.
     """
-    best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    wanted = queries.select("query", F.col("code").alias("wanted"))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(index.nodes, "node").join(wanted, "query")
-        return met.select("query", "node", "code", "wanted").mapInArrow(dots, "query long, node long, sim float")
-
-    lists = checkpointed(scored(start.select("query", "node").distinct()).withColumn("opened", F.lit(False)))
-    for _ in range(most_rounds):
-        front = lists.withColumn("nr", F.row_number().over(best)).where((F.col("nr") <= beam) & ~F.col("opened")).select("query", "node")
-        front = checkpointed(front)
-        if not front.limit(1).count():
-            break
-        reached = front.join(index.links, "node").select("query", F.col("other").alias("node")).distinct()
-        fresh = scored(reached.join(lists, ["query", "node"], "left_anti")).withColumn("opened", F.lit(False))
-        opened = lists.join(front.withColumn("now", F.lit(True)), ["query", "node"], "left").select(
-            "query", "node", "sim", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        lists = checkpointed(opened.unionByName(fresh))
-    return lists.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= 2 * k + 2).select("query", "node", "sim")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The list of each query, which comes first in its group, with the nodes just reached."""
+        for part in whole_groups(batches, "query"):
+            asked, nodes, x = part["query"].to_numpy(), part["node"].to_numpy(zero_copy_only=False), matrix(part["code"])
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(asked)) + 1, [len(asked)]])
+            first = part.take(pa.array(edge[:-1]))
+            made = []
+            for g, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                ids = np.array(first["ids"][g].as_py(), np.int64)
+                dists = np.array(first["dists"][g].as_py(), np.float32)
+                opened = np.array(first["opened"][g].as_py(), bool)
+                opened[np.flatnonzero(~opened)[:width]] = True
+                gap = x[a + 1:b].astype(float) - x[a]
+                ids = np.concatenate([ids, nodes[a + 1:b].astype(np.int64)])
+                dists = np.concatenate([dists, np.einsum("ij,ij->i", gap, gap).astype(np.float32)])
+                opened = np.concatenate([opened, np.zeros(b - a - 1, bool)])
+                best = np.lexsort((ids, dists))[:beam]
+                made.append((ids[best], dists[best], opened[best]))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(m[0]) for m in made])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([m[i] for m in made]))) for i in range(3)]
+            plain = [first[c].combine_chunks() for c in ("query", "code")]
+            yield pa.RecordBatch.from_arrays([*plain, *lists], names=["query", "code", "ids", "dists", "opened"])
+
+    state = checkpointed(queries.select(
+        "query", "code", F.array("query").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("dists"), F.array(F.lit(False)).alias("opened")))
+    closed = F.filter(F.arrays_zip("ids", "opened"), lambda z: ~z["opened"])
+    while state.where(F.exists("opened", lambda o: ~o)).limit(1).count():
+        front = state.select("query", F.explode(F.slice(closed, 1, width)["ids"]).alias("node"))
+        near = front.join(index.links, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+        fresh = near.join(state.select("query", "ids"), "query").select("query", F.explode(F.array_except("others", "ids")).alias("node"))
+        reached = fresh.join(index.nodes.select("node", "code"), "node")
+        both = state.withColumn("node", F.lit(None).cast("long")).unionByName(reached, allowMissingColumns=True)
+        state = checkpointed(both.repartition("query").sortWithinPartitions("query", F.asc_nulls_first("node")).mapInArrow(merge, STATE))
+    return state
 
 
 def nearest_to_rows(index: Index, which: Column, k: int = 5, beam: int = 200) -> DataFrame:
     """(query, rank, id, score): the k nearest rows of the indexed rows that ``which`` (on ``id``) picks.
 
-    A query starts at its own node and never finds itself.
+    A query starts at its own node and never finds itself; rows of one direction walk once.
     """
-    asked = index.rows.where(which).distinct()
-    own = checkpointed(asked.join(index.names.where(F.col("id") == F.col("node")).select("node", "vec"), "vec").select(
-        F.col("id").alias("query"), "node", "vec"))
-    own_codes = own.join(index.nodes, "node").select("query", "code")
-    found = search(index, own_codes, own.select("query", "node"), k, beam)
+    if k > index.most:
+        raise ValueError(f"the index is built for {index.most} results")
+    asked = index.rows.where(which).distinct().join(index.nodes.select("node", "code"), "code")
+    own = checkpointed(asked.select(F.col("id").alias("query"), F.col("node").alias("start"), F.col("vec").alias("wanted"), "code"))
+    found = search(index, own.select(F.col("start").alias("query"), "code").distinct(), beam)
     dot = F.aggregate(F.zip_with("vec", "wanted", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
 
     def size(name: str) -> Column:
         return F.sqrt(F.aggregate(name, F.lit(0.0), lambda a, x: a + x * x))
 
-    pairs = found.join(index.names, "node").where(F.col("id") != F.col("query")).join(
-        own.select("query", F.col("vec").alias("wanted")), "query")
+    listed = own.drop("code").join(found.select(F.col("query").alias("start"), "ids"), "start").select("query", "wanted", F.explode("ids").alias("node"))
+    pairs = listed.join(index.nodes.select("node", "names"), "node").select("query", "wanted", F.explode("names").alias("name"))
+    pairs = pairs.select("query", "wanted", "name.*").where(F.col("id") != F.col("query"))
     scored = pairs.select("query", "id", (dot / (size("vec") * size("wanted"))).alias("score"))
+    once = scored.groupBy("query", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")

@@ -1,13 +1,14 @@
-"""The Jaccard join, hard negatives and whitening against plain versions."""
+"""The Jaccard join, hard negatives, whitening, nearest neighbours and deep pages against plain versions."""
 
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import pytest
 
-from ecospark.llm import jaccard, negatives, whitening
+from ecospark.llm import html, jaccard, negatives, neighbours, whitening
 from pyspark.sql import functions as F
 
 
@@ -227,3 +228,43 @@ def test_spectrum_slicing(values):
     assert np.allclose(e, want, rtol=1e-5, atol=1e-15)
     assert np.abs(u.T @ u - np.eye(len(e))).max() < 1e-10 and np.abs(v @ u - u * e).max() < 1e-13 * values[0] + 1e-14
     assert [whitening.above(v, x) for x in (-1.0, values[0] + 1)] == [len(values), 0]
+
+
+def test_neighbours_of_near_copies_scaled_copies_and_large_values(spark):
+    random = np.random.default_rng(1)
+    centres = random.normal(size=(2, 16))
+    x = np.concatenate([c + 0.02 * random.normal(size=(300, 16)) for c in centres] + [random.normal(size=(100, 16)) * 1e200])
+    scaled = [(1000 + i, (x[3] * (i + 1)).tolist()) for i in range(30)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + scaled
+    index = neighbours.build(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = neighbours.nearest_to_rows(index, F.col("id") % 50 == 0).collect()
+    ids = np.array([r[0] for r in rows])
+    unit = np.array([r[1] for r in rows])
+    unit = unit / np.abs(unit).max(1, keepdims=True)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    hits = asked = 0
+    for q in ids[ids % 50 == 0]:
+        sims = unit @ unit[ids == q][0]
+        sims[ids == q] = -2
+        best = np.sort(sims)[::-1][:5]
+        got = sorted((r for r in found if r["query"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+        for r in got:
+            assert abs(r["score"] - sims[ids == r["id"]][0]) < 1e-12
+        hits += sum(r["score"] >= best[-1] - 1e-12 for r in got)
+        asked += 5
+    assert hits >= 0.9 * asked
+
+
+def test_neighbours_of_few_and_no_rows(spark):
+    schema = "vec_id long, embedding array<double>, node string"
+    few = [(0, [1.0, 0.0], "a"), (50, [1.0, 0.0], None), (7, [0.0, 2.0], "b"), (50, [0.0, 1.0], "c")]
+    found = neighbours.nearest_to_rows(neighbours.build(spark.createDataFrame(few, schema)), F.col("id") == 0).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in found] == [(50, 1.0), (7, 0.0)]
+    assert neighbours.nearest_to_rows(neighbours.build(spark.createDataFrame([], schema)), F.col("id") == 0).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    start = time.time()
+    assert html.render(html.build("<p>a<button>" + "<div>" * 100_000 + "b")) == "a\nb"
+    assert time.time() - start < 5
