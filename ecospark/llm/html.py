@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -95,31 +96,28 @@ def tag_end(page: str, at: int) -> int:
 def build(page: str) -> Node:
     """The page's tree."""
     root = Node("#root")
-    stack, open_ = [root], {}
+    stack: list[Node] = [root]
+    open_: dict[str, list[int]] = {}  # places on the stack, by tag
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
+        open_.setdefault(node.tag, []).append(len(stack))
         stack.append(node)
-        open_[node.tag] = open_.get(node.tag, 0) + 1
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            open_[stack.pop().tag] -= 1
+            open_[stack.pop().tag].pop()
+
+    def top(tags: set[str] | frozenset[str]) -> int:
+        """Place of the nearest open element of ``tags``; 0 is the root."""
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=0)
 
     def close(tags: set[str], walls: frozenset[str] | set[str], nearest: bool = False) -> None:
         """Close the outermost open element of ``tags`` this side of a wall, or the nearest one."""
-        if not any(open_.get(t) for t in tags):
-            return
-        found = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                found = i
-                if nearest:
-                    break
-            elif stack[i].tag in walls:
-                break
-        if found:
-            pop_to(found)
+        last = top(tags)
+        wall = top(walls - tags) if last else 0
+        if last > wall:
+            pop_to(last if nearest else min(p[bisect_right(p, wall)] for t in tags if (p := open_.get(t)) and p[-1] > wall))
 
     def end_head() -> None:
         while stack[-1].tag == "head":
