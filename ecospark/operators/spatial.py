@@ -1,9 +1,10 @@
 """Spatial neighbours and autocorrelation on point tables ``id, x, y``.
 
-Neighbours are searched on square grids by equi-joins of cell numbers, never over all
-pairs. The first grid is fine enough for its fullest cell to stay small; points whose
-search is not finished go on to a coarser grid, and only they do. How many grids there are
-depends on the spread of the points, and each round's unfinished points are checkpointed.
+Pairs within a radius come from a square grid of that size by an equi-join of cell numbers. All
+other searches descend one balanced tree over the points (``packed_tree``): pairs of cells are
+kept, or left out by bounds from their boxes, and the kept ones are replaced by the pairs of
+their children, with one join per height. The tree follows the points, so neither dense
+clusters nor stray points fill a cell; each height's pairs are checkpointed.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from .clean import first_per_key
 from .joins import single_row
 from .order import global_rank
 
-MAX_LEVEL = 20
 SECTORS = 12
+#: Rounding of a bound must not leave out a pair that an exact test would keep.
+SLACK = 1e-9
 
 
 def points_of(df: DataFrame, id: str, x: str, y: str) -> DataFrame:
@@ -39,10 +41,9 @@ class _Grid:
 
     def __init__(self, points: DataFrame) -> None:
         row = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*")).head()
-        self.x0, self.y0 = row[0], row[1]
-        self.side = max(row[2] - row[0], row[3] - row[1]) or 1.0
-        self.diagonal = math.hypot(row[2] - row[0], row[3] - row[1])
         self.n = row[4]
+        self.x0, self.y0 = row[0] or 0.0, row[1] or 0.0
+        self.side = max(row[2] - row[0], row[3] - row[1]) or 1.0 if self.n else 1.0
 
     def cell(self, size: float, x="x", y="y") -> tuple[Column, Column]:
         return (
@@ -60,18 +61,6 @@ class _Grid:
         shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         return df.withColumn("_s", F.explode(shifts)).withColumns({"cx": cx + F.col("_s.i"), "cy": cy + F.col("_s.j")}).drop("_s")
 
-    def start_size(self, points: DataFrame, limit: int) -> float:
-        """Largest cell size (a halving of the side) at which no cell holds more than ``limit`` points."""
-        level = F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL)))
-        size = F.lit(self.side) / F.pow(F.lit(2.0), F.col("level"))
-        cell = lambda v, v0: F.floor((F.col(v) - F.lit(v0)) / size)
-        counts = points.select(level.alias("level"), "x", "y").groupBy(
-            "level", cell("x", self.x0).alias("cx"), cell("y", self.y0).alias("cy")
-        ).count()
-        fullest = {r["level"]: r["m"] for r in counts.groupBy("level").agg(F.max("count").alias("m")).collect()}
-        fitting = [lv for lv, m in fullest.items() if m <= limit]
-        return self.side / 2 ** min(fitting, default=MAX_LEVEL)
-
 
 def _distance(ax="ax", ay="ay", bx="bx", by="by") -> Column:
     dx, dy = F.col(ax) - F.col(bx), F.col(ay) - F.col(by)
@@ -97,98 +86,57 @@ def band_edges(df: DataFrame, radius: float, id: str = "id", x: str = "x", y: st
     return pairs.where(F.col("d") <= radius).select(F.col("aid").alias("src"), F.col("bid").alias("dst"), "d")
 
 
-def _block_pairs(grid: _Grid, active: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """Pairs (a active, b any) no more than ``size`` apart: complete within that distance."""
-    left = _named(grid.around(active, size), "a")
-    right = _named(grid.placed(points, size), "b")
-    pairs = left.join(right, ["cx", "cy"]).where(F.col("aid") != F.col("bid")).drop("cx", "cy")
-    return pairs.withColumn("d", _distance()).where(F.col("d") <= size)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+def near_cells(levels: list[DataFrame], need) -> Iterator[tuple[int, DataFrame]]:
+    """Per height, from the root down to the points: the cells b that points of a cell a must look at.
 
-def knn_edges(
-    df: DataFrame, k: int, id: str = "id", x: str = "x", y: str = "y", cell_limit: int = 512
-) -> DataFrame:
-    """The k nearest neighbours of every point, ties to the smaller id: ``src, dst, d``.
-
-    A point is finished once k others lie within the cell size, because the 3 x 3 block
-    holds everything that near. A cell of a coarser grid contains few unfinished points,
-    since each of them has fewer than k others within half its size.
+    ``need(height)`` nearest points, a point itself among them, lie within the distance at which the farthest
+    corners of some cells enclose that many; cells that begin beyond it are left out. ``need`` must not
+    grow downwards. Rows are ``a, b, near, far`` and both boxes. A cell that spans empty space looks at many others,
+    but such cells are few.
     """
-    points = checkpointed(points_of(df, id, x, y))
-    grid = _Grid(points)
-    size = grid.start_size(points, cell_limit)
-    active, found = points, []
-    while True:
-        last = size >= grid.diagonal
-        order = Window.partitionBy("aid").orderBy("d", "bid")
-        near = _block_pairs(grid, active, points, size).withColumn("_r", F.row_number().over(order))
-        near = checkpointed(near.where(F.col("_r") <= k).select(F.col("aid").alias("src"), F.col("bid").alias("dst"), "d"))
-        if last:
-            found.append(near)
-            break
-        done = near.groupBy("src").agg(F.count("*").alias("_n")).where(F.col("_n") == k).select("src")
-        found.append(near.join(done, "src", "left_semi"))
-        active = checkpointed(active.join(done.withColumnRenamed("src", "id"), "id", "left_anti"))
-        if active.isEmpty():
-            break
-        size *= 2
-    return _union(found)
-
-
-def gabriel_edges(df: DataFrame, id: str = "id", x: str = "x", y: str = "y", cell_limit: int = 64) -> DataFrame:
+    pairs = levels[-1].select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    for height in range(len(levels) - 1, -1, -1):
+        met = _boxed(pairs, levels[height]).withColumns({"near": _length(_gap), "far": _length(_span)})
+        enclosed = F.sum("b_cnt").over(Window.partitionBy("a").orderBy("far", "b").rowsBetween(Window.unboundedPreceding, 0))
+        reach = F.min(F.when(F.col("_sum") >= need(height), F.col("far"))).over(Window.partitionBy("a"))
+        bound = met.withColumn("_sum", enclosed).withColumn("_reach", reach)
+        inside = F.col("_reach").isNull() | (F.col("near") <= F.col("_reach") * (1 + SLACK))
+        kept = checkpointed(bound.where(inside).drop("_sum", "_reach"))
+        yield height, kept
+        pairs = kept.select(_children("a"), "b").select("a", _children("b"))
+
+
+def knn_edges(df: DataFrame, k: int, id: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """The k nearest neighbours of every point, ties to the smaller id: ``src, dst, d``. Fewer, if there are no more points."""
+    levels = packed_tree(checkpointed(points_of(df, id, x, y)), "x")
+    for _, kept in near_cells(levels, lambda height: k + 1):
+        pass
+    names = levels[0].select("cell", "id")
+    pairs = kept.where("a <> b").select("a", "b", F.col("near").alias("d"))
+    pairs = pairs.join(names.withColumnsRenamed({"cell": "b", "id": "dst"}), "b")
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("d", "dst"))).where(F.col("_r") <= k)
+    return ranked.join(names.withColumnsRenamed({"cell": "a", "id": "src"}), "a").select("src", "dst", "d")
+
+
+def gabriel_edges(df: DataFrame, id: str = "id", x: str = "x", y: str = "y", around: int = 8) -> DataFrame:
     """Gabriel graph: pairs whose diametral disc holds no other point, ``src < dst, d``.
 
-    Directions around a point are cut into sectors. A pair farther apart than the nearest
-    point of its sector, divided by the cosine of the sector angle, has that point in its
-    disc; and a sector with a point nearer than the search radius times that cosine has no
-    edges beyond the radius. So each round keeps a few candidates per point, tests them
-    against the points in the cells of their disc, and hands the points that still have
-    open sectors, with those sectors, to a coarser grid. Both ends of a longer edge must
-    have each other's sector open, which leaves mainly points facing empty space.
+    A cell knows witnesses: one point in each of its ``around`` nearest cells or so, at most one per
+    direction. A pair of cells is left out once a witness of either lies in the discs of all pairs
+    of their points; for points that face each other across empty space, witnesses stand beside them on
+    their own side. What is left at the height of points is tested against the tree, cell by cell.
     """
-    points = checkpointed(points_of(df, id, x, y))
-    grid = _Grid(points)
-    size = grid.start_size(points, cell_limit)
-    cosine = math.cos(2 * math.pi / SECTORS)
-    active = points.withColumn("open", F.lit((1 << SECTORS) - 1))
-    reach, found = 0.0, []
-    while True:
-        last = size >= grid.diagonal
-        pairs = _open_pairs(grid, active, size).persist()
-        nearest = pairs.groupBy("aid", "sector").agg(F.min("d").alias("nearest"))
-        kept = pairs.join(nearest, ["aid", "sector"]).where(
-            (F.col("d") * F.lit(cosine * (1 - 1e-9)) <= F.col("nearest")) & (F.col("d") > F.lit(reach))
-        )
-        ends = F.struct(F.col("aid").alias("id"), F.col("ax").alias("x"), F.col("ay").alias("y"))
-        others = F.struct(F.col("bid").alias("id"), F.col("bx").alias("x"), F.col("by").alias("y"))
-        mutual = (
-            kept.select(F.least(ends, others).alias("a"), F.greatest(ends, others).alias("b"), "d")
-            .groupBy("a", "b").agg(F.count("*").alias("_n"), F.min("d").alias("d")).where(F.col("_n") == 2)
-            .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), "d",
-                    F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
-        )
-        found.append(checkpointed(_empty_discs(grid, checkpointed(mutual), points, size)))
-        if last:
-            pairs.unpersist()
-            break
-        closed = nearest.where(F.col("nearest") < F.lit(size * cosine)).groupBy("aid").agg(
-            F.bit_or(F.pow(F.lit(2.0), F.col("sector")).cast("int")).alias("closed")
-        )
-        left = active.join(closed.withColumnRenamed("aid", "id"), "id", "left")
-        still = F.col("open").bitwiseAND(F.bitwise_not(F.coalesce(F.col("closed"), F.lit(0))))
-        active = checkpointed(left.withColumn("open", still).drop("closed").where(F.col("open") != 0))
-        pairs.unpersist()
-        if active.isEmpty():
-            break
-        reach, size = size, size * 4
-    return _union(found)
+    levels = packed_tree(checkpointed(points_of(df, id, x, y)), "x")
+    pairs = levels[-1].select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    for height, near in near_cells(levels, lambda height: (around + 1) << 2 * height):
+        seen = checkpointed(_witnesses(near, levels[0], height))
+        kept = _boxed(pairs, levels[height])
+        for p in ("a", "b"):
+            kept = kept.join(seen.withColumnRenamed("cell", p), p, "left").where(
+                (F.col("a") == F.col("b")) | ~F.coalesce(F.exists("seen", _in_all_discs), F.lit(False))).drop("seen")
+        kept = checkpointed(kept.select("a", "b"))
+        pairs = kept.select(_children("a"), "b").select("a", _children("b")).where("a <= b")
+    return _empty_discs(levels, _boxed(kept.where("a <> b"), levels[0]))
 
 
 def _sector(dx: Column, dy: Column) -> Column:
@@ -196,36 +144,56 @@ def _sector(dx: Column, dy: Column) -> Column:
     return F.least(F.floor(turn * SECTORS), F.lit(SECTORS - 1)).cast("int")
 
 
-def _open_pairs(grid: _Grid, active: DataFrame, size: float) -> DataFrame:
-    """Ordered pairs of active points that see each other in an open sector."""
-    left = _named(grid.around(active, size), "a").withColumnRenamed("open", "aopen")
-    right = _named(grid.placed(active, size), "b").withColumnRenamed("open", "bopen")
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    pairs = left.join(right, ["cx", "cy"]).where(F.col("aid") != F.col("bid")).withColumn("d", _distance())
-    pairs = pairs.where(F.col("d") <= size).withColumns({"sector": _sector(dx, dy), "_back": _sector(-dx, -dy)})
-    is_open = lambda mask, s: F.pmod(F.floor(F.col(mask) / F.pow(F.lit(2.0), F.col(s))), F.lit(2)) == 1
-    return pairs.where(is_open("aopen", "sector") & is_open("bopen", "_back")).select(
-        "aid", "ax", "ay", "bid", "bx", "by", "d", "sector"
-    )
+def _witnesses(near: DataFrame, points: DataFrame, height: int) -> DataFrame:
+    """``cell, seen``: for each cell, a point of the nearest other cell in each direction."""
+    dx, dy = (F.col(f"b_{v}_lo") + F.col(f"b_{v}_hi") - F.col(f"a_{v}_lo") - F.col(f"a_{v}_hi") for v in "xy")
+    apart = F.struct((dx * dx + dy * dy).alias("d"), F.col("b"))
+    nearest = near.where("a <> b").groupBy("a", _sector(dx, dy).alias("sector")).agg(F.min(apart).alias("_n"))
+    # Points are numbered through, so cell c begins with point c 4^height.
+    first = nearest.select(F.col("a"), F.shiftleft(F.col("_n.b"), 2 * height).alias("cell"))
+    seen = first.join(points.select("cell", F.col("x_lo").alias("x"), F.col("y_lo").alias("y")), "cell")
+    # At most one per sector.
+    return seen.groupBy(F.col("a").alias("cell")).agg(F.collect_list(F.struct("x", "y")).alias("seen"))
 
 
-def _empty_discs(grid: _Grid, pairs: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """Pairs without a point strictly inside the disc on their segment."""
-    mid_x, mid_y, half = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2, F.col("d") / 2
-    cell = lambda v, v0: F.floor((v - F.lit(v0)) / F.lit(size)).cast("long")
-    spread = pairs.withColumn("cx", F.explode(F.sequence(cell(mid_x - half, grid.x0), cell(mid_x + half, grid.x0))))
-    spread = spread.withColumn("cy", F.explode(F.sequence(cell(mid_y - half, grid.y0), cell(mid_y + half, grid.y0))))
-    inside = (
-        (F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2
-        + (F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2
-        < (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
-    )
-    hit = (
-        spread.join(grid.placed(points, size), ["cx", "cy"])
-        .where(inside & (F.col("id") != F.col("src")) & (F.col("id") != F.col("dst")))
-        .select("src", "dst").distinct()
-    )
-    return pairs.join(hit, ["src", "dst"], "left_anti").select("src", "dst", "d")
+def _in_all_discs(w: Column) -> Column:
+    """Whether w lies in the disc of every pair: the largest (p - w)(q - w) of p in box a and q in box b is negative."""
+    def most(v: str) -> Column:
+        return F.greatest(*[(F.col(f"a_{v}_{i}") - w[v]) * (F.col(f"b_{v}_{j}") - w[v]) for i in ("lo", "hi") for j in ("lo", "hi")])
+
+    return most("x") + most("y") < -SLACK * (_span("x") * _span("x") + _span("y") * _span("y"))
+
+
+def _empty_discs(levels: list[DataFrame], pairs: DataFrame) -> DataFrame:
+    """Pairs of points without a point strictly inside the disc on their segment: ``src < dst, d``.
+
+    The cells that a disc touches are followed down the tree; a pair ends where a whole cell lies inside.
+    """
+    ends = ["a", "b", "ax", "ay", "bx", "by"]
+    pairs = checkpointed(pairs.select("a", "b", *[F.col(f"{p}_{v}_lo").alias(p + v) for p in "ab" for v in "xy"]))
+    touched = pairs.withColumn("cell", F.lit(0).cast("long"))  # the root
+    size = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
+
+    def of_disc(v: str, far: bool) -> Column:
+        middle = (F.col(f"a{v}") + F.col(f"b{v}")) / 2
+        low, high = F.col(f"{v}_lo") - middle, middle - F.col(f"{v}_hi")
+        return F.greatest(F.abs(low), F.abs(high)) if far else F.greatest(low, high, F.lit(0.0))
+
+    nearest, farthest = (4 * (of_disc("x", far) ** 2 + of_disc("y", far) ** 2) for far in (False, True))
+    exact = ((F.col("x_lo") - F.col("ax")) ** 2 + (F.col("y_lo") - F.col("ay")) ** 2
+             + (F.col("x_lo") - F.col("bx")) ** 2 + (F.col("y_lo") - F.col("by")) ** 2 < size)
+    for height in range(len(levels) - 1, -1, -1):
+        boxes = levels[height].select("cell", "x_lo", "x_hi", "y_lo", "y_hi")
+        met = touched.join(boxes, "cell").where(nearest <= size * (1 + SLACK))
+        inside = farthest < size * (1 - SLACK) if height else exact & (F.col("cell") != F.col("a")) & (F.col("cell") != F.col("b"))
+        met = checkpointed(met.withColumn("_in", inside).select("cell", *ends, "_in"))
+        hit = met.where("_in").select("a", "b").distinct()
+        pairs = checkpointed(pairs.join(hit, ["a", "b"], "left_anti"))
+        if height:
+            touched = met.join(hit, ["a", "b"], "left_anti").select(*ends, _children("cell"))
+    names = levels[0].select("cell", "id")
+    named = pairs.join(names.withColumnsRenamed({"cell": "a", "id": "one"}), "a").join(names.withColumnsRenamed({"cell": "b", "id": "two"}), "b")
+    return named.select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"), _distance().alias("d"))
 
 
 def weights(edges: DataFrame) -> DataFrame:
@@ -360,6 +328,33 @@ def closest(points: DataFrame, leaves: DataFrame) -> float | None:
     return band_edges(points, bound).agg(F.min("d")).head()[0]
 
 
+def _boxed(pairs: DataFrame, level: DataFrame) -> DataFrame:
+    """Pairs of cells ``a, b`` with the counts, sums and boxes of both; pairs of cells that do not exist go."""
+    out = pairs
+    for p in ("a", "b"):
+        names = ["cnt", "s", "x_lo", "x_hi", "y_lo", "y_hi"]
+        out = out.join(level.select(F.col("cell").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in names]), p)
+    return out
+
+
+def _gap(v: str) -> Column:
+    """Least distance of two boxes along an axis."""
+    return F.greatest(F.col(f"b_{v}_lo") - F.col(f"a_{v}_hi"), F.col(f"a_{v}_lo") - F.col(f"b_{v}_hi"), F.lit(0.0))
+
+
+def _span(v: str) -> Column:
+    """Largest distance of two boxes along an axis."""
+    return F.greatest(F.col(f"b_{v}_hi") - F.col(f"a_{v}_lo"), F.col(f"a_{v}_hi") - F.col(f"b_{v}_lo"))
+
+
+def _length(along) -> Column:
+    return F.sqrt(along("x") * along("x") + along("y") * along("y"))
+
+
+def _children(cell: str) -> Column:
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col(cell) * 4 + i)).alias(cell)
+
+
 def class_pairs(levels: list[DataFrame], class_of, leaf: int = 5) -> tuple[list[DataFrame], DataFrame]:
     """Cell pairs ``a <= b`` all whose distances are of one ``class``, per height from ``leaf`` on, and the leaf pairs left.
 
@@ -367,30 +362,17 @@ def class_pairs(levels: list[DataFrame], class_of, leaf: int = 5) -> tuple[list[
     as it is, with the counts and sums of both sides; others are replaced by the pairs of their children, down to
     the cells of height ``leaf`` (1024 points). Each pair of points is below exactly one of all these pairs.
     """
-    names = ["cnt", "s", "x_lo", "x_hi", "y_lo", "y_hi"]
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(F.col("cell").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in names])
-
-    def gap(v: str) -> Column:
-        return F.greatest(F.col(f"b_{v}_lo") - F.col(f"a_{v}_hi"), F.col(f"a_{v}_lo") - F.col(f"b_{v}_hi"), F.lit(0.0))
-
-    def span(v: str) -> Column:
-        return F.greatest(F.col(f"b_{v}_hi") - F.col(f"a_{v}_lo"), F.col(f"a_{v}_hi") - F.col(f"b_{v}_lo"))
-
-    low, high = (class_of(F.sqrt(d("x") * d("x") + d("y") * d("y"))) for d in (gap, span))
+    low, high = (class_of(_length(d)) for d in (_gap, _span))
     out: list[DataFrame] = []
     top = len(levels) - 1
-    pairs = side(levels[top], "a").join(side(levels[top], "b"), F.col("a") == F.col("b"))
+    pairs = _boxed(levels[top].select(F.col("cell").alias("a"), F.col("cell").alias("b")), levels[top])
     for height in range(top, min(leaf, top) - 1, -1):
         seen = checkpointed(pairs.withColumns({"class": low, "_high": high}))
         out.append(seen.where(F.col("class") == F.col("_high")).drop("_high"))
         mixed = seen.where(F.col("class") != F.col("_high")).select("a", "b")
         if height > leaf:
-            four = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col(c) * 4 + i))
-            below = mixed.withColumn("a2", four("a")).withColumn("b2", four("b")).where("a2 <= b2")
-            pairs = below.select(F.col("a2").alias("a"), F.col("b2").alias("b")).join(
-                side(levels[height - 1], "a"), "a").join(side(levels[height - 1], "b"), "b")
+            below = mixed.select(_children("a"), "b").select("a", _children("b")).where("a <= b")
+            pairs = _boxed(below, levels[height - 1])
     return out[::-1], mixed
 
 

@@ -13,6 +13,8 @@ SHAPES = {
     "uniform": RNG.random((150, 2)),
     "clustered": np.vstack([RNG.normal(0, 1e-3, (80, 2)), RNG.normal(5, 0.5, (40, 2)), RNG.random((20, 2)) * 20]),
     "line": np.column_stack([np.linspace(0, 1, 40), np.zeros(40)]),
+    "lattice": np.array([[i % 7, i // 7] for i in range(49)], float),
+    "stray": np.vstack([RNG.random((90, 2)) * 1e-3, [[1e4, 1e4]]]),
 }
 
 
@@ -41,7 +43,7 @@ def gabriel(p):
 @pytest.mark.parametrize("shape", SHAPES)
 def test_gabriel_equals_brute_force(spark, shape):
     p = SHAPES[shape]
-    got = {(r.src, r.dst) for r in spatial.gabriel_edges(frame(spark, p), cell_limit=16).collect()}
+    got = {(r.src, r.dst) for r in spatial.gabriel_edges(frame(spark, p)).collect()}
     assert got == gabriel(p)
 
 
@@ -50,7 +52,7 @@ def test_knn_equals_brute_force(spark, shape):
     p = SHAPES[shape]
     d2 = square(p)
     np.fill_diagonal(d2, np.inf)
-    got = spatial.knn_edges(frame(spark, p), 3, cell_limit=16).toPandas()
+    got = spatial.knn_edges(frame(spark, p), 3).toPandas()
     assert len(got) == 3 * len(p)
     want = np.sort(np.sqrt(d2), axis=1)[:, :3]
     have = np.array(got.sort_values(["src", "d"])["d"]).reshape(len(p), 3)
@@ -168,3 +170,45 @@ def test_pairs_of_cells_cover_every_pair_once(spark):
         covered = sum(cnt[a] * (cnt[a] - 1) // 2 if a == b else cnt[a] * cnt[b] for a, b in open_)
         assert sum(r[1] for r in rows) + own + covered == n * (n - 1) / 2
         assert sum(r[0] for r in rows) + len(open_) <= len(cnt) * (len(cnt) + 1) / 2  # no more than all pairs of leaves
+
+
+def shorelines(n):
+    side = np.sort(np.random.default_rng(n).random(n))
+    return np.vstack([np.column_stack([side, np.zeros(n)]), np.column_stack([side[::-1], np.full(n, 0.3)])])
+
+
+def test_gabriel_across_empty_space(spark):
+    p = shorelines(60)
+    assert {(r.src, r.dst) for r in spatial.gabriel_edges(frame(spark, p)).collect()} == gabriel(p)
+
+
+@pytest.mark.parametrize("search", ["gabriel", "knn"])
+@pytest.mark.parametrize("shape", ["uniform", "shorelines"])
+def test_rows_of_a_search_grow_with_the_points(spark, search, shape, monkeypatch):
+    rows = []
+    write = spatial.checkpointed
+
+    def counted(df):
+        done = write(df)
+        rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(spatial, "checkpointed", counted)
+    made = []
+    for n in (256, 1024):
+        rows.clear()
+        p = np.random.default_rng(n).random((n, 2)) if shape == "uniform" else shorelines(n // 2)
+        edges = spatial.gabriel_edges(frame(spark, p)) if search == "gabriel" else spatial.knn_edges(frame(spark, p), 5)
+        assert edges.count() >= n - 1
+        made.append(sum(rows))
+    assert made[1] < 6 * made[0]  # four times the points; all pairs would be sixteen times
+
+
+def test_searches_of_few_points(spark):
+    none = frame(spark, np.zeros((1, 2))).where("id < 0")
+    one = frame(spark, np.zeros((1, 2)))
+    two = frame(spark, np.array([[0.0, 0.0], [3.0, 4.0]]))
+    for few in (none, one):
+        assert spatial.gabriel_edges(few).collect() == [] and spatial.knn_edges(few, 3).collect() == []
+    assert [tuple(r) for r in spatial.gabriel_edges(two).collect()] == [(0, 1, 5.0)]
+    assert sorted(tuple(r) for r in spatial.knn_edges(two, 3).collect()) == [(0, 1, 5.0), (1, 0, 5.0)]
