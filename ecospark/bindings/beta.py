@@ -135,3 +135,23 @@ def varpart(t):
     env = clean.impute_median(sites.join(means, "l_suppkey"), ["balance", "discount", "tax", "price"])
     df = beta.varpart(h, env, "l_suppkey", "p_brand", ["nation", "balance"], ["discount", "tax", "price"])
     return df.withColumn("adj_r2", rounded(F.col("adj_r2")))
+
+
+@query("varpart_pair", dense(SUPPLIER, "p_brand") + """,
+    e as (select l_suppkey as site, s_nationkey::double as x1, avg(l_discount) as x2 from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2),
+    z as (select site, x1 - avg(x1) over () as x1, x2 - avg(x2) over () as x2 from e),
+    g as (select count(*) as n, sum(x1 * x1) as g11, sum(x1 * x2) as g12, sum(x2 * x2) as g22 from z),
+    c as (select taxon, sum(h * x1) as c1, sum(h * x2) as c2 from m join z using (site) group by 1),
+    r as (select sum(c1 * c1 / g11) as s1, sum(c2 * c2 / g22) as s2,
+        sum((c1 * c1 * g22 - 2 * c1 * c2 * g12 + c2 * c2 * g11) / (g11 * g22 - g12 * g12)) as s12 from c, g),
+    a as (select 1 - (1 - s1 / t) * (n - 1) / (n - 2) as x1, 1 - (1 - s2 / t) * (n - 1) / (n - 2) as x2,
+        1 - (1 - s12 / t) * (n - 1) / (n - 3) as x12 from r, g, (select sum(s) as t from sq))
+    select fraction, round(adj_r2, 6) + 0.0 as adj_r2 from (
+        select 'a' as fraction, x12 - x2 as adj_r2 from a union all select 'b', x1 + x2 - x12 from a
+        union all select 'c', x12 - x1 from a union all select 'd', 1 - x12 from a)""")
+def varpart_pair(t):
+    h = beta.hellinger(t.lines, "l_suppkey", "p_brand", "l_quantity")
+    means = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_discount").alias("discount"))
+    env = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("double").alias("nation")).join(means, "l_suppkey")
+    df = beta.varpart(h, env, "l_suppkey", "p_brand", ["nation"], ["discount"])
+    return df.withColumn("adj_r2", rounded(F.col("adj_r2")))

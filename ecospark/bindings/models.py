@@ -1,4 +1,7 @@
-"""Model queries. Fitted models have no SQL form; the tests check them against numpy."""
+"""Model queries. Fitted models have no SQL form in general; the tests check them against numpy.
+
+A single split has one: queries named ``stump_`` run the same operators on one tree of depth one.
+"""
 
 from __future__ import annotations
 
@@ -109,3 +112,60 @@ def smooth_curves(t):
 def smooth_permutation(t):
     sites = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_extendedprice").alias("p"))
     return smooth.smooth_permutation(sites, "q", "p", "l_suppkey", nperm=99)
+
+
+STUMP = """with o as (select o_orderkey, o_totalprice, count(*) as n_lines from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
+    c as (select v, sum(o_totalprice) filter (n_lines <= v) as s1, count(*) filter (n_lines <= v) as n1,
+        sum(o_totalprice) filter (n_lines > v) as s2, count(*) filter (n_lines > v) as n2 from o, (select distinct n_lines as v from o) group by v),
+    b as (select v, s1 / n1 as lo, s2 / n2 as hi from c where n2 > 0 order by s1 * s1 / n1 + s2 * s2 / n2 desc limit 1),
+    p as (select o_orderkey, o_totalprice, case when n_lines <= v then lo else hi end as prediction from o, b)"""
+
+
+def stump(t):
+    """Orders with their number of lines, and one split of their price on it."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"))
+    rows = trees.with_vector(t.orders.join(lines, "o_orderkey").select("o_orderkey", "o_totalprice", "n_lines"), ["n_lines"])
+    return rows, trees.fit_gbt(rows, "o_totalprice", {"maxIter": 1, "maxDepth": 1, "seed": 1})
+
+
+@query("stump_fit", STUMP + " select o_orderkey, round(prediction, 4) as prediction from p")
+def stump_fit(t):
+    rows, model = stump(t)
+    return trees.predict(model, rows).select("o_orderkey", rounded(F.col("prediction"), 4).alias("prediction"))
+
+
+@query("stump_rmse", STUMP + """ select 'all' as dataset, 1::int as iteration,
+    round(sqrt(avg((o_totalprice - prediction) * (o_totalprice - prediction))), 4) as rmse from p""")
+def stump_rmse(t):
+    rows, model = stump(t)
+    return trees.staged_rmse(model, {"all": rows}, "o_totalprice").withColumn("rmse", rounded(F.col("rmse"), 4))
+
+
+@query("stump_counts", STUMP + " select 'n_lines' as feature, count(*) as splits, 1.0::double as gain from b")
+def stump_counts(t):
+    return trees.split_counts(t.spark, stump(t)[1], ["n_lines"])
+
+
+@query("stump_shapley", STUMP + """, z as (select prediction as base from p order by md5('42:' || o_orderkey) limit 1)
+    select o_orderkey, 'n_lines' as feature, round(prediction - base, 4) + 0.0 as phi from p, z""")
+def stump_shapley(t):
+    rows, model = stump(t)
+    background = trees.background_sample(rows, F.col("o_orderkey"), ["n_lines"], 1)
+    df = trees.shapley(model, rows, "o_orderkey", ["n_lines"], background, nperm=4)
+    return df.withColumn("phi", rounded(F.col("phi"), 4))
+
+
+@query("stump_store", STUMP + " select count(*) as n, count(*) as same from p")
+def stump_store(t):
+    rows, model = stump(t)
+    path = scratch_path(t.spark, "gbt")
+    save_model(model, path)
+    again = load_model(GBTRegressionModel, path)
+    both = trees.predict(again, trees.predict(model, rows, "before"))
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("before") == F.col("prediction")).alias("same"))
+
+
+@query("exact_split", """select o_orderkey, case when row_number() over (order by md5('42:' || o_orderkey)) <= ceil(count(*) over () * 0.2)
+    then 'test' else 'train' end as split from orders""")
+def exact_split(t):
+    return trees.exact_split(t.orders.select("o_orderkey"), F.col("o_orderkey"), 0.2)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark import SparkContext
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -16,6 +18,7 @@ from ..functions.columns import hash_fraction, q
 from ..sources.tables import save_model, scratch_path
 from ..vocabulary import DIVERSITY, DIVERSITY_CORR
 from .clean import impute_median
+from .order import exact_quantiles
 
 RESPONSE_COLUMNS = [*DIVERSITY, "log_LCBD", *DIVERSITY_CORR, "log_LCBD_corr"]
 PATIENCE = 50
@@ -34,6 +37,24 @@ def split(df: DataFrame, key: Column, test_size: float, seed: int = 42, name: st
     return df.withColumn(name, F.when(hash_fraction(key, seed) < test_size, "test").otherwise("train"))
 
 
+def exact_split(df: DataFrame, key: Column, test_size: float, seed: int = 42, name: str = "split") -> DataFrame:
+    """Mark exactly ceil(n * test_size) rows test: those with the smallest hashes of their keys.
+
+    The bound is an exact quantile of 52 hash bits, selected by radix, so no row is sorted and one number
+    reaches the driver. Rows of one key stay together, also where that makes the test part larger; rows
+    without a key are train.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    hashed = df.withColumn("_h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("double"))
+    n = hashed.where(F.col("_h").isNotNull()).count()
+    most = min(math.ceil(n * test_size), n)
+    if most < 1 or most == n:
+        return hashed.withColumn(name, F.when(F.col("_h").isNotNull() & F.lit(most > 0), "test").otherwise("train")).drop("_h")
+    # Half-way between the last test row and the first train row.
+    bound = exact_quantiles(hashed, ["_h"], [(most - 0.5) / (n - 1)]).head()["quantiles"][0]
+    return hashed.withColumn(name, F.when(F.col("_h") <= F.lit(bound), "test").otherwise("train")).drop("_h")
+
+
 def fill_features(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Median-filled features, with an indicator column for each one that has gaps."""
     gaps = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in features]).head()
@@ -56,18 +77,29 @@ def fit_gbt(
 ) -> GBTRegressionModel:
     """Boosted trees on a table with a ``features`` vector.
 
-    With a validation table the number of trees is the one with the lowest validation error
-    before ``patience`` trees bring no improvement. Boosting with a fixed seed grows the
-    same leading trees, so the shorter model is the head of the longer one.
+    With a validation table the model keeps the trees up to the lowest validation error
+    before ``patience`` trees bring no improvement; nothing is trained twice.
     """
     model = GBTRegressor(featuresCol="features", labelCol=target, **params).fit(train)
     if valid is None:
         return model
     errors = staged_errors(model, valid, target)
-    best = best_iteration(errors, patience)
-    if best == len(errors):
+    return leading_trees(model, best_iteration(errors, patience))
+
+
+def leading_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first n trees. Boosting only adds trees, so it is what n iterations would have made."""
+    whole = model._java_obj
+    if n >= model.getNumTrees:
         return model
-    return GBTRegressor(featuresCol="features", labelCol=target, **{**params, "maxIter": best}).fit(train)
+    context = SparkContext._active_spark_context
+    jvm, gateway = context._jvm, context._gateway
+    regression = jvm.org.apache.spark.ml.regression
+    trees, weights = gateway.new_array(regression.DecisionTreeRegressionModel, n), gateway.new_array(jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = whole.trees()[i], float(model.treeWeights[i])
+    head = GBTRegressionModel(regression.GBTRegressionModel(whole.uid(), trees, weights, model.numFeatures))
+    return model._copyValues(head)
 
 
 def best_iteration(errors: Sequence[float], patience: int) -> int:

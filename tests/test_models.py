@@ -183,3 +183,31 @@ def test_run_on_harmonised_names(spark):
     assert "DO_mg.L" in model.bases and model.r2_adj > 0.5
     draws = trees.sample_params({"maxIter": [2], "maxDepth": [2], "stepSize": (0.1, 0.1)}, 1)
     assert trees.random_search(df, F.col("lake_id"), ["lat", "DO_mg.L"], "shannon", draws, folds=2).count() == 1
+
+
+def test_early_stop_keeps_the_head_of_one_training(spark, monkeypatch):
+    df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("a"), (F.xxhash64("id") % 100).cast("double").alias("b"))
+    rows = trees.with_vector(df.withColumn("y", F.col("a") * 2 + F.col("b") / 10), ["a", "b"])
+    params = {"maxIter": 12, "maxDepth": 3, "stepSize": 0.9, "subsamplingRate": 0.7, "seed": 5}
+    whole, short = (trees.fit_gbt(rows, "y", {**params, "maxIter": n}) for n in (12, 4))
+    head = trees.leading_trees(whole, 4)
+    assert head.getNumTrees == 4 and head.numFeatures == 2 and len(head.featureImportances) == 2
+    both = trees.predict(short, trees.predict(head, rows, "head"))
+    assert both.where("head <> prediction").count() == 0
+    fits = []
+    fit = trees.GBTRegressor.fit
+    monkeypatch.setattr(trees.GBTRegressor, "fit", lambda self, data: fits.append(1) or fit(self, data))
+    model = trees.fit_gbt(rows.where("id % 2 = 0"), "y", params, rows.where("id % 2 = 1"))
+    errors = trees.staged_errors(whole, rows, "y")
+    assert fits == [1] and 1 <= model.getNumTrees <= 12 and len(errors) == 12
+
+
+def test_exact_split_has_the_asked_size(spark):
+    for n, share, want in ((10, 0.25, 3), (101, 0.2, 21), (1, 0.2, 1), (0, 0.2, 0), (7, 0.0, 0), (7, 1.0, 7)):
+        marked = trees.exact_split(spark.range(n), F.col("id"), share)
+        assert marked.where("split = 'test'").count() == want and marked.count() == n
+    twice = spark.range(20).select((F.col("id") % 5).alias("k"))
+    marked = trees.exact_split(twice, F.col("k"), 0.3)
+    assert marked.groupBy("k").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+    lost = spark.createDataFrame([(None,), (1,)], "k int")
+    assert {r.k: r.split for r in trees.exact_split(lost, F.col("k"), 0.5).collect()} == {None: "train", 1: "test"}
