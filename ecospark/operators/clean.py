@@ -238,21 +238,22 @@ def interpolate(
         e for c in cols for e in (F.min(point[c]).alias(f"_f{at[c]}"), F.max(point[c]).alias(f"_l{at[c]}"))
     ])
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*by).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, as Spark goes through a frame that ends with the partition anew for every row.
+    later = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*by, "_b", *[
         e for i in at.values() for e in (
             F.last(f"_l{i}", ignorenulls=True).over(earlier).alias(f"_p{i}"),
-            F.first(f"_f{i}", ignorenulls=True).over(later).alias(f"_n{i}"),
+            F.last(f"_f{i}", ignorenulls=True).over(later).alias(f"_n{i}"),
         )
     ])
-    inside = Window.partitionBy(*by, "_b").orderBy(x)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inside.rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*by, "_b")
+    upto = inside.orderBy(q(x)).rowsBetween(Window.unboundedPreceding, 0)
+    onward = inside.orderBy(q(x).desc()).rowsBetween(Window.unboundedPreceding, 0)
     near = join_nullsafe(axis, carried, [*by, "_b"], "left")
 
     def lerp(c: str) -> Column:
         lo = F.coalesce(F.last(point[c], ignorenulls=True).over(upto), F.col(f"_p{at[c]}"))
-        hi = F.coalesce(F.first(point[c], ignorenulls=True).over(onward), F.col(f"_n{at[c]}"))
+        hi = F.coalesce(F.last(point[c], ignorenulls=True).over(onward), F.col(f"_n{at[c]}"))
         step = ratio(F.col(x) - lo["x"], hi["x"] - lo["x"])
         between = lo["y"] + (hi["y"] - lo["y"]) * step
         return F.when(lo["x"] == hi["x"], lo["y"]).otherwise(between)
