@@ -133,3 +133,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, *keys: str, piece: int = 250_000) -> DataFrame:
+    """Rows dealt by their keys to as many tasks as ``rows`` call for.
+
+    Spark merges shuffle partitions by their compressed bytes; sorts and aggregates that follow one another on the
+    same keys then hold millions of rows in one task. A given number of partitions stays as it is.
+    """
+    return df.repartition(max(-(-rows // piece), 8), *keys)
