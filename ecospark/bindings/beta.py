@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import day_of_year, paste_key, rounded
 from ..operators import beta, clean
+from ..sources.tables import spread
 from .registry import auto, query
 
 
@@ -75,7 +76,9 @@ def sample_sums(t):
 
 @query("lcbd_dated", lcbd_sql(DATED, "p_type", "sample").replace(", 8)", ", 10)"))
 def lcbd_dated(t):
-    sums = beta.sample_sums(t.lines, doy_key(), "p_type", "l_quantity")
+    # Sums, cells and totals of a sample follow in one task.
+    lines = spread(t.lines.withColumn("sample", doy_key()), t.lineitem.count(), "sample")
+    sums = beta.sample_sums(lines, F.col("sample"), "p_type", "l_quantity")
     df = beta.lcbd(sums, "sample", "p_type", "l_quantity")
     return df.select("sample", rounded(F.col("lcbd"), 10).alias("lcbd"), rounded(F.col("log_lcbd")).alias("log_lcbd"))
 
