@@ -360,7 +360,8 @@ def class_pairs(levels: list[DataFrame], class_of, leaf: int = 5) -> tuple[list[
 
     Descent of both sides at once: a pair of cells whose nearest and farthest corners are in one class stays
     as it is, with the counts and sums of both sides; others are replaced by the pairs of their children, down to
-    the cells of height ``leaf`` (1024 points). Each pair of points is below exactly one of all these pairs.
+    the cells of height ``leaf`` (4^leaf points). Each pair of points is below exactly one of all these pairs.
+    Pairs that are left carry their ``low`` and ``high`` class.
     """
     low, high = (class_of(_length(d)) for d in (_gap, _span))
     out: list[DataFrame] = []
@@ -369,19 +370,20 @@ def class_pairs(levels: list[DataFrame], class_of, leaf: int = 5) -> tuple[list[
     for height in range(top, min(leaf, top) - 1, -1):
         seen = checkpointed(pairs.withColumns({"class": low, "_high": high}))
         out.append(seen.where(F.col("class") == F.col("_high")).drop("_high"))
-        mixed = seen.where(F.col("class") != F.col("_high")).select("a", "b")
+        mixed = seen.where(F.col("class") != F.col("_high")).select("a", "b", F.col("class").alias("low"), F.col("_high").alias("high"))
         if height > leaf:
             below = mixed.select(_children("a"), "b").select("a", _children("b")).where("a <= b")
             pairs = _boxed(below, levels[height - 1])
     return out[::-1], mixed
 
 
-def in_blocks(pairs: DataFrame, rows: DataFrame, columns: list[str], leaf: int, made, schema: str) -> DataFrame:
-    """``made(table of a, table of b)`` for each pair of leaf cells, of the points' ``columns``."""
+def in_blocks(pairs: DataFrame, rows: DataFrame, columns: list[Column], leaf: int, made, schema: str) -> DataFrame:
+    """``made(table of a, table of b)`` for each pair of leaf cells, of the points' ``columns``, which may use those of the pair."""
     block = F.shiftright("cell", 2 * leaf)
-    left = rows.select(block.alias("a"), *columns).join(pairs, "a").select("a", "b", *columns)
-    right = rows.select(block.alias("b_b"), *[F.col(c).alias(f"{c}_b") for c in columns]).join(
-        pairs.select(F.col("a").alias("a_b"), F.col("b").alias("b_b")), "b_b").select("a_b", "b_b", *[f"{c}_b" for c in columns])
+    left = rows.withColumn("a", block).join(pairs, "a").select("a", "b", *columns)
+    right = rows.withColumn("b", block).join(pairs, "b").select("a", "b", *columns)
+    # Names of its own, as both sides come from one table.
+    right = right.withColumnsRenamed({c: f"{c}_b" for c in right.columns})
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         return made(a, b.rename_columns(a.column_names))
@@ -389,59 +391,153 @@ def in_blocks(pairs: DataFrame, rows: DataFrame, columns: list[str], leaf: int,
     return left.groupBy("a", "b").cogroup(right.groupBy("a_b", "b_b")).applyInArrow(compare, schema)
 
 
+class _Block:
+    """Points of a leaf cell along the curve, cut in pieces of ``size`` with tight boxes."""
+
+    def __init__(self, rows: pa.Table, size: int) -> None:
+        self.order = np.argsort(rows["cell"].to_numpy())
+        self.cell, self.x, self.y = (rows[c].to_numpy()[self.order] for c in ("cell", "x_lo", "y_lo"))
+        self.n = len(self.order)
+        self.starts = np.arange(0, self.n, size)
+        self.sizes = np.diff(self.starts, append=self.n)
+        self.low, self.high = ([f.reduceat(v, self.starts) for v in (self.x, self.y)] for f in (np.minimum, np.maximum))
+
+
 class _Classes:
-    """Distance classes of all pairs of two blocks of points, 0 for a point and itself."""
-
-    def __init__(self, nearest: float, width: float, k: int) -> None:
-        self.nearest, self.width, self.k = nearest, width, k
-
-    def __call__(self, a: pa.Table, b: pa.Table) -> np.ndarray:
-        dx = a["x_lo"].to_numpy()[:, None] - b["x_lo"].to_numpy()[None, :]
-        dy = a["y_lo"].to_numpy()[:, None] - b["y_lo"].to_numpy()[None, :]
-        d = np.sqrt(dx * dx + dy * dy)
-        if self.width:
-            found = np.clip(np.ceil((d - self.nearest) / self.width), 1, self.k).astype(np.int64)
-        else:
-            found = np.ones(d.shape, np.int64)
-        found[a["cell"].to_numpy()[:, None] == b["cell"].to_numpy()[None, :]] = 0
-        return found
-
-    def sums(self, classes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        """Per row and class the number of entries, or the sum of their weights."""
-        n = len(classes)
-        places = (np.arange(n)[:, None] * (self.k + 1) + classes).ravel()
-        return np.bincount(places, None if weights is None else weights.ravel(), n * (self.k + 1)).reshape(n, -1)
+    """What the points of two blocks hand to each other by distance class; a point is handed nothing by itself.
+
+    A class is a step function of the squared distance, so its steps are found once and pairs are compared
+    with the few steps between them. Pieces of a block all of whose distances to a piece of the other are of
+    one class are taken as a whole; the others meet as small matrices that stay in the processor's cache.
+    """
+
+    def __init__(self, nearest: float, width: float, k: int, piece: int = 128, wide: int = 4) -> None:
+        self.nearest, self.width, self.k, self.piece, self.wide = nearest, width, k, piece, wide
+        self.steps = self._steps()
+
+    def _of(self, square: np.ndarray) -> np.ndarray:
+        return np.clip(np.ceil((np.sqrt(square) - self.nearest) / self.width), 1, self.k)
+
+    def _steps(self) -> np.ndarray:
+        """The largest squared distance of every class but the last: halving over all doubles, which sort like their bits."""
+        if not self.width:
+            return np.full(self.k - 1, np.inf)
+        classes = np.arange(1, self.k)
+        low, high = np.zeros(self.k - 1, np.int64), np.full(self.k - 1, np.array(np.inf).view(np.int64))
+        while (high - low > 1).any():
+            middle = low + (high - low) // 2
+            inside = self._of(middle.view(np.float64)) <= classes
+            low, high = np.where(inside, middle, low), np.where(inside, high, middle)
+        return low.view(np.float64)
+
+    def _bounds(self, a: _Block, i: int, b: _Block) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest class between piece i of a and every piece of b."""
+        near, far = np.zeros(len(b.starts)), np.zeros(len(b.starts))
+        for lo_a, hi_a, lo_b, hi_b in zip(a.low, a.high, b.low, b.high, strict=True):
+            one, two = lo_b - hi_a[i], lo_a[i] - hi_b
+            near += np.maximum(np.maximum(one, two), 0.0) ** 2
+            far += np.maximum(hi_b - lo_a[i], hi_a[i] - lo_b) ** 2
+        return tuple(np.searchsorted(self.steps, square) + 1 for square in (near, far))
+
+    def handed(self, a: _Block, b: _Block, of_a, of_b) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        """Per class, sums over the points of b for each point of a, and the reverse.
+
+        ``of_a(class)`` and ``of_b(class)`` are matrices with a row for each point. A block that meets itself gives the first only.
+        """
+        same = a.cell[0] == b.cell[0]
+        to_a: dict[int, np.ndarray] = {}
+        to_b: dict[int, np.ndarray] = {}
+        whole: dict[int, np.ndarray] = {}  # handed to whole pieces of b
+        sums_a: dict[int, np.ndarray] = {}
+        sums_b: dict[int, np.ndarray] = {}
+
+        def cut(sums: dict[int, np.ndarray], block: _Block, of, c: int) -> np.ndarray:
+            if c not in sums:
+                sums[c] = np.add.reduceat(of(c), block.starts, axis=0)
+            return sums[c]
+
+        def place(out: dict[int, np.ndarray], c: int, n: int, like: np.ndarray) -> np.ndarray:
+            if c not in out:
+                out[c] = np.zeros((n, like.shape[1]))
+            return out[c]
+
+        # Matrices of one place each, as fresh memory costs more than the arithmetic.
+        held = np.empty((3, self.piece * self.piece * self.wide))
+        for i, (start, size) in enumerate(zip(a.starts, a.sizes, strict=True)):
+            own = slice(start, start + size)
+            low, high = self._bounds(a, i, b)
+            mixed = low != high
+            if same:
+                mixed[i] = True
+            for c in np.unique(low[~mixed]):
+                pieces = np.flatnonzero(~mixed & (low == c))
+                place(to_a, c, a.n, of_b(c))[own] += cut(sums_b, b, of_b, c)[pieces].sum(axis=0)
+                if not same:
+                    place(whole, c, len(b.starts), of_a(c))[pieces] += cut(sums_a, a, of_a, c)[i]
+            open_ = np.flatnonzero(mixed)
+            for first in range(0, len(open_), self.wide):
+                pieces = open_[first:first + self.wide]
+                columns = np.concatenate([np.arange(b.starts[p], b.starts[p] + b.sizes[p]) for p in pieces])
+                least, most = int(low[pieces].min()), int(high[pieces].max())
+                square, along, one_hot = held[:, :size * len(columns)].reshape(3, size, -1)
+                for out, p, q in ((square, a.x, b.x), (along, a.y, b.y)):
+                    np.subtract(p[own, None], q[None, columns], out=out)
+                    np.multiply(out, out, out=out)
+                square += along
+                kind = np.uint8 if most - least < 255 else np.int32
+                above = np.zeros(square.shape, kind)
+                for step in self.steps[least - 1:most - 1]:
+                    above += square > step
+                if same and i in pieces:
+                    above[columns[None, :] == np.arange(start, start + size)[:, None]] = np.iinfo(kind).max
+                for c in range(least, most + 1):
+                    np.equal(above, c - least, out=one_hot)
+                    mine, others = of_a(c), of_b(c)[columns]
+                    place(to_a, c, a.n, others)[own] += _weighted(one_hot, others)
+                    if not same:
+                        place(to_b, c, b.n, mine)[columns] += _weighted(one_hot.T, mine[own])
+        for c, sums in whole.items():
+            place(to_b, c, b.n, sums)[:] += np.repeat(sums, b.sizes, axis=0)
+        return to_a, to_b
+
+    def _listed(self, a: pa.Table, b: pa.Table, of, names: list[str]) -> pa.Table:
+        """Rows (cell, class, *names) of what both blocks are handed; ``of(rows, block)`` gives the matrix of a class."""
+        one, two = _Block(a, self.piece), _Block(b, self.piece)
+        to_a, to_b = self.handed(one, two, of(a, one), of(b, two))
+        cells, classes, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros((0, len(names)))]
+        for block, out in ((one, to_a), (two, to_b)):
+            for c, sums in out.items():
+                some = np.flatnonzero(sums[:, 0])
+                cells.append(block.cell[some])
+                classes.append(np.full(len(some), c, np.int32))
+                values.append(sums[some])
+        table = {"cell": np.concatenate(cells), "class": np.concatenate(classes)}
+        return pa.table(table | dict(zip(names, np.concatenate(values).T, strict=True)))
 
     def counts(self, a: pa.Table, b: pa.Table) -> pa.Table:
         """(cell, class, cnt, sv) of the points of both blocks."""
-        found = self(a, b)
-        parts = []
-        for own, other, classes in ((a, b, found), (b, a, found.T)):
-            cnt = self.sums(classes)
-            sv = self.sums(classes, np.broadcast_to(other["s"].to_numpy()[None, :], classes.shape))
-            i, c = np.nonzero(cnt[:, 1:])
-            parts.append((own["cell"].to_numpy()[i], c + 1, cnt[i, c + 1], sv[i, c + 1]))
-            if a["a"][0] == a["b"][0]:
-                break
-        cell, class_, cnt, sv = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"cell": cell, "class": class_.astype(np.int32), "cnt": cnt, "sv": sv})
+        def of(rows: pa.Table, block: _Block):
+            values = np.column_stack([np.ones(block.n), rows["s"].to_numpy()[block.order]])
+            return lambda c: values
+
+        out = self._listed(a, b, of, ["cnt", "sv"])
+        return out.set_column(2, "cnt", out["cnt"].cast(pa.int64()))
 
     def weights(self, a: pa.Table, b: pa.Table) -> pa.Table:
-        """(cell, class, u): what each point is handed by the other block, whose points carry ``u`` by class."""
-        found = self(a, b)
-        parts = []
-        for own, other, classes in ((a, b, found), (b, a, found.T)):
-            each = np.zeros((len(other), self.k + 1))
-            for i, held in enumerate(other["us"].to_pylist()):
-                for entry in held or ():
-                    each[i, entry["class"]] = entry["u"]
-            u = self.sums(classes, each[np.arange(len(other))[None, :], classes])
-            i, c = np.nonzero(u[:, 1:])
-            parts.append((own["cell"].to_numpy()[i], c + 1, u[i, c + 1]))
-            if a["a"][0] == a["b"][0]:
-                break
-        cell, class_, u = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"cell": cell, "class": class_.astype(np.int32), "u": u})
+        """(cell, class, u): what each point is handed by the other block, whose points carry ``us`` from the class ``low`` on."""
+        def of(rows: pa.Table, block: _Block):
+            us = rows["us"].combine_chunks().flatten().to_numpy().reshape(block.n, -1)[block.order]
+            first = rows["low"][0].as_py()
+            return lambda c: us[:, c - first:c - first + 1]
+
+        return self._listed(a, b, of, ["u"])
+
+
+def _weighted(met: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Per row of zeros and ones, the sums of the values at the ones; a value that is no number reaches no one else."""
+    if np.isfinite(values).all():
+        return np.column_stack([met @ np.ascontiguousarray(v) for v in values.T])
+    return np.column_stack([np.where(met > 0, v, 0.0).sum(axis=1) for v in values.T])
 
 
 def both_sides(pairs: DataFrame, value_of_b: list[Column], value_of_a: list[Column]) -> DataFrame:
@@ -473,7 +569,7 @@ def correlogram(
     pairs, their number following Sturges' rule unless given; if all distances are equal there is
     one class. Points without a neighbour in a class take no part in it. Counts and sums are added to whole
     cells by a descent of cell pairs and handed down the tree; only pairs of leaf cells near class
-    borders are compared point by point, block by block. Fewer than two points give no rows.
+    borders are opened, block by block, and there only small pieces near a border are compared point by point. Fewer than two points give no rows.
     """
     points = df.select(
         F.col(id).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
@@ -493,13 +589,14 @@ def correlogram(
             return F.lit(1)
         return F.least(F.greatest(F.ceil((d - F.lit(nearest)) / F.lit(width)), F.lit(1)), F.lit(k)).cast("int")
 
-    leaf = min(5, len(levels) - 1)
+    # About 64 blocks or more: a block is sent to every other one it meets, so few are better, but each task needs some.
+    leaf = min(len(levels) - 1, max(5, min(len(levels) - 4, 7)))
     met, mixed = class_pairs(levels, class_of, leaf)
     mixed = checkpointed(mixed)
     pairwise = _Classes(nearest, width, k)
     added = [both_sides(p, [F.col("b_cnt").alias("cnt"), F.col("b_s").alias("sv")], [F.col("a_cnt").alias("cnt"), F.col("a_s").alias("sv")]) for p in met]
-    place = ["cell", "x_lo", "y_lo", "s"]
-    opened = in_blocks(mixed, levels[0], place, leaf, pairwise.counts, "cell long, class int, cnt long, sv double")
+    place = ["cell", "x_lo", "y_lo"]
+    opened = in_blocks(mixed, levels[0], [*place, "s"], leaf, pairwise.counts, "cell long, class int, cnt long, sv double")
     near = (
         pushed_down(added, levels[0], leaf, ["cnt", "sv", "own"]).unionByName(opened.withColumn("own", F.lit(0).cast("long")))
         .groupBy("cell", "class").agg(F.sum("cnt").alias("cnt"), F.sum("sv").alias("sv"), F.sum("own").alias("own"))
@@ -520,10 +617,12 @@ def correlogram(
         b = level.select(F.col("cell").alias("b"), "class", F.col("u").alias("ub"))
         narrow = pairs.select("a", "b", "class").join(a, ["a", "class"], "left").join(b, ["b", "class"], "left")
         handed.append(both_sides(narrow, [F.col("ub").alias("u")], [F.col("ua").alias("u")]).drop("own"))
-    # One entry a class.
-    own_u = near.groupBy("cell").agg(F.collect_list(F.struct("class", (F.lit(1.0) / F.col("k")).alias("u"))).alias("us"))
-    rows_u = levels[0].select(*place).join(own_u, "cell", "left")
-    opened_u = in_blocks(mixed, rows_u, [*place, "us"], leaf, pairwise.weights, "cell long, class int, u double")
+    # One entry a class; a pair of blocks is sent those of its own classes.
+    own_u = near.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("class", (F.lit(1.0) / F.col("k")).alias("u")))).alias("us"))
+    all_u = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda c: F.coalesce(F.try_element_at("us", c), F.lit(0.0)))
+    rows_u = checkpointed(levels[0].select(*place).join(own_u, "cell", "left").withColumn("us", all_u))
+    some_u = F.slice("us", F.col("low"), F.col("high") - F.col("low") + 1).alias("us")
+    opened_u = in_blocks(mixed, rows_u, [*place, "low", some_u], leaf, pairwise.weights, "cell long, class int, u double")
     columns = pushed_down(handed, levels[0], leaf, ["u"]).unionByName(opened_u).groupBy("cell", "class").agg(F.sum("u").alias("u"))
     means = near.groupBy("class").agg(F.avg("v").alias("m"))
     # One row per class.

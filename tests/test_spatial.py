@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -212,3 +213,55 @@ def test_searches_of_few_points(spark):
         assert spatial.gabriel_edges(few).collect() == [] and spatial.knn_edges(few, 3).collect() == []
     assert [tuple(r) for r in spatial.gabriel_edges(two).collect()] == [(0, 1, 5.0)]
     assert sorted(tuple(r) for r in spatial.knn_edges(two, 3).collect()) == [(0, 1, 5.0), (1, 0, 5.0)]
+
+
+def block(p, cells, ids=(0, 0)):
+    n = len(p)
+    return pa.table({"a": np.full(n, ids[0]), "b": np.full(n, ids[1]), "cell": cells, "x_lo": p[:, 0], "y_lo": p[:, 1], "s": cells * 0.5})
+
+
+@pytest.mark.parametrize("shape", ["uniform", "lattice", "stray"])
+def test_blocks_hand_over_what_all_pairs_would(shape, monkeypatch):
+    p = SHAPES[shape]
+    compared = []
+    weighted = spatial._weighted
+    monkeypatch.setattr(spatial, "_weighted", lambda met, values: compared.append(met.size) or weighted(met, values))
+    d = np.sqrt(square(p))
+    lo, hi, k = d[d > 0].min(), d.max(), 6
+    cls = np.clip(np.ceil((d - lo) / ((hi - lo) / k)), 1, k).astype(int)
+    np.fill_diagonal(cls, 0)
+    pairwise = spatial._Classes(lo, (hi - lo) / k, k, piece=8, wide=3)
+    half, cells = len(p) // 2, np.arange(len(p))
+    one, two = cells[:half], cells[half:]
+    for a, b, ids in ((one, two, (0, 1)), (one[::-1], one[::-1], (0, 0))):
+        got = {(r["cell"], r["class"]): (r["cnt"], r["sv"]) for r in pairwise.counts(block(p[a], a, ids), block(p[b], b, ids)).to_pylist()}
+        want = {}
+        for x, other in ((a, b), (b, a)):
+            for i in x:
+                for c in range(1, k + 1):
+                    met = other[cls[i, other] == c]
+                    if len(met):
+                        want[i, c] = (len(met), pytest.approx(met.sum() * 0.5))
+        assert got == want
+    assert compared
+
+
+def test_pieces_of_one_class_are_not_compared(monkeypatch):
+    compared = []
+    weighted = spatial._weighted
+    monkeypatch.setattr(spatial, "_weighted", lambda met, values: compared.append(met.size) or weighted(met, values))
+    side = np.arange(32) / 32
+    p = np.array([(x + i / 8, y + j / 8) for x in side[::8] for y in side[::8] for i in range(2) for j in range(2)])
+    p = np.vstack([p, p + [50.0, 0.0]])
+    cells, n = np.arange(len(p)), len(p) // 2
+    pairwise = spatial._Classes(0.0, 10.0, 6, piece=8, wide=2)
+    out = pairwise.counts(block(p[:n], cells[:n], (0, 1)), block(p[n:], cells[n:], (0, 1)))
+    assert sum(out["cnt"].to_pylist()) == 2 * n * n
+    assert sum(compared) < 2 * 2 * n * n  # two classes and both sides would be four times all pairs
+
+
+def test_pairs_left_carry_the_few_classes_between_them(spark):
+    levels = spatial.packed_tree(frame(spark, np.random.default_rng(3).random((700, 2))), "id")
+    _, left = spatial.class_pairs(levels, lambda d: F.ceil(d * 20).cast("int"), leaf=1)
+    least, mean = left.selectExpr("min(high - low)", "avg(high - low + 1)").head()
+    assert least >= 1 and mean < 15  # of 29 classes
