@@ -42,7 +42,11 @@ from .graph import components
 from .simhash import forest
 
 #: Words whose hashes a task keeps at once.
-HELD = 500_000
+HELD = 100_000
+#: Texts that a task holds at once besides the batch they come in.
+TEXTS = 256
+#: Rows and columns of a piece of an opened pair of groups, and tokens that it is compared on at once.
+TILE, TOKENS = 512, 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,11 +113,13 @@ def sets_of(text: Column, size: int, share: tuple[int, int] | None) -> Column:
     def scan(texts: pa.Array) -> pa.Array:
         known = _Hashes()
         keys, counts, parts = [], [], []
-        for text in texts.to_pylist():
-            tokens = shingle_set(text, size, known)
-            keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-            counts.append(len(tokens))
-            parts.append(tokens if share is None else tokens[:laid_out(len(tokens), share)] if len(tokens) else tokens)
+        for first in range(0, len(texts), TEXTS):
+            for text in texts.slice(first, TEXTS).to_pylist():
+                tokens = shingle_set(text, size, known)
+                keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+                counts.append(len(tokens))
+                # A copy, so that what is not laid out is not held.
+                parts.append(tokens if share is None or not len(tokens) else tokens[:laid_out(len(tokens), share)].copy())
         return pa.StructArray.from_arrays(
             [pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), lists(parts)], ["n", "key", "tokens"])
 
@@ -234,6 +240,24 @@ def in_question(left: DataFrame, parts: DataFrame | None, sets: DataFrame, share
     return checkpointed(stay.select("node", "n", most_named(F.col("named")).alias("pivots")))
 
 
+def overlaps(a: tuple, b: tuple, common: int) -> np.ndarray:
+    """Numbers of shared tokens of two pieces, each given by its group's rows (sorted), their tokens, its first row and the group's size."""
+    sides = []
+    for row, at, first, n in (a, b):
+        piece = slice(*np.searchsorted(row, [first, first + TILE]))
+        sides.append((row[piece] - first, at[piece], min(TILE, n - first)))
+    both = np.zeros((sides[0][2], sides[1][2]), np.float32)
+    for start in range(0, common, TOKENS):
+        dense = []
+        for row, at, n in sides:
+            some = (at >= start) & (at < start + TOKENS)
+            cells = np.zeros((n, TOKENS), np.float32)
+            cells[row[some], at[some] - start] = 1
+            dense.append(cells)
+        both += dense[0] @ dense[1].T
+    return both.astype(np.int64)
+
+
 def opened(left: DataFrame, parts: DataFrame, sets: DataFrame, share: tuple[int, int], group: int) -> DataFrame:
     """Links (a, b) that join nodes of different partitions, through the token-group matrix."""
     label = left.select("node", F.coalesce(F.get("pivots", F.lit(0)), F.col("node")).alias("label"))
@@ -276,19 +300,17 @@ def opened(left: DataFrame, parts: DataFrame, sets: DataFrame, share: tuple[int,
                 return none
             place = np.cumsum(fits) - 1
             sides.append((place[row[fits[row]]], at[fits[row]], n[fits], t["node"].to_numpy()[fits], t["part"].to_numpy()[fits]))
-        both = np.zeros((len(sides[0][2]), len(sides[1][2])), np.float32)
-        for first in range(0, len(common), 4096):
-            dense = []
-            for row, at, n, _, _ in sides:
-                some = (at >= first) & (at < first + 4096)
-                cells = np.zeros((len(n), 4096), np.float32)
-                cells[row[some], at[some] - first] = 1
-                dense.append(cells)
-            both += dense[0] @ dense[1].T
-        (_, _, na, node_a, part_a), (_, _, nb, node_b, part_b) = sides
-        close = both.astype(np.int64) * (share[0] + share[1]) >= (na[:, None] + nb[None, :]) * share[0]
-        i, j = np.nonzero(close & (part_a[:, None] != part_b[None, :]))
-        keep = forest(node_a[i], node_b[j])
-        return pa.table({"a": pa.array(node_a[i][keep]), "b": pa.array(node_b[j][keep])})
+        (row_a, at_a, na, node_a, part_a), (row_b, at_b, nb, node_b, part_b) = sides
+        found = np.zeros((2, 0), np.int64)
+        for top in range(0, len(na), TILE):
+            for side in range(0, len(nb), TILE):
+                both = overlaps((row_a, at_a, top, len(na)), (row_b, at_b, side, len(nb)), len(common))
+                one, two = slice(top, top + TILE), slice(side, side + TILE)
+                close = both * (share[0] + share[1]) >= (na[one, None] + nb[None, two]) * share[0]
+                i, j = np.nonzero(close & (part_a[one, None] != part_b[None, two]))
+                found = np.hstack([found, [node_a[one][i], node_b[two][j]]])
+                # Only links that join something are kept, so near copies do not pile up.
+                found = found[:, forest(*found)]
+        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
     return one.groupBy("group", "other").cogroup(two.groupBy("group_b", "other_b")).applyInArrow(open_groups, "a long, b long")

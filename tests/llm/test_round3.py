@@ -4,8 +4,10 @@ import itertools
 import math
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ecospark.llm import html, jaccard, negatives, neighbours, whitening
@@ -268,3 +270,33 @@ def test_deep_pages_take_linear_time():
     start = time.time()
     assert html.render(html.build("<p>a<button>" + "<div>" * 100_000 + "b")) == "a\nb"
     assert time.time() - start < 5
+
+
+def traced(work):
+    """Result and most MB held at once, arrays among them."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_jaccard_compares_large_groups_of_short_sets_in_pieces():
+    n, common = 3000, 5000
+    rng = np.random.default_rng(5)
+    rows, tokens = np.repeat(np.arange(n), 20), np.concatenate([np.sort(rng.choice(common, 20, replace=False)) for _ in range(n)])
+    first, second = jaccard.TILE, n - n % jaccard.TILE
+    both, most = traced(lambda: jaccard.overlaps((rows, tokens, first, n), (rows, tokens, second, n), common))
+    assert both.shape == (jaccard.TILE, n - second) and most < 40  # all rows at once: 3 matrices of 36 to 72 MB
+    sets = [set(tokens[i * 20:i * 20 + 20].tolist()) for i in range(n)]
+    assert both[:9].tolist() == [[len(sets[first + i] & sets[second + j]) for j in range(n - second)] for i in range(9)]
+
+
+def test_jaccard_holds_only_what_is_laid_out(monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard.F, "arrow_udf", lambda scan, kind: made.append(scan) or (lambda text: text))
+    jaccard.sets_of(None, 4, (85, 100))
+    texts = pa.array([" ".join(f"w{(i * 7 + j * j) % 997}" for j in range(1000)) for i in range(1500)])
+    out, most = traced(lambda: made[0](texts))
+    laid = out.field("tokens").flatten()
+    assert len(out) == 1500 and most < 3 * len(laid) * 8 / 1e6 + 3
