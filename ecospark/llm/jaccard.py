@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, drop_path, scratch_path
 from .graph import components
 from .simhash import forest
 
@@ -179,15 +179,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     than a part ``still`` of the nodes in question; what stays apart is left to the matrix, so they change the cost, not the result.
     """
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    marked = checkpointed(docs.select(id_.alias("id"), sets_of(text, shingle, share).alias("s")).select(
-        F.monotonically_increasing_id().alias("row"), "id", "s.*"))
+    wide = scratch_path(docs.sparkSession, "table")
+    scanned = checkpointed(docs.select(id_.alias("id"), sets_of(text, shingle, share).alias("s")).select(
+        F.monotonically_increasing_id().alias("row"), "id", "s.*"), wide)
     # Written once, so the row numbers are fixed; the smallest row of a set is its node.
+    marked = checkpointed(scanned.drop("tokens"))
     reps = checkpointed(marked.where("n > 0").groupBy("key").agg(
         F.min("row").alias("node"), F.min("id").alias("least"), F.first("n").alias("n")))
-    laid = marked.join(reps.select(F.col("node").alias("row")), "row", "left_semi").select(
-        F.explode("tokens").alias("token"), F.col("row").alias("node"))
+    laid = first_copies(scanned, marked, reps).select(F.explode("tokens").alias("token"), F.col("row").alias("node"))
     met = shared_tokens(laid, "node", 0).groupBy("node").agg(F.count("*").alias("met"))
     near = checkpointed(met.join(reps, "node").where(F.col("met") >= least_shared(F.col("n"), share)).select("node", "n", "key", "least"))
+    drop_path(docs.sparkSession, wide)  # the largest table; no later step reads the laid-out tokens
     sets = whole_sets(docs, near, id_, text, shingle)
     left = in_question(near, None, sets, share, 0)
     many, links, parts = left.count(), None, None
@@ -214,12 +216,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def first_copies(scanned: DataFrame, marked: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of ``scanned`` without further copies of a set.
+
+    The copies are listed, not the nodes: the list is shorter, and while it is small the tokens are not exchanged for it.
+    """
+    copies = marked.where("n > 0").select("row", "key").join(reps.select("key", "node"), "key").where("row <> node").select("row")
+    return scanned.join(checkpointed(copies), "row", "left_anti")
+
+
 def whole_sets(docs: DataFrame, near: DataFrame, id_: Column, text: Column, shingle: int) -> DataFrame:
     """(node, n, tokens) with all tokens of the nodes that stayed, from the texts once more."""
     ids = checkpointed(near.select("least").distinct())
     some = docs.select(id_.alias("id"), text.alias("text")).join(ids, F.col("id").eqNullSafe(F.col("least")), "left_semi")
-    made = some.select(sets_of(F.col("text"), shingle, None).alias("s")).select("s.*")
-    return checkpointed(made.join(near.select("key", "node"), "key").select("node", "n", "tokens").dropDuplicates(["node"]))
+    # A key that may be null makes Spark infer a filter on it, and so scan all texts before the semi join.
+    made = some.select(sets_of(F.col("text"), shingle, None).alias("s")).select(
+        F.coalesce("s.key", F.lit(b"")).alias("key"), "s.n", "s.tokens")
+    # By key, as the join has dealt them, so the sets are not exchanged once more.
+    return checkpointed(made.join(near.select("key", "node"), "key").dropDuplicates(["key"]).select("node", "n", "tokens"))
 
 
 def token_rows(left: DataFrame, parts: DataFrame | None, sets: DataFrame) -> DataFrame:

@@ -119,18 +119,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the materialised tables of this run; results that read them must be written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, scratch_root(spark))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove one materialised table; what reads it must be written before."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def checkpointed(df: DataFrame, path: str | None = None) -> DataFrame:
     """Materialise as a table in the shared checkpoint folder, cutting the lineage.
 
     Read back from files, the table survives lost executors, is pruned by column, and has
-    a size Spark knows when it chooses a join.
+    a size Spark knows when it chooses a join. ``path`` is a ``scratch_path`` for a table that is dropped early.
     """
-    path = scratch_path(df.sparkSession, "table")
+    path = path or scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

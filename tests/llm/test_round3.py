@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import re
 import time
 import tracemalloc
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from ecospark.llm import html, jaccard, negatives, neighbours, whitening
+from ecospark.sources.tables import checkpointed, scratch_root
 from pyspark.sql import functions as F
 
 
@@ -300,3 +302,41 @@ def test_jaccard_holds_only_what_is_laid_out(monkeypatch):
     out, most = traced(lambda: made[0](texts))
     laid = out.field("tokens").flatten()
     assert len(out) == 1500 and most < 3 * len(laid) * 8 / 1e6 + 3
+
+
+def test_jaccard_drops_what_it_laid_out(spark):
+    root = scratch_root(spark)
+    known = set(os.listdir(root)) if os.path.isdir(root) else set()
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)] + [(40 + i, "one text that comes six times") for i in range(6)]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = [spark.read.parquet(f"{root}/{name}") for name in set(os.listdir(root)) - known]
+    assert [t.count() for t in kept if {"row", "tokens"} <= set(t.columns)] == []
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: min(i, 40) for i in range(46)}
+
+
+def test_jaccard_scans_only_the_texts_that_stayed_and_deals_their_sets_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "checkpointed", lambda df, path=None: df)
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    near = spark.createDataFrame([(1, 7, bytearray(b"k"))], "least long, node long, key binary")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = jaccard.whole_sets(docs, near, F.col("doc_id"), F.col("text"), 4)
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("ArrowEvalPython") < plan.index("LeftSemi") and plan.count("ArrowEvalPython") == 1
+    assert "hashpartitioning(node" not in plan
+
+
+def test_jaccard_lists_copies_so_that_tokens_stay_where_they_are(spark):
+    scanned = checkpointed(spark.range(20_000).selectExpr(
+        "id AS row", "id AS n", "cast(cast(least(id, 19990) AS string) AS binary) AS key", "transform(sequence(0, 30), i -> xxhash64(id, i)) AS tokens"))
+    reps = scanned.groupBy("key").agg(F.min("row").alias("node"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        found = jaccard.first_copies(scanned, scanned.drop("tokens").withColumn("n", F.lit(1)), reps)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in plan and "Exchange hashpartitioning" not in plan
+        assert sorted(r["row"] for r in found.select("row").collect()) == list(range(19_991))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
