@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..functions.columns import percent, rounded
 from ..plans import circularity, harmonise, modelling, survey, taxonomy
+from ..sources.tables import spread
 from .beta import dense
 from .composition import COMPOSED, RANKS
 from .diversity import BRAND_GROUPS, TYPES
 from .registry import mixo, query
 
 METRICS6 = ["shannon", "op_simpson", "eveness_piel"]
+# Lines of orders above which they are dealt by their order at once.
+DEALT_LINES = 1_000_000
 
 
 def phyto(t):
@@ -314,7 +317,11 @@ def artefact_test(t):
 
 def order_sites(t):
     """Orders as sites: diversity of their lines and the environment of their customer."""
-    cells = t.lines.groupBy("l_orderkey").agg(
+    lines, rows = t.lines, t.lineitem.count()
+    if rows > DEALT_LINES:
+        # One exchange serves the distinct brands, the sums and the join.
+        lines = spread(lines, rows, "l_orderkey")
+    cells = lines.groupBy("l_orderkey").agg(
         F.count_distinct("p_brand").alias("rich_genus"), F.avg("l_quantity").alias("depth"), F.avg("l_discount").alias("color"),
         F.avg("l_tax").alias("pH"),
         percent(F.sum(F.when(mixo(), F.col("l_quantity")).otherwise(0.0)), F.sum("l_quantity")).alias("prev_Mixo"),

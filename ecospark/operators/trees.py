@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_fraction, q
-from ..sources.tables import save_model, scratch_path
+from ..sources.tables import checkpointed, drop_path, save_model, scratch_path
 from ..vocabulary import DIVERSITY, DIVERSITY_CORR
 from .clean import impute_median
 from .order import exact_quantiles
@@ -65,13 +65,28 @@ def fill_features(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, li
     return impute_median(df.withColumns(flags), holed), [*features, *flags]
 
 
-def with_vector(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
-    """Add the feature vector; the assembler needs names without dots."""
-    plain = {f"_f{i}": q(f).cast("double") for i, f in enumerate(features)}
+def with_vector(df: DataFrame, features: Sequence[str], name: str = "features", gap: float | None = None) -> DataFrame:
+    """Add the feature vector; the assembler needs names without dots and fails on gaps, unless ``gap`` stands in for them."""
+    plain = {f"_f{i}": F.coalesce(q(f).cast("double"), F.lit(gap)) for i, f in enumerate(features)}
     assembled = VectorAssembler(inputCols=list(plain), outputCol=name).transform(df.withColumns(plain))
     return assembled.drop(*plain)
 
 
+def filled_vectors(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Materialised rows with gaps filled and the feature vector, and the names of its entries.
+
+    ``df`` is evaluated once: gaps are counted in what was written, and only rows with gaps are written again.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    rows = checkpointed(with_vector(df, features, gap=0.0), path)
+    filled, names = fill_features(rows.drop("features"), features)
+    if len(names) == len(features):
+        return rows, names
+    whole = checkpointed(with_vector(filled, names))
+    drop_path(df.sparkSession, path)
+    return whole, names
+
+
 def fit_gbt(
     train: DataFrame, target: str, params: Mapping, valid: DataFrame | None = None, patience: int = PATIENCE
 ) -> GBTRegressionModel:
@@ -176,12 +191,10 @@ def shapley(
     drawn = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
     draw = F.concat_ws(":", F.lit(str(seed)), F.col("perm"), F.col(key).cast("string"))
     slot = F.pmod(F.xxhash64(draw), F.size(pool)).cast("int") + 1
-    order = F.array_sort(F.array(*[
+    order = F.sort_array(F.array(*[
         F.struct(F.xxhash64(draw, F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(p)
     ]))
-    drawn = drawn.select(
-        key, "x", F.element_at(pool, slot).alias("z"), F.transform(order, lambda s: s["i"]).alias("order")
-    )
+    drawn = drawn.select(key, "x", F.element_at(pool, slot).alias("z"), order["i"].alias("order"))
     steps = drawn.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(p))))
     hybrid = [
         F.when(F.array_position("order", F.lit(i)) <= F.col("step"), F.col("x")[i]).otherwise(F.col("z")[i]).alias(f"_v{i}")

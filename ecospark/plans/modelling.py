@@ -43,14 +43,13 @@ def run_trees(
     names = list(features or trees.feature_set(table, key, target))
     rows = clean.require(table.select(key, target, *[q(n) for n in names]), [target])
     rows = trees.split(rows, F.col(key), config.test_size, config.seed)
-    rows, filled = trees.fill_features(rows, names)
-    rows = checkpointed(trees.with_vector(rows, filled))
+    rows, filled = trees.filled_vectors(rows, names)
     train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
     inner = trees.split(train, F.col(key), 0.1, config.seed + 1, "part")
-    model = trees.fit_gbt(
-        inner.where(F.col("part") == "train"), target, config.tree_params(inner.where(F.col("part") == "train").count()), inner.where(F.col("part") == "test")
-    )
-    scored = checkpointed(stats.residuals(trees.predict(model, rows), target, "prediction"))
+    fitted, valid = (inner.where(F.col("part") == part).select(key, "features", target) for part in ("train", "test"))
+    model = trees.fit_gbt(fitted, target, config.tree_params(fitted.count()), valid)
+    scored = stats.residuals(trees.predict(model, rows), target, "prediction")
+    scored = checkpointed(scored.select(*map(q, dict.fromkeys([key, "split", target, "prediction", "residual", focal]))))
     tested = scored.where(F.col("split") == "test")
     attribution = None
     if attribute:

@@ -3,6 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ecospark.bindings import products
+from ecospark.bindings.registry import Tables
 from ecospark.config import RunConfig
 from ecospark.functions.spline import Basis, penalised_fit
 from ecospark.operators import smooth, trees
@@ -211,3 +213,62 @@ def test_exact_split_has_the_asked_size(spark):
     assert marked.groupBy("k").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     lost = spark.createDataFrame([(None,), (1,)], "k int")
     assert {r.k: r.split for r in trees.exact_split(lost, F.col("k"), 0.5).collect()} == {None: "train", 1: "test"}
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_tree_rows_are_evaluated_once(spark, monkeypatch, gaps):
+    """Counting gaps, filling them and fitting read what was written, not the joins below."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return None if gaps and x % 3 == 0 else float(x)
+
+    df = spark.range(200).select(
+        F.col("id").cast("string").alias("lake_id"), F.udf(look, "double").asNondeterministic()("id").alias("prev_Mixo"),
+        (F.col("id") % 7).cast("double").alias("shannon"),
+    )
+    made = []
+
+    def stop(train, *rest):
+        made.append(train)
+        raise Stop
+
+    monkeypatch.setattr(trees, "fit_gbt", stop)
+    config = RunConfig(response="shannon", corrected=False, reg_alpha=0, reg_lambda=0)
+    with pytest.raises(Stop):
+        modelling.run_trees(df, "lake_id", config)
+    assert seen.value == 200
+    assert made[0].where("features is null").count() == 0 and made[0].count() > 100
+    assert seen.value == 200
+
+
+def test_filled_vectors(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 3.0), (3, 5.0, 4.0)], "id int, `x.y` double, z double")
+    out, names = trees.filled_vectors(df, ["x.y", "z"])
+    assert names == ["x.y", "z", "x.y_missing"]
+    assert {(r.id, tuple(r.features)) for r in out.collect()} == {(1, (1.0, 2.0, 0.0)), (2, (3.0, 3.0, 1.0)), (3, (5.0, 4.0, 0.0))}
+    out, names = trees.filled_vectors(df.where("id <> 2"), ["x.y", "z"])
+    assert names == ["x.y", "z"] and {(r.id, tuple(r.features)) for r in out.collect()} == {(1, (1.0, 2.0)), (3, (5.0, 4.0))}
+    with pytest.raises(Exception, match="(?i)nan"):
+        trees.filled_vectors(df.fillna({"z": 0.0}).withColumn("z", F.lit(float("nan"))), ["z"])
+
+
+def test_many_lines_are_dealt_by_their_order(spark, tmp_path, monkeypatch, capsys):
+    lines = [(o, p, float(p), 0.1, 0.2) for o in (1, 2, 2, 9, None) for p in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a", "SMALL"), (2, "b", "ECONOMY")], "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 10.0), (2, 20.0), (None, 30.0)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    t = Tables(spark, str(tmp_path))
+    few = products.order_sites(t).collect()
+    monkeypatch.setattr(products, "DEALT_LINES", 0)
+    df = products.order_sites(t)
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(l_orderkey" in plan and "p_brand#" not in plan.split("REPARTITION_BY_NUM")[0].split("hashpartitioning")[-1]
+    many = df.collect()
+    assert sorted(many) == sorted(few) and [(r.lake_id, r.rich_genus, r.area_m2) for r in sorted(many)] == [(1, 2.0, 10.0), (2, 2.0, 20.0)]
