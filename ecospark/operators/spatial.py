@@ -5,12 +5,17 @@ other searches descend one balanced tree over the points (``packed_tree``): pair
 kept, or left out by bounds from their boxes, and the kept ones are replaced by the pairs of
 their children, with one join per height. The tree follows the points, so neither dense
 clusters nor stray points fill a cell; each height's pairs are checkpointed.
+
+Neighbour searches join the pairs with ``families`` and lay out the children after it. Their tables are not
+left to Spark's choice of a join: cell numbers take a byte or two a row in a file, so tables of
+millions of rows look small enough to be broadcast, which builds them in the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +33,9 @@ from .order import global_rank
 SECTORS = 12
 #: Rounding of a bound must not leave out a pair that an exact test would keep.
 SLACK = 1e-9
+#: Cells of a height that are sent to all tasks; beyond, they are exchanged.
+SENT = 1024
+BOX = ["x_lo", "x_hi", "y_lo", "y_hi"]
 
 
 def points_of(df: DataFrame, id: str, x: str, y: str) -> DataFrame:
@@ -86,30 +94,85 @@ def band_edges(df: DataFrame, radius: float, id: str = "id", x: str = "x", y: st
     return pairs.where(F.col("d") <= radius).select(F.col("aid").alias("src"), F.col("bid").alias("dst"), "d")
 
 
-def near_cells(levels: list[DataFrame], need) -> Iterator[tuple[int, DataFrame]]:
-    """Per height, from the root down to the points: the cells b that points of a cell a must look at.
+def near_cells(levels: list[DataFrame], kin: list[DataFrame], need) -> Iterator[tuple[int, DataFrame]]:
+    """Per height, from a few cells down to the points: the cells b that points of a cell a must look at.
 
     ``need(height)`` nearest points, a point itself among them, lie within the distance at which the farthest
     corners of some cells enclose that many; cells that begin beyond it are left out. ``need`` must not
-    grow downwards. Rows are ``a, b, near, far`` and both boxes. A cell that spans empty space looks at many others,
-    but such cells are few.
+    grow downwards. Rows are ``a, b, near, reach``, and ``dx, dy``, twice the way between the middles of both boxes. A cell that
+    spans empty space looks at many others, but such cells are few.
     """
-    pairs = levels[-1].select(F.col("cell").alias("a"), F.col("cell").alias("b"))
-    for height in range(len(levels) - 1, -1, -1):
-        met = _boxed(pairs, levels[height]).withColumns({"near": _length(_gap), "far": _length(_span)})
-        enclosed = F.sum("b_cnt").over(Window.partitionBy("a").orderBy("far", "b").rowsBetween(Window.unboundedPreceding, 0))
-        reach = F.min(F.when(F.col("_sum") >= need(height), F.col("far"))).over(Window.partitionBy("a"))
-        bound = met.withColumn("_sum", enclosed).withColumn("_reach", reach)
-        inside = F.col("_reach").isNull() | (F.col("near") <= F.col("_reach") * (1 + SLACK))
-        kept = checkpointed(bound.where(inside).drop("_sum", "_reach"))
+    kept = _first_pairs(levels).withColumn("reach", F.lit(None).cast("double"))
+    for height in _heights(levels):
+        met = _families_met(kept, kin[height], kin[height], _above(levels, height)).select(
+            "above", F.col("a.cell").alias("a"), F.col("b.cell").alias("b"), F.col("b.cnt").alias("b_cnt"),
+            _length(_gap, ".").alias("near"), _length(_span, ".").alias("far"), "reach",
+            *[(F.col(f"b.{v}_lo") + F.col(f"b.{v}_hi") - F.col(f"a.{v}_lo") - F.col(f"a.{v}_hi")).alias(f"d{v}") for v in "xy"])
+        # What enclosed the points of a cell encloses those of its children, so theirs do not look beyond.
+        met = met.where(_within("reach")).drop("reach")
+        # The children of a cell are in its task.
+        enclosed = F.sum("b_cnt").over(Window.partitionBy("above", "a").orderBy("far", "b").rowsBetween(Window.unboundedPreceding, 0))
+        reach = F.min(F.when(F.col("_sum") >= need(height), F.col("far"))).over(Window.partitionBy("above", "a"))
+        bound = met.withColumn("_sum", enclosed).withColumn("reach", reach)
+        kept = checkpointed(bound.where(_within("reach")).select("a", "b", "near", "reach", "dx", "dy"))
         yield height, kept
-        pairs = kept.select(_children("a"), "b").select("a", _children("b"))
+        kept = kept.select("a", "b", "reach")
+
+
+def _within(reach: str) -> Column:
+    return F.col(reach).isNull() | (F.col("near") <= F.col(reach) * (1 + SLACK))
+
+
+def families(levels: list[DataFrame]) -> list[DataFrame]:
+    """Per height of a search, its cells by the cell above them: ``cell, kids``. A root is the child of a cell 0."""
+    return [checkpointed(_family(level, "cnt", *BOX)) for level in levels[:_heights(levels)[0] + 1]]
+
+
+def _family(level: DataFrame, *columns: str) -> DataFrame:
+    return level.groupBy(F.shiftright("cell", 2).alias("above")).agg(F.collect_list(F.struct("cell", *columns)).alias("kids")).withColumnRenamed("above", "cell")
+
+
+def _heights(levels: list[DataFrame]) -> range:
+    """Heights of a search, down to the points: the first has 64 cells or less."""
+    return range(max(len(levels) - 4, 0), -1, -1)
+
+
+def _first(levels: list[DataFrame]) -> Column:
+    """The cells above those of the first height, up to 16; some may not exist."""
+    return F.sequence(F.lit(0).cast("long"), F.lit(_above(levels, _heights(levels)[0]) - 1).cast("long"))
+
+
+def _first_pairs(levels: list[DataFrame]) -> DataFrame:
+    return levels[-1].select(F.explode(_first(levels)).alias("a")).select("a", F.explode(_first(levels)).alias("b"))
+
+
+def _above(levels: list[DataFrame], height: int) -> int:
+    """The most cells that can be above those of a height."""
+    return 4 ** max(len(levels) - 2 - height, 0)
+
+
+def _joined(rows: DataFrame, table: DataFrame, on: str | list[str], few: bool = False, how: str = "inner") -> DataFrame:
+    """A join that sends a table of few rows to all tasks, and exchanges any other."""
+    return rows.join(F.broadcast(table) if few else table.hint("merge"), on, how)
+
+
+def _families_met(pairs: DataFrame, kin_a: DataFrame, kin_b: DataFrame, cells: int) -> DataFrame:
+    """Pairs of the children of both cells of a pair: ``above`` (the cell a), structs ``a, b`` of the children, the pair's other columns.
+
+    They stay structs, as Spark takes seconds to plan a long condition on columns that are renamed. There are up to ``cells`` cells. A pair is few bytes and much work, so the number of tasks follows the cells.
+    """
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    few, tasks = cells <= SENT, max(cells // 512, 8)
+    met = _joined(pairs.repartition(tasks, "b"), kin_b.select(F.col("cell").alias("b"), F.col("kids").alias("_kb")), "b", few)
+    met = _joined(met if few else met.repartition(tasks, "a"), kin_a.select(F.col("cell").alias("a"), F.col("kids").alias("_ka")), "a", few)
+    met = met.select(F.col("a").alias("above"), *more, F.explode("_ka").alias("a"), "_kb")
+    return met.select("above", *more, "a", F.explode("_kb").alias("b"))
 
 
 def knn_edges(df: DataFrame, k: int, id: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     """The k nearest neighbours of every point, ties to the smaller id: ``src, dst, d``. Fewer, if there are no more points."""
     levels = packed_tree(checkpointed(points_of(df, id, x, y)), "x")
-    for _, kept in near_cells(levels, lambda height: k + 1):
+    for _, kept in near_cells(levels, families(levels), lambda height: k + 1):
         pass
     names = levels[0].select("cell", "id")
     pairs = kept.where("a <> b").select("a", "b", F.col("near").alias("d"))
@@ -127,16 +190,24 @@ def gabriel_edges(df: DataFrame, id: str = "id", x: str = "x", y: str = "y", aro
     their own side. What is left at the height of points is tested against the tree, cell by cell.
     """
     levels = packed_tree(checkpointed(points_of(df, id, x, y)), "x")
-    pairs = levels[-1].select(F.col("cell").alias("a"), F.col("cell").alias("b"))
-    for height, near in near_cells(levels, lambda height: (around + 1) << 2 * height):
+    kin = families(levels)
+    kept = _first_pairs(levels).where("a <= b")
+    for height, near in near_cells(levels, kin, lambda height: (around + 1) << 2 * height):
         seen = checkpointed(_witnesses(near, levels[0], height))
-        kept = _boxed(pairs, levels[height])
-        for p in ("a", "b"):
-            kept = kept.join(seen.withColumnRenamed("cell", p), p, "left").where(
-                (F.col("a") == F.col("b")) | ~F.coalesce(F.exists("seen", _in_all_discs), F.lit(False))).drop("seen")
-        kept = checkpointed(kept.select("a", "b"))
-        pairs = kept.select(_children("a"), "b").select("a", _children("b")).where("a <= b")
-    return _empty_discs(levels, _boxed(kept.where("a <> b"), levels[0]))
+        above = _above(levels, height)
+        few = above <= SENT
+        seeing = _family(_joined(levels[height], seen, "cell", few, "left"), *BOX, "seen")
+        met = _families_met(kept, seeing, kin[height], above).where("a.cell <= b.cell").where(_unseen("a.seen"))
+        met = met.select(F.struct("a.cell", *[f"a.{c}" for c in BOX]).alias("a"), "b", F.col("b.cell").alias("cell"))
+        kept = _joined(met, seen, "cell", few, "left").where(_unseen("seen"))
+        # The places of the points, in the end.
+        kept = checkpointed(kept.select(
+            F.col("a.cell").alias("a"), F.col("b.cell").alias("b"), *[F.col(f"{p}.{v}_lo").alias(p + v) for p in "ab" for v in "xy" if not height]))
+    return _empty_discs(levels, kin, kept.where("a <> b"))
+
+
+def _unseen(seen: str) -> Column:
+    return (F.col("a.cell") == F.col("b.cell")) | ~F.coalesce(F.exists(seen, _in_all_discs), F.lit(False))
 
 
 def _sector(dx: Column, dy: Column) -> Column:
@@ -146,12 +217,12 @@ def _sector(dx: Column, dy: Column) -> Column:
 
 def _witnesses(near: DataFrame, points: DataFrame, height: int) -> DataFrame:
     """``cell, seen``: for each cell, a point of the nearest other cell in each direction."""
-    dx, dy = (F.col(f"b_{v}_lo") + F.col(f"b_{v}_hi") - F.col(f"a_{v}_lo") - F.col(f"a_{v}_hi") for v in "xy")
+    dx, dy = F.col("dx"), F.col("dy")
     apart = F.struct((dx * dx + dy * dy).alias("d"), F.col("b"))
     nearest = near.where("a <> b").groupBy("a", _sector(dx, dy).alias("sector")).agg(F.min(apart).alias("_n"))
     # Points are numbered through, so cell c begins with point c 4^height.
     first = nearest.select(F.col("a"), F.shiftleft(F.col("_n.b"), 2 * height).alias("cell"))
-    seen = first.join(points.select("cell", F.col("x_lo").alias("x"), F.col("y_lo").alias("y")), "cell")
+    seen = _joined(first, points.select("cell", F.col("x_lo").alias("x"), F.col("y_lo").alias("y")), "cell")
     # At most one per sector.
     return seen.groupBy(F.col("a").alias("cell")).agg(F.collect_list(F.struct("x", "y")).alias("seen"))
 
@@ -159,19 +230,18 @@ def _witnesses(near: DataFrame, points: DataFrame, height: int) -> DataFrame:
 def _in_all_discs(w: Column) -> Column:
     """Whether w lies in the disc of every pair: the largest (p - w)(q - w) of p in box a and q in box b is negative."""
     def most(v: str) -> Column:
-        return F.greatest(*[(F.col(f"a_{v}_{i}") - w[v]) * (F.col(f"b_{v}_{j}") - w[v]) for i in ("lo", "hi") for j in ("lo", "hi")])
+        return F.greatest(*[(F.col(f"a.{v}_{i}") - w[v]) * (F.col(f"b.{v}_{j}") - w[v]) for i in ("lo", "hi") for j in ("lo", "hi")])
 
-    return most("x") + most("y") < -SLACK * (_span("x") * _span("x") + _span("y") * _span("y"))
+    return most("x") + most("y") < -SLACK * (_span("x", ".") * _span("x", ".") + _span("y", ".") * _span("y", "."))
 
 
-def _empty_discs(levels: list[DataFrame], pairs: DataFrame) -> DataFrame:
+def _empty_discs(levels: list[DataFrame], kin: list[DataFrame], pairs: DataFrame) -> DataFrame:
     """Pairs of points without a point strictly inside the disc on their segment: ``src < dst, d``.
 
     The cells that a disc touches are followed down the tree; a pair ends where a whole cell lies inside.
     """
     ends = ["a", "b", "ax", "ay", "bx", "by"]
-    pairs = checkpointed(pairs.select("a", "b", *[F.col(f"{p}_{v}_lo").alias(p + v) for p in "ab" for v in "xy"]))
-    touched = pairs.withColumn("cell", F.lit(0).cast("long"))  # the root
+    touched = pairs.withColumn("cell", F.explode(_first(levels)))
     size = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
 
     def of_disc(v: str, far: bool) -> Column:
@@ -182,18 +252,22 @@ def _empty_discs(levels: list[DataFrame], pairs: DataFrame) -> DataFrame:
     nearest, farthest = (4 * (of_disc("x", far) ** 2 + of_disc("y", far) ** 2) for far in (False, True))
     exact = ((F.col("x_lo") - F.col("ax")) ** 2 + (F.col("y_lo") - F.col("ay")) ** 2
              + (F.col("x_lo") - F.col("bx")) ** 2 + (F.col("y_lo") - F.col("by")) ** 2 < size)
-    for height in range(len(levels) - 1, -1, -1):
-        boxes = levels[height].select("cell", "x_lo", "x_hi", "y_lo", "y_hi")
-        met = touched.join(boxes, "cell").where(nearest <= size * (1 + SLACK))
+    hits = []
+    for height in _heights(levels):
+        above = _above(levels, height)
+        few, tasks = above <= SENT, max(above // 512, 8)
+        met = _joined(touched if few else touched.repartition(tasks, "cell"), kin[height], "cell", few).select(*ends, F.explode("kids").alias("_k"))
+        met = met.select(*ends, *[f"_k.{c}" for c in ("cell", *BOX)]).where(nearest <= size * (1 + SLACK))
         inside = farthest < size * (1 - SLACK) if height else exact & (F.col("cell") != F.col("a")) & (F.col("cell") != F.col("b"))
-        met = checkpointed(met.withColumn("_in", inside).select("cell", *ends, "_in"))
-        hit = met.where("_in").select("a", "b").distinct()
-        pairs = checkpointed(pairs.join(hit, ["a", "b"], "left_anti"))
-        if height:
-            touched = met.join(hit, ["a", "b"], "left_anti").select(*ends, _children("cell"))
+        met = met.select(*ends, "cell", inside.alias("_in")).withColumn("_hit", F.max("_in").over(Window.partitionBy("a", "b")))
+        met = checkpointed(met.where(F.col("_in") | ~F.col("_hit")).drop("_in"))
+        hits.append(met.where("_hit").select("a", "b"))
+        touched = met.where(~F.col("_hit")).select(*ends, "cell")
+    pairs = _joined(pairs, reduce(DataFrame.union, hits), ["a", "b"], how="left_anti")
     names = levels[0].select("cell", "id")
-    named = pairs.join(names.withColumnsRenamed({"cell": "a", "id": "one"}), "a").join(names.withColumnsRenamed({"cell": "b", "id": "two"}), "b")
-    return named.select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"), _distance().alias("d"))
+    for p, name in (("a", "one"), ("b", "two")):
+        pairs = _joined(pairs, names.withColumnsRenamed({"cell": p, "id": name}), p)
+    return pairs.select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"), _distance().alias("d"))
 
 
 def weights(edges: DataFrame) -> DataFrame:
@@ -337,18 +411,18 @@ def _boxed(pairs: DataFrame, level: DataFrame) -> DataFrame:
     return out
 
 
-def _gap(v: str) -> Column:
-    """Least distance of two boxes along an axis."""
-    return F.greatest(F.col(f"b_{v}_lo") - F.col(f"a_{v}_hi"), F.col(f"a_{v}_lo") - F.col(f"b_{v}_hi"), F.lit(0.0))
+def _gap(v: str, of: str = "_") -> Column:
+    """Least distance of two boxes along an axis. ``of`` stands between a cell and its edge: columns or structs."""
+    return F.greatest(F.col(f"b{of}{v}_lo") - F.col(f"a{of}{v}_hi"), F.col(f"a{of}{v}_lo") - F.col(f"b{of}{v}_hi"), F.lit(0.0))
 
 
-def _span(v: str) -> Column:
+def _span(v: str, of: str = "_") -> Column:
     """Largest distance of two boxes along an axis."""
-    return F.greatest(F.col(f"b_{v}_hi") - F.col(f"a_{v}_lo"), F.col(f"a_{v}_hi") - F.col(f"b_{v}_lo"))
+    return F.greatest(F.col(f"b{of}{v}_hi") - F.col(f"a{of}{v}_lo"), F.col(f"a{of}{v}_hi") - F.col(f"b{of}{v}_lo"))
 
 
-def _length(along) -> Column:
-    return F.sqrt(along("x") * along("x") + along("y") * along("y"))
+def _length(along, of: str = "_") -> Column:
+    return F.sqrt(along("x", of) * along("x", of) + along("y", of) * along("y", of))
 
 
 def _children(cell: str) -> Column:

@@ -183,6 +183,25 @@ def test_gabriel_across_empty_space(spark):
     assert {(r.src, r.dst) for r in spatial.gabriel_edges(frame(spark, p)).collect()} == gabriel(p)
 
 
+def test_gabriel_builds_no_table_in_the_driver(spark, monkeypatch):
+    """Pairs look small in files; only levels of up to SENT cells may be broadcast, here none."""
+    p, plans = shorelines(40), []
+    levels = spatial.packed_tree(spatial.points_of(frame(spark, p), "id", "x", "y"), "x")
+    write = spatial.checkpointed
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(spatial, "SENT", 0, raising=False)
+    monkeypatch.setattr(spatial, "packed_tree", lambda points, value: levels)
+    monkeypatch.setattr(spatial, "checkpointed", planned)
+    edges = spatial.gabriel_edges(frame(spark, p))
+    assert {(r.src, r.dst) for r in edges.collect()} == gabriel(p)
+    plans.append(edges._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not [plan for plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan]
+
+
 @pytest.mark.parametrize("search", ["gabriel", "knn"])
 @pytest.mark.parametrize("shape", ["uniform", "shorelines"])
 def test_rows_of_a_search_grow_with_the_points(spark, search, shape, monkeypatch):
